@@ -306,10 +306,10 @@ SPANS_SQL = """spans as (select piece, pos, case when linenumber <> 7 then qty %
     case when linenumber <> 7 then qty % 3 * 12 + 30 + fret % 5 end b from v_notes)"""
 PERIODS_SQL = (
     SPANS_SQL,
-    """laps as (select *, least(b, lag(b) over w) - greatest(a, lag(a) over w) ov,
+    """laps as (select *, lag(b) over w before_b, least(b, lag(b) over w) - greatest(a, lag(a) over w) ov,
         least(b - a, lag(b - a) over w) sh from spans where a is not null
         window w as (partition by piece order by pos))""",
-    """pieces as (select *, sum(case when ov * 10 > sh * 6 then 0 else 1 end)
+    """pieces as (select *, sum(case when before_b is not null and ov * 10 > sh * 6 then 0 else 1 end)
         over (partition by piece order by pos) period from laps)""",
     """wide as (select *, (b - a) * 10 >= max(b - a) over (partition by piece, period) * 9 wide
         from pieces)""",
