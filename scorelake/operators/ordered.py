@@ -21,8 +21,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 ROWS_PER_CHUNK = 1 << 20
-CHUNK = "_chunk"  # -1: the key was not cut
+CHUNK = "_chunk"  # number of the chunk; -1: this key was not cut
 LAST = "_last"  # the last chunk of its key
+WHOLE = "_whole"  # stands in place of both when no key at all had a mark
 
 
 def _names(cols: str | Sequence[str]) -> list[str]:
@@ -42,19 +43,40 @@ def cut_marks(
     )
 
 
+def _label(col: Column, name: str, keys: list[str], order: list[str]) -> Column:
+    return col.alias(name, metadata={"keys": keys, "order": order})
+
+
+def cut_columns(df: DataFrame) -> list[str]:
+    return [c for c in (CHUNK, LAST, WHOLE) if c in df.columns]
+
+
+def relabelled(
+    df: DataFrame, keys: str | Sequence[str], order: str | Sequence[str]
+) -> list[Column]:
+    """The cut columns, declared valid for other names of the same keys and order."""
+    return [_label(F.col(c), c, _names(keys), _names(order)) for c in cut_columns(df)]
+
+
 def chunked(
     df: DataFrame,
     keys: str | Sequence[str],
     order: str | Sequence[str],
     rows: int | None = None,
-    marks: DataFrame | None = None,
 ) -> DataFrame:
-    """Adds ``_chunk`` (binary search among the marks) and ``_last``."""
+    """Adds ``_chunk`` (binary search among the marks) and ``_last``, or just ``_whole`` when
+    there are no marks. Columns from an earlier call over the same keys and order are used
+    again."""
     keys, order = _names(keys), _names(order)
-    if CHUNK in df.columns:
-        return df
-    if marks is None:
-        marks = cut_marks(df, keys, order, rows or ROWS_PER_CHUNK)
+    have = cut_columns(df)
+    if have:
+        known = df.schema[have[0]].metadata
+        if known.get("keys") == keys and known.get("order") == order:
+            return df
+        df = df.drop(*have)
+    marks = cut_marks(df, keys, order, rows or ROWS_PER_CHUNK)
+    if marks.isEmpty():
+        return df.select("*", _label(F.lit(True), WHOLE, keys, order))
     at = F.struct(*order)
     m = F.col("_marks")
     steps = F.sequence(F.ceil(F.log2(F.size(m) + 1)).cast("int"), F.lit(0), F.lit(-1))
@@ -68,11 +90,15 @@ def chunked(
             lo + F.call_function("shiftleft", one, k),
         ).otherwise(lo),
     )
+    chunk = F.when(m.isNull(), F.lit(-1)).otherwise(found)
     return (
         df.join(F.broadcast(marks), keys, "left")
-        .withColumn(CHUNK, F.when(m.isNull(), F.lit(-1)).otherwise(found))
-        .withColumn(LAST, m.isNull() | (F.col(CHUNK) == F.size(m)))
-        .drop("_marks")
+        .withColumn("_at", chunk)
+        .select(
+            *df.columns,
+            _label(F.col("_at"), CHUNK, keys, order),
+            _label(m.isNull() | (F.col("_at") == F.size(m)), LAST, keys, order),
+        )
     )
 
 
@@ -172,6 +198,11 @@ def scan(
     order needs no new exchange."""
     keys, order = _names(keys), _names(order)
     df = chunked(df, keys, order, rows)
+    if WHOLE in df.columns:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        r = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
+        out = df.select("*", *[s.local(w, r).alias(n) for n, s in outs.items()])
+        return out if keep else out.drop(WHOLE)
     at = F.struct(*order)
     parts = (
         df.where(F.col(CHUNK) >= 0)
@@ -190,13 +221,14 @@ def scan(
         *([F.lag(F.lit(1)).over(w).isNull().alias("_first")] if _uses(outs, "first") else []),
         *([F.lead(F.lit(1)).over(w).isNull().alias("_end")] if _uses(outs, "last") else []),
     )
-    out = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
+    joined = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
     gates = {"first": F.col("_first"), "last": F.col("_end")}
+    values = []
     for n, s in outs.items():
         here, carried = F.col(f"_l_{n}"), F.col(f"_c_{n}")
         both = s.merge(here, carried)
-        out = out.withColumn(n, F.when(gates[s.edge], both).otherwise(here) if s.edge else both)
-    out = out.drop("_first", "_end", *[f"_{p}_{n}" for n in outs for p in "lc"])
+        values.append((F.when(gates[s.edge], both).otherwise(here) if s.edge else both).alias(n))
+    out = joined.select(*df.columns, *values)
     return out if keep else out.drop(CHUNK, LAST)
 
 

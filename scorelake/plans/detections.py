@@ -442,7 +442,7 @@ def _(spark, d):
 def _(spark, d):
     from scorelake.operators.packing import consecutive_pairs
 
-    n = t.notes(spark, d).select("piece", "pos", F.expr("qty % 4").alias("size"), "fret")
+    n = t.notes(spark, d).withColumn("size", F.expr("qty % 4"))
     link = lambda nxt: (F.abs(F.col("size") - nxt["size"]) <= 1) & nxt["fret"].between(2, 18)
     return consecutive_pairs(n, ["piece"], "pos", ["size", "fret"], link)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import sampling, segments
 from scorelake.operators.ordered import (
+    cut_columns,
     latest,
     number_islands,
     previous,
@@ -321,7 +322,9 @@ PERIODS_SQL = (
 
 
 def highlight_spans(spark, d):
-    return t.notes(spark, d).select(
+    n = t.notes(spark, d)
+    return n.select(
+        *cut_columns(n),
         "piece",
         "pos",
         F.expr("case when linenumber <> 7 then qty % 3 * 12 end").alias("a"),
@@ -362,7 +365,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    pages = t.notes(spark, d).select("piece", "pos", "fret", "conf")
+    pages = t.notes(spark, d)
     return segments.overlap_strips(
         pages, ["piece"], ["pos"], F.col("fret") + 50, F.col("conf") >= 0.035
     ).select("piece", "pos", "strip", "x")
@@ -632,7 +635,7 @@ def _(spark, d):
     ),
 )
 def _(spark, d):
-    n = t.notes(spark, d).select("piece", "pos", F.expr("case when conf < 0.03 then pos end").alias("f"))
+    n = t.notes(spark, d).withColumn("f", F.expr("case when conf < 0.03 then pos end"))
     firsts = n.groupBy("piece").agg(F.min("f").alias("wrap"))
     ahead = scan(n, "piece", "pos", {"ahead": upcoming(F.col("f"), inclusive=False)})
     return ahead.join(firsts, "piece").select(

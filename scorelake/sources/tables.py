@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelake.operators.ordered import row_number, scan
+from scorelake.operators.ordered import relabelled, row_number, scan
 
 
 def table(spark: SparkSession, folder: str, name: str, rid: bool = False) -> DataFrame:
@@ -62,10 +62,12 @@ NOTE_ORDER = [
 
 
 def notes(spark: SparkSession, folder: str) -> DataFrame:
-    """Score notes: four to a measure, two to a beat, numbered inside their piece."""
+    """Score notes: four to a measure, two to a beat, numbered inside their piece. The cuts
+    made for numbering hold for ``(piece, pos)`` too and stay in place for later scans."""
     items = table(spark, folder, "lineitem", rid=True)
-    placed = scan(items, "l_orderkey", [*NOTE_ORDER, "rid"], {"pos": row_number()})
+    placed = scan(items, "l_orderkey", [*NOTE_ORDER, "rid"], {"pos": row_number()}, keep=True)
     return placed.select(
+        *relabelled(placed, "piece", "pos"),
         F.col("l_orderkey").alias("piece"),
         F.expr("(pos - 1) div 4 + 1").alias("measure"),
         F.expr("(pos - 1) % 4 div 2 + 1").alias("beat"),
