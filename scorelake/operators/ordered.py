@@ -102,6 +102,13 @@ def chunked(
     )
 
 
+def spread_over(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
+    """Hashes rows over all shuffle partitions in front of work that costs more than its bytes
+    tell, so that small partitions are not merged."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *_names(keys))
+
+
 @dataclass(frozen=True)
 class Scan:
     """One output of :func:`scan`."""

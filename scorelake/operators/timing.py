@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions import ticks as tk
+from scorelake.operators.ordered import spread_over
 
 # Note values a reading may have, and the price of a triplet read without its "3".
 READABLE = (1, 2, 4, 8, 16, 32)
@@ -32,19 +33,32 @@ def with_readings(df: DataFrame, name: str, **evidence: str) -> DataFrame:
     """Adds the possible durations of each beat as an array, in the order they are thought of;
     the same reading twice keeps the higher probability. ``evidence`` names the columns."""
     raw = _readings(**{k: F.col(v) for k, v in evidence.items()})
-    valid = F.col("_valid")
-    same = lambda a, b: (
-        (a["duration"] == b["duration"]) & (a["dots"] == b["dots"]) & a["tuplet"].eqNullSafe(b["tuplet"])
-    )
-    best = lambda o: F.array_max(
-        F.transform(F.filter(valid, lambda q: same(o, q)), lambda q: q["p"])
+    key = lambda o: F.struct(o["duration"], o["dots"], o["tuplet"])
+    tagged = F.transform(
+        "_raw",
+        lambda o, i: F.struct(
+            o["duration"].alias("duration"), o["dots"].alias("dots"), o["tuplet"].alias("tuplet"),
+            i.alias("i"), o["p"].alias("p"),
+        ),
     )
-    first = lambda o, i: ~F.exists(F.slice(valid, 1, i), lambda q: same(o, q))
-    kept = F.transform(
-        F.filter(valid, first),
-        lambda o: _option(o["duration"], o["dots"], o["tuplet"], best(o)),
+    readable = F.array_sort(F.filter(tagged, lambda o: o["duration"].isin(*READABLE) & (o["p"] > 0)))
+    near = F.col("_valid")  # sorted by reading, so the same ones (four at most) lie together
+
+    def best(o: Column, i: Column) -> Column:
+        more = [F.get(near, i + k) for k in (1, 2, 3)]
+        return F.greatest(o["p"], *[F.when(key(m).eqNullSafe(key(o)), m["p"]) for m in more])
+
+    merged = F.transform(
+        near,
+        lambda o, i: F.when(
+            (i == 0) | ~key(F.get(near, i - 1)).eqNullSafe(key(o)),
+            F.struct(
+                o["i"].alias("i"), o["duration"].alias("duration"), o["dots"].alias("dots"),
+                o["tuplet"].alias("tuplet"), best(o, i).alias("p"),
+            ),
+        ),
     )
-    readable = F.filter("_raw", lambda o: o["duration"].isin(*READABLE) & (o["p"] > 0))
+    kept = F.array_sort(F.filter(merged, lambda o: o.isNotNull()))
     # one step per column, so that no array is built more than once
     return df.withColumn("_raw", raw).withColumn("_valid", readable).withColumn(name, kept).drop(
         "_raw", "_valid"
@@ -161,7 +175,7 @@ def solve_measures(
     """Exact-sum durations per measure. The readings of a measure (a handful of beats) travel
     as one row, so the solver runs on Arrow batches of measures."""
     key_type = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.groupBy(*measure, room).agg(
+    rows = spread_over(df, measure).groupBy(*measure, room).agg(
         F.array_sort(F.collect_list(F.struct(order, options))).alias("_beats")
     )
     schema = ", ".join(

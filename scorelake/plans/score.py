@@ -309,10 +309,10 @@ def _(spark, d):
             count(*) over (partition by piece, measure, voice, g) size from gp)""",
         "ls as (select *, unnest(range(1, n + 1)) level from ks where size > 1 and n > 0)",
         "rs as (select *, k - row_number() over (partition by piece, measure, voice, g, level order by k) gap from ls)",
-        """js as (select *, row_number() over (partition by piece, measure, voice, g, level, gap order by k) i,
+        """js as (select *, row_number() over (partition by piece, measure, voice, g, level, gap order by k) ri,
             count(*) over (partition by piece, measure, voice, g, level, gap) al from rs)""",
         """select piece, measure, voice, pos, level, case when al = 1 and k = 1 then 'forward hook' when al = 1 then
-            'backward hook' when i = 1 then 'begin' when i = al then 'end' else 'continue' end kind from js""",
+            'backward hook' when ri = 1 then 'begin' when ri = al then 'end' else 'continue' end kind from js""",
     ),
 )
 def _(spark, d):
