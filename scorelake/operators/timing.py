@@ -253,7 +253,9 @@ def placed_voices(df: DataFrame, voice: Sequence[str], room: str) -> DataFrame:
         F.lit(0).cast("long").alias("at"), F.lit(False).alias("full"), empty.alias("out")
     )
     folded = beats.select(*voice, room, F.aggregate("_b", zero, step)["out"].alias("_o"))
-    return folded.select(*voice, room, F.explode("_o").alias("p")).select(*voice, room, "p.*")
+    # the plain form would test the size of the array first and fold it twice
+    rows = folded.select(*voice, room, F.explode_outer("_o").alias("p"))
+    return rows.where(F.col("p.pos").isNotNull()).select(*voice, room, "p.*")
 
 
 def beams(df: DataFrame, voice: Sequence[str], beat: Column) -> DataFrame:

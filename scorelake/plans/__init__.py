@@ -1,6 +1,6 @@
 """Registered queries."""
 
 from scorelake.plans.registry import QUERIES, SQL
-from scorelake.plans import detections, score, sequences, written  # noqa: F401
+from scorelake.plans import detections, inputs, score, sequences, written  # noqa: F401
 
 __all__ = ["QUERIES", "SQL"]

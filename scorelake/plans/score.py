@@ -135,7 +135,7 @@ def options(spark, d):
 
 @register("prj11_candidate_readings", sql("v_notes", *READINGS_SQL, "select piece, pos, duration, dots, tuplet, round(p, 9) p from readings"))
 def _(spark, d):
-    return options(spark, d).select("piece", "pos", F.explode("options").alias("o")).select(
+    return options(spark, d).select("piece", "pos", F.explode_outer("options").alias("o")).select(
         "piece", "pos", "o.duration", "o.dots", "o.tuplet", F.round("o.p", 9).alias("p")
     )
 
@@ -154,7 +154,7 @@ def _(spark, d):
     o = options(spark, d).withColumn(
         "options", timing.dotted_rest_preference(c("options"), c("rest_kind"), c("dot"))
     )
-    return o.select("piece", "pos", F.explode("options").alias("o")).select(
+    return o.select("piece", "pos", F.explode_outer("options").alias("o")).select(
         "piece", "pos", "o.duration", "o.dots", "o.tuplet", F.round("o.p", 9).alias("p")
     )
 

@@ -289,10 +289,11 @@ def _(spark, d):
     "snk1_nested_documents",
     sql(
         "v_notes",
-        """bt as (select piece, measure, beat, json_object('beat', beat, 'duration', min_by(duration, pos), 'rest', bool_and(partkey % 6 = 0),
-            'notes', json_group_array(json_object('string', string_, 'fret', fret, 'tied', tied) order by pos)) j from v_notes group by all)""",
-        """select piece, measure, cast(json_object('piece', piece, 'measure', measure, 'beats', json_group_array(j order by beat)) as varchar) doc
-           from bt group by piece, measure""",
+        """bt as (select piece, measure, beat, min_by(duration, pos) duration, bool_and(partkey % 6 = 0) rest, to_json(list(
+            json_object('string', string_, 'fret', fret, 'tied', tied) order by pos)) notes from v_notes group by piece, measure, beat)""",
+        """bs as (select piece, measure, to_json(list(json_object('beat', beat, 'duration', duration, 'rest', rest, 'notes', notes)
+            order by beat)) beats from bt group by piece, measure)""",
+        "select piece, measure, cast(json_object('piece', piece, 'measure', measure, 'beats', beats) as varchar) doc from bs",
     ),
 )
 def _(spark, d):
