@@ -552,7 +552,7 @@ def _(spark, d):
     "ev10_numbering_statistics",
     sql(
         "v_notes",
-        "rd as (select piece, measure, case when min(partkey) % 5 <> 0 then measure + case when min(suppkey) % 9 = 0 then 1 else 0 end end read_, measure final_ from v_notes group by all)",
+        "rd as (select piece, measure, case when min(partkey) % 5 <> 0 then measure + case when min(suppkey) % 9 = 0 then 1 else 0 end end read_, measure final_ from v_notes group by piece, measure)",
         """select piece, count(*) measures, count(read_) ocr_read, count(*) filter (read_ = final_) agrees, count(read_) - count(distinct read_) duplicates,
             count(*) filter (final_ = measure) in_sequence from rd group by piece""",
     ),
