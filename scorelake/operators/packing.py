@@ -31,3 +31,44 @@ def consecutive_pairs(
     return step.where(F.col("_link") & ((F.col("_count") - F.col("_zero")) % 2 == 0)).select(
         *keys, F.col(order).alias(f"first_{order}"), F.col("_next")[order].alias(f"second_{order}")
     )
+
+
+def packed_lines(df: DataFrame, keys: Sequence[str], cuts: str, width: int) -> DataFrame:
+    """Lines ``[a, b)`` no wider than ``width`` made of the stretches between sorted cuts; a
+    wider stretch gets its own line. ``cuts`` is an array of distinct pixel positions."""
+    start = F.struct(
+        F.get(cuts, F.lit(0)).alias("a"), F.get(cuts, F.lit(0)).alias("b"),
+        F.array().cast("array<struct<a:bigint,b:bigint>>").alias("out"),
+    )
+
+    def step(acc: Column, cut: Column) -> Column:
+        full = (cut - acc["a"] > width) & (acc["b"] > acc["a"])
+        line = F.struct(acc["a"].alias("a"), acc["b"].alias("b"))
+        return F.struct(
+            F.when(full, acc["b"]).otherwise(acc["a"]).alias("a"), cut.alias("b"),
+            F.when(full, F.array_append(acc["out"], line)).otherwise(acc["out"]).alias("out"),
+        )
+
+    done = lambda acc: F.array_append(acc["out"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))
+    lines = df.select(*keys, F.aggregate(cuts, start, step, done).alias("_l"))
+    return lines.select(*keys, F.explode_outer("_l").alias("l")).select(*keys, "l.a", "l.b")
+
+
+def suppressed(df: DataFrame, keys: Sequence[str], near: int) -> DataFrame:
+    """Keeps a detection when no kept one of higher confidence (the lower ``x`` on a tie) lies
+    closer than ``near``. Only the best one per pixel can stay, so a key holds at most one image
+    width of candidates, folded as one array."""
+    best = df.groupBy(*keys, "x").agg(F.max("conf").alias("conf"))
+    ranked = best.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct((-F.col("conf")).alias("c"), "x"))).alias("_r")
+    )
+    none = F.array().cast("array<struct<c:double,x:bigint>>")
+    kept = F.aggregate(
+        "_r",
+        none,
+        lambda acc, r: F.when(F.exists(acc, lambda k: F.abs(k["x"] - r["x"]) < near), acc).otherwise(
+            F.array_append(acc, F.struct(r["c"].alias("c"), r["x"].alias("x")))
+        ),
+    )
+    rows = ranked.select(*keys, kept.alias("_k")).select(*keys, F.explode_outer("_k").alias("k"))
+    return rows.select(*keys, "k.x", (-F.col("k.c")).alias("conf"))
