@@ -118,20 +118,14 @@ def _readings(
 
 def dotted_rest_preference(options: Column, rest_kind: Column, dot: Column) -> Column:
     """A dot beside a rest makes its dotted readings likely, the plain ones not."""
-    liked = F.transform(
-        options,
-        lambda o: _option(
-            o["duration"], o["dots"], o["tuplet"],
-            o["p"] * F.when(o["dots"] > 0, F.lit(12.0)).otherwise(F.lit(0.1)),
-        ),
-    )
-    return F.when(rest_kind.isNotNull() & dot, liked).otherwise(options)
+    dotted_rest = rest_kind.isNotNull() & dot
+    factor = lambda o: F.when(~dotted_rest, 1.0).when(o["dots"] > 0, 12.0).otherwise(0.1)
+    return F.transform(options, lambda o: o.withField("p", o["p"] * factor(o)))
 
 
 def _length(o: dict) -> int:
-    n = tk.plain(o["duration"], o["dots"])
-    t = o["tuplet"]
-    return n if not t else n * tk.TUPLETS.get(t, t) // t
+    n, t = tk.plain(int(o["duration"]), int(o["dots"])), o["tuplet"]
+    return n if not t else n * tk.TUPLETS.get(int(t), int(t)) // int(t)
 
 
 def best_exact_sum(beats: list[list[dict]], room: int, triplets: bool = True):
