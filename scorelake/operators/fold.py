@@ -35,6 +35,10 @@ class Fold:
     def end(self) -> list[tuple]:
         return []
 
+    def tick(self, now) -> tuple[list[tuple], float | None]:
+        """What time alone finishes at ``now``, and when to ask again (streams only)."""
+        return [], None
+
     def state(self) -> str:
         return json.dumps(self.s, sort_keys=True)
 
