@@ -40,18 +40,16 @@ def overlap_join(
 
 
 def within(
-    probes: DataFrame,
-    rows: DataFrame,
-    keys: Sequence[str],
-    lo: Column,
-    hi: Column,
-    at: str,
-    how: str = "inner",
+    probes: DataFrame, rows: DataFrame, keys: Sequence[str], lo: Column, hi: Column, at: str, span: int
 ) -> DataFrame:
-    """Rows whose whole position ``at`` lies in the probe's short range ``[lo, hi]``: the range
-    is spelled out, so the join is on equal values."""
-    spelled = probes.withColumn(at, F.explode(F.sequence(lo, hi)))
-    return spelled.join(rows, [*keys, at], how)
+    """Probes with the rows whose whole position ``at`` lies in ``[lo, hi]``, a range of at most
+    ``span`` pixels: a probe goes to the one or two cells of that width it touches, a row to
+    its own."""
+    cell = lambda x: F.floor(x / span)
+    p = probes.withColumns({"_lo": lo, "_hi": hi})
+    p = p.withColumn("_b", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
+    near = p.join(rows.withColumn("_b", cell(F.col(at))), [*keys, "_b"])
+    return near.where(F.col(at).between(F.col("_lo"), F.col("_hi"))).drop("_b", "_lo", "_hi")
 
 
 def best_overlap(
@@ -138,6 +136,10 @@ def support(
 ) -> DataFrame:
     """In how many frames of its video some detection overlaps each distinct detection."""
     spans = merged(df, [*video, frame], a, b).withColumnsRenamed({a: "_s", b: "_e"})
+    w = Window.partitionBy(*video, frame).orderBy("_s")
+    spans = spans.withColumn("_pe", F.lag("_e").over(w))
     kinds = df.select(*video, a, b).distinct()
     pairs = overlap_join(kinds, spans, video, (a, b), ("_s", "_e"), bucket, closed=True)
-    return pairs.groupBy(*video, a, b).agg(F.count_distinct(frame).alias("frames"))
+    # of the spans of one frame only the first that overlaps has its forerunner left of it
+    first = F.col("_pe").isNull() | (F.col("_pe") < F.col(a))
+    return pairs.where(first).groupBy(*video, a, b).agg(F.count("*").alias("frames"))

@@ -199,22 +199,26 @@ def solve_measures(
     return rows.mapInPandas(run, schema)
 
 
-def placed_voices(df: DataFrame, voice: Sequence[str], room: str) -> DataFrame:
+def placed_voices(
+    df: DataFrame, voice: Sequence[str], room: str, extra: Sequence[str] = ()
+) -> DataFrame:
     """Voices made writable: beats in time order, none before the end of the one before, none
     past the measure end; a beat too long for the room before the next one is shortened and
     spelled again.
 
     ``df`` has ``pos, onset, duration, dots, tuplet, rest``; a measure's voice is a few beats
-    and is folded as one array inside the JVM."""
-    beats = df.groupBy(*voice, room).agg(
+    and is folded as one array inside the JVM. ``extra`` columns of a beat stay with it."""
+    kinds = dict(df.dtypes)
+    beats = spread_over(df, voice).groupBy(*voice, room).agg(
         F.array_sort(
-            F.collect_list(F.struct("onset", "pos", "duration", "dots", "tuplet", "rest"))
+            F.collect_list(F.struct("onset", "pos", "duration", "dots", "tuplet", "rest", *extra))
         ).alias("_b")
     )
     cap = F.col(room)
+    more = "".join(f",{x}:{kinds[x]}" for x in extra)
     empty = F.array().cast(
         "array<struct<pos:bigint,start:bigint,length:bigint,duration:bigint,dots:bigint,"
-        "tuplet:bigint,rest:boolean>>"
+        f"tuplet:bigint,rest:boolean{more}>>"
     )
 
     def step(acc: Column, b: Column) -> Column:
@@ -235,6 +239,7 @@ def placed_voices(df: DataFrame, voice: Sequence[str], room: str) -> DataFrame:
             F.when(long_, cut["dots"]).otherwise(b["dots"]).alias("dots"),
             F.when(~long_, b["tuplet"]).alias("tuplet"),
             b["rest"].alias("rest"),
+            *[b[x].alias(x) for x in extra],
         )
         full = acc["full"] | (start >= cap)
         return F.struct(

@@ -319,7 +319,7 @@ def _(spark, d):
     arcs = t.boxes(spark, d).select(
         "frame", F.expr("x0 + supp % 7 - 3").alias("x"), F.expr("x1 + 40").alias("r")
     ).distinct()
-    near = iv.within(pairs, arcs, ["frame"], F.col("ax") - 8, F.col("ax") + 8, "x")
+    near = iv.within(pairs, arcs, ["frame"], F.col("ax") - 8, F.col("ax") + 8, "x", 17)
     return near.where(F.abs(F.col("r") - F.col("bx")) <= 8).select(
         "frame", "string_", F.col("ax").alias("x")
     ).distinct()
@@ -348,8 +348,8 @@ def _(spark, d):
     ).distinct()
     keys = ["frame", "string_"]
     x = F.col("x")
-    left = iv.within(marks, notes, keys, x - 26, x - 8, "l").groupBy(*keys, "x", "down_").agg(F.max("l").alias("a"))
-    right = iv.within(marks, notes, keys, x + 10, x + 28, "l").groupBy(*keys, "x", "down_").agg(F.min("l").alias("z"))
+    left = iv.within(marks, notes, keys, x - 26, x - 8, "l", 19).groupBy(*keys, "x", "down_").agg(F.max("l").alias("a"))
+    right = iv.within(marks, notes, keys, x + 10, x + 28, "l", 19).groupBy(*keys, "x", "down_").agg(F.min("l").alias("z"))
     near = marks.join(left, [*keys, "x", "down_"], "left").join(right, [*keys, "x", "down_"], "left")
     kind = F.expr(
         """case when a is not null and z is not null then
@@ -365,7 +365,7 @@ def _(spark, d):
     sql(
         "v_boxes",
         "points as (select distinct frame, x0 x from v_boxes)",
-        "ext as (select distinct frame, x1 - 3 lo, x1 + 35 hi from v_boxes where item % 3 = 0)",
+        "ext as (select distinct frame, x1 - 3 lo, x1 + 35 hi from v_boxes)",
         """select frame, x, exists (select 1 from ext e where e.frame = p.frame and x between lo and hi) inside
            from points p""",
     ),
@@ -373,7 +373,7 @@ def _(spark, d):
 def _(spark, d):
     b = t.boxes(spark, d)
     points = b.select("frame", F.col("x0").alias("x")).distinct().withColumn("tie", F.lit(0).cast("long"))
-    ext = b.where("item % 3 = 0").select(
+    ext = b.select(
         "frame", F.expr("x1 - 3").alias("lo"), F.expr("x1 + 35").alias("hi")
     ).distinct()
     return iv.inside_any(points, ext, ["frame"], "x", "tie").drop("tie")
@@ -383,7 +383,7 @@ def _(spark, d):
     "jn15_bracketed_numbers",
     sql(
         "v_boxes",
-        "o as (select distinct frame, supp % 4 row_, x0 ox from v_boxes where item % 2 = 0)",
+        "o as (select distinct frame, supp % 4 row_, x0 ox from v_boxes)",
         "c as (select distinct frame, supp % 4 row_, x1 cx from v_boxes)",
         "br as (select frame, row_, ox, min(cx) cx from o join c using (frame, row_) where cx - ox between 1 and 30 group by all)",
         "n as (select frame, supp % 4 row_, x0 + 8 x, max(x1 - x0) h from v_boxes group by all)",
@@ -396,12 +396,12 @@ def _(spark, d):
 def _(spark, d):
     b = t.boxes(spark, d).withColumn("row_", F.expr("supp % 4"))
     keys = ["frame", "row_"]
-    opens = b.where("item % 2 = 0").select(*keys, F.col("x0").alias("ox")).distinct()
+    opens = b.select(*keys, F.col("x0").alias("ox")).distinct()
     closes = b.select(*keys, F.col("x1").alias("cx")).distinct()
     ox = F.col("ox")
-    pairs = iv.within(opens, closes, keys, ox + 1, ox + 30, "cx").groupBy(*keys, "ox").agg(F.min("cx").alias("cx"))
+    pairs = iv.within(opens, closes, keys, ox + 1, ox + 30, "cx", 30).groupBy(*keys, "ox").agg(F.min("cx").alias("cx"))
     numbers = b.groupBy(*keys, F.expr("x0 + 8").alias("x")).agg(F.expr("max(x1 - x0)").alias("h"))
-    inside = iv.within(pairs.where("cx - ox > 1"), numbers, keys, ox + 1, F.col("cx") - 1, "x").groupBy(*keys, "ox").agg(
+    inside = iv.within(pairs.where("cx - ox > 1"), numbers, keys, ox + 1, F.col("cx") - 1, "x", 30).groupBy(*keys, "ox").agg(
         F.count("*").alias("inside"), F.max("h").alias("h")
     )
     found = pairs.join(inside, [*keys, "ox"], "left")
@@ -466,10 +466,10 @@ def _(spark, d):
     parens = b.select("frame", F.expr("x1 % 400").alias("p")).distinct()
     arcs = b.select("frame", F.col("x1").alias("e")).distinct()
     x0 = F.col("x0")
-    left = iv.within(nums, parens, ["frame"], x0 - 27, x0 - 2, "p").groupBy("frame", "x0").agg(F.min("p").alias("l"))
-    right = iv.within(nums, parens, ["frame"], x0 + 9, x0 + 34, "p").select("frame", "x0").distinct()
+    left = iv.within(nums, parens, ["frame"], x0 - 27, x0 - 2, "p", 26).groupBy("frame", "x0").agg(F.min("p").alias("l"))
+    right = iv.within(nums, parens, ["frame"], x0 + 9, x0 + 34, "p", 26).select("frame", "x0").distinct()
     closed = left.join(right, ["frame", "x0"])
-    tied = iv.within(closed, arcs, ["frame"], F.col("l") - 40, F.col("l") + 1, "e").select(
+    tied = iv.within(closed, arcs, ["frame"], F.col("l") - 40, F.col("l") + 1, "e", 42).select(
         "frame", "x0", F.lit(True).alias("t")
     ).distinct()
     return nums.join(tied, ["frame", "x0"], "left").select(
@@ -525,7 +525,7 @@ def _(spark, d):
         F.expr("min(supp % 12)").alias("lab"), F.min("conf").alias("conf")
     )
     bar = F.col("bar")
-    near = iv.within(bars, tokens, ["frame"], bar - 30, bar + 30, "x")
+    near = iv.within(bars, tokens, ["frame"], bar - 30, bar + 30, "x", 61)
     w = Window.partitionBy("frame", "bar").orderBy("x")  # 61 pixels at most
     jump = F.when(F.col("x") - F.lag(F.col("x") + 4).over(w) <= 4, 0).otherwise(1)
     chains = near.withColumn("j", jump).withColumn("run", F.sum("j").over(w)).groupBy("frame", "bar", "run").agg(
@@ -568,7 +568,7 @@ def _(spark, d):
     ).distinct()
     beats = b.where("item % 4 <> 0").select("frame", F.col("x0").alias("bx")).distinct()
     free = dots.join(words, ["frame", "x"], "left_anti")
-    near = iv.within(free, beats, ["frame"], F.col("x") - 20, F.col("x") + 20, "bx")
+    near = iv.within(free, beats, ["frame"], F.col("x") - 20, F.col("x") + 20, "bx", 41)
     return near.groupBy("frame", "x").agg(
         F.min_by("bx", F.struct(F.abs(F.col("bx") - F.col("x")), "bx")).alias("beat_x")
     )
@@ -623,7 +623,7 @@ def _(spark, d):
         "frame", F.expr("x1 % 400").alias("m"), F.expr("item % 40").alias("my"), F.expr("item % 4").alias("kind")
     ).distinct()
     x = F.col("x")
-    near = iv.within(heads, marks, ["frame"], x - 12, x + 12, "m")
+    near = iv.within(heads, marks, ["frame"], x - 12, x + 12, "m", 25)
     gap, rise = F.abs(F.col("m") - x), F.abs(F.col("my") - F.col("y"))
     flags = near.groupBy("frame", "x", "y").agg(
         F.bool_or((F.col("kind") == 0) & (rise < 9)).alias("ghost"),

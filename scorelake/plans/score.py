@@ -271,8 +271,8 @@ def drum_beats(spark, d):
 VOICE = ["piece", "measure", "voice"]
 
 
-def placed(spark, d):
-    return timing.placed_voices(drum_beats(spark, d), VOICE, "cap")
+def placed(spark, d, extra=()):
+    return timing.placed_voices(drum_beats(spark, d), VOICE, "cap", extra)
 
 
 @register("udf4_writable_voice", sql("v_notes", *PLACED_SQL, "select piece, measure, voice, pos, start, length, duration, dots, tuplet, rest from placed"))

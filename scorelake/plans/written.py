@@ -103,10 +103,12 @@ def _(spark, d):
 # ----------------------------------------------------------------- notation per measure
 
 
+NOTE = ["step", "octave", "head", "open_", "ghost", "accent"]
+
+
 def written_notes(spark, d):
     """Placed beats with their note, drum and beams."""
-    beats = drum_beats(spark, d)
-    where = placed(spark, d)
+    where = placed(spark, d, NOTE)
     beams = timing.beams(where, VOICE, F.lit(tk.TICKS // 4))
     marks = beams.groupBy(*VOICE, "pos").agg(
         F.array_join(
@@ -117,8 +119,8 @@ def written_notes(spark, d):
             "",
         ).alias("beams")
     )
-    notes = mp.resolve(beats.select(*VOICE, "pos", "step", "octave", "head", "open_", "ghost", "accent"), mp.preset(spark, "default"), "head")
-    return where.join(notes, [*VOICE, "pos"]).join(marks, [*VOICE, "pos"], "left")
+    notes = mp.resolve(where, mp.preset(spark, "default"), "head")
+    return notes.join(marks, [*VOICE, "pos"], "left")
 
 
 DEF_MAP = MAP_SQL.replace(_values(mp.DEFAULT | OWN), _values(mp.DEFAULT))
@@ -221,9 +223,8 @@ def _(spark, d):
     beats = drum_beats(spark, d)
     bars = beats.groupBy("piece", "measure").agg(F.max("cap").alias("cap"))
     bars = scan(bars, "piece", "measure", {"start_tick": running_sum(c("cap"), False), "before": previous(c("cap"))})
-    notes = mp.resolve(beats.select(*VOICE, "pos", "step", "octave", "head", "open_", "ghost", "accent"), mp.preset(spark, "default"), "head")
-    tempo = F.expr("20 + piece % 381")
-    return event_rows(bars, placed(spark, d).join(notes, [*VOICE, "pos"]), tempo)
+    notes = mp.resolve(placed(spark, d, NOTE), mp.preset(spark, "default"), "head")
+    return event_rows(bars, notes, F.expr("20 + piece % 381"))
 
 
 EFFECTS = {

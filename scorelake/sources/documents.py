@@ -89,17 +89,18 @@ def parse_songs(df: DataFrame, text: str) -> DataFrame:
 
 
 def flat_notes(songs: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Notes of parsed songs, one row each, missing fields at their defaults."""
-    at = songs.select(*key, F.posexplode("tracks").alias("track", "t"))
-    at = at.select(*key, "track", F.posexplode("t.measures").alias("m", "mm"))
-    at = at.select(*key, "track", "m", c("mm.number").alias("number"), F.coalesce("mm.confidence", F.lit(1.0)).alias("measure_conf"), F.posexplode("mm.beats").alias("b", "bb"))
+    """Notes of parsed songs, one row each, missing fields at their defaults. (The outer form of
+    explode keeps the engine from parsing once more just to test the size of each array.)"""
+    at = songs.select(*key, F.posexplode_outer("tracks").alias("track", "t"))
+    at = at.select(*key, "track", F.posexplode_outer("t.measures").alias("m", "mm"))
+    at = at.select(*key, "track", "m", c("mm.number").alias("number"), F.coalesce("mm.confidence", F.lit(1.0)).alias("measure_conf"), F.posexplode_outer("mm.beats").alias("b", "bb"))
     at = at.select(
         *key, "track", "m", "number", "measure_conf", "b",
         F.coalesce("bb.duration", F.lit(4)).alias("duration"), F.coalesce("bb.dots", F.lit(0)).alias("dots"),
-        c("bb.tuplet").alias("tuplet"), F.posexplode("bb.notes").alias("n", "nn"),
+        c("bb.tuplet").alias("tuplet"), F.posexplode_outer("bb.notes").alias("n", "nn"),
     )
     d = lambda f, v: F.coalesce(f"nn.{f}", F.lit(v)).alias(f)
-    return at.select(
+    return at.where("n is not null").select(
         *key, "track", "m", "number", "measure_conf", "b", "duration", "dots", "tuplet", "n",
         d("string", 0), d("fret", 0), d("confidence", 1.0), d("dead", False), d("tied", False),
         c("nn.bend").alias("bend"),
