@@ -36,10 +36,10 @@ def cut_marks(
     """Per key with any: the sorted order values that start a new chunk."""
     keys, order = _names(keys), _names(order)
     return (
-        df.select(*keys, F.struct(*order).alias("_at"))
-        .where(F.pmod(F.xxhash64("_at"), F.lit(rows)) == 0)
+        df.select(*keys, F.struct(*order).alias("_cut_at"))
+        .where(F.pmod(F.xxhash64("_cut_at"), F.lit(rows)) == 0)
         .groupBy(*keys)
-        .agg(F.sort_array(F.collect_set("_at")).alias("_marks"))
+        .agg(F.sort_array(F.collect_set("_cut_at")).alias("_cut_marks"))
     )
 
 
@@ -78,7 +78,7 @@ def chunked(
     if marks.isEmpty():
         return df.select("*", _label(F.lit(True), WHOLE, keys, order))
     at = F.struct(*order)
-    m = F.col("_marks")
+    m = F.col("_cut_marks")
     steps = F.sequence(F.ceil(F.log2(F.size(m) + 1)).cast("int"), F.lit(0), F.lit(-1))
     one = F.lit(1)
     found = F.aggregate(
@@ -93,11 +93,11 @@ def chunked(
     chunk = F.when(m.isNull(), F.lit(-1)).otherwise(found)
     return (
         df.join(F.broadcast(marks), keys, "left")
-        .withColumn("_at", chunk)
+        .withColumn("_cut_no", chunk)
         .select(
             *df.columns,
-            _label(F.col("_at"), CHUNK, keys, order),
-            _label(m.isNull() | (F.col("_at") == F.size(m)), LAST, keys, order),
+            _label(F.col("_cut_no"), CHUNK, keys, order),
+            _label(m.isNull() | (F.col("_cut_no") == F.size(m)), LAST, keys, order),
         )
     )
 
