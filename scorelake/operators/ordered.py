@@ -225,11 +225,11 @@ def scan(
     local = df.select(
         "*",
         *[s.local(w, r).alias(f"_l_{n}") for n, s in outs.items()],
-        *([F.lag(F.lit(1)).over(w).isNull().alias("_first")] if _uses(outs, "first") else []),
-        *([F.lead(F.lit(1)).over(w).isNull().alias("_end")] if _uses(outs, "last") else []),
+        *([F.lag(F.lit(1)).over(w).isNull().alias("_edge_first")] if _uses(outs, "first") else []),
+        *([F.lead(F.lit(1)).over(w).isNull().alias("_edge_last")] if _uses(outs, "last") else []),
     )
     joined = local.join(F.broadcast(carry), [*keys, CHUNK], "left")
-    gates = {"first": F.col("_first"), "last": F.col("_end")}
+    gates = {"first": F.col("_edge_first"), "last": F.col("_edge_last")}
     values = []
     for n, s in outs.items():
         here, carried = F.col(f"_l_{n}"), F.col(f"_c_{n}")
