@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -128,39 +129,74 @@ def _length(o: dict) -> int:
     return n if not t else n * tk.TUPLETS.get(int(t), int(t)) // int(t)
 
 
+@lru_cache(maxsize=1 << 14)
+def _ranked(options: tuple[tuple, ...]) -> tuple[list[tuple[int, float, int]], tuple, float]:
+    """Readings of a beat, likeliest first, as ``(ticks, log p, place)``; the likeliest one; the
+    log of a triplet third when it is plain, else none. Beats repeat, so this is kept."""
+    order = sorted(range(len(options)), key=lambda k: -options[k][3])
+    steps = [
+        (_length(dict(zip(("duration", "dots", "tuplet"), options[k], strict=False))), math.log(options[k][3]), k)
+        for k in order
+    ]
+    return steps, options[order[0]], math.log(options[order[0]][3])
+
+
 def best_exact_sum(beats: list[list[dict]], room: int, triplets: bool = True):
     """``(chosen, ok, score)``: one reading per beat with the highest joint probability whose
     lengths add up to ``room``; without such a choice the likeliest reading of each beat."""
-    ranked = [sorted(b, key=lambda o: -o["p"]) for b in beats]
-    if not ranked:
+    if not beats:
         return [], True, 0.0
-    last = len(ranked)
-    reached: list[dict[int, tuple[float, tuple]]] = [{} for _ in range(last + 1)]
-    reached[0][0] = (0.0, ())
-
-    def offer(at: int, total: int, score: float, way: tuple) -> None:
-        if total <= room and (total not in reached[at] or reached[at][total][0] < score):
-            reached[at][total] = (score, way)
-
+    ready = [
+        _ranked(tuple((o["duration"], o["dots"], o["tuplet"], o["p"]) for o in b)) for b in beats
+    ]
+    last = len(beats)
+    # per beat count: total -> (score, step back), a step being (place or None, step back)
+    reached: list[dict[int, tuple[float, tuple | None]]] = [{} for _ in range(last + 1)]
+    reached[0][0] = (0.0, None)
     for at in range(last):
-        tops = [r[0] for r in ranked[at : at + 3]]
-        alike = (
-            triplets
-            and len(tops) == 3
-            and all(o["duration"] == tops[0]["duration"] and not o["dots"] and o["tuplet"] is None for o in tops)
-        )
-        group = [{**o, "tuplet": 3} for o in tops] if alike else []
+        steps = ready[at][0]
+        onward = reached[at + 1]
+        third = _triplet(ready[at : at + 3]) if triplets else None
         for total, (score, way) in reached[at].items():
-            for o in ranked[at]:
-                offer(at + 1, total + _length(o), score + math.log(o["p"]), (*way, o))
-            if group:
-                priced = math.log(TRIPLET_P) + sum(math.log(o["p"]) for o in group)
-                offer(at + 3, total + sum(map(_length, group)), score + priced, (*way, *group))
-    if room in reached[last]:
-        score, way = reached[last][room]
-        return list(way), True, score
-    tops = [r[0] for r in ranked]
-    return tops, False, sum(math.log(o["p"]) for o in tops)
+            for ticks, lp, place in steps:
+                now = total + ticks
+                if now <= room:
+                    known = onward.get(now)
+                    if known is None or known[0] < score + lp:
+                        onward[now] = (score + lp, (place, way))
+            if third is not None:
+                now, value = total + third[0], score + third[1]
+                beyond = reached[at + 3]
+                if now <= room and (now not in beyond or beyond[now][0] < value):
+                    beyond[now] = (value, (None, way))
+    if room not in reached[last]:
+        tops = [_as_option(r[1]) for r in ready]
+        return tops, False, sum(r[2] for r in ready)
+    score, way = reached[last][room]
+    chosen: list[dict] = []
+    while way is not None:
+        place, way = way
+        at = last - len(chosen) - 1
+        if place is None:
+            chosen += [{**_as_option(ready[k][1]), "tuplet": 3} for k in (at, at - 1, at - 2)]
+        else:
+            chosen.append(beats[at][place])
+    return chosen[::-1], True, score
+
+
+def _as_option(o: tuple) -> dict:
+    return dict(zip(("duration", "dots", "tuplet", "p"), o, strict=True))
+
+
+def _triplet(three: list) -> tuple[int, float] | None:
+    """Ticks and log probability of three plain beats of one value read as a triplet."""
+    if len(three) < 3:
+        return None
+    tops = [r[1] for r in three]
+    if any(o[0] != tops[0][0] or o[1] or o[2] is not None for o in tops):
+        return None
+    ticks = 3 * _length({"duration": tops[0][0], "dots": 0, "tuplet": 3})
+    return ticks, math.log(TRIPLET_P) + sum(r[2] for r in three)
 
 
 def solve_measures(
