@@ -21,7 +21,7 @@ SEEN = ["t", "y", "item", "sig", "sharp"]
 
 def detections(events: DataFrame) -> DataFrame:
     """Events as detections of six-hour frames with a signature and a sharpness."""
-    ms = F.expr("unix_millis(cast(ts as timestamp))")
+    ms = F.unix_millis(t.instant("ts"))
     kind = F.expr("ascii(event_type) % 5")
     sig = F.shiftleft(F.lit(0x0F0F0F).cast("long"), 1).bitwiseXOR(
         F.call_function("shiftleft", F.lit(0xFFFF).cast("long"), (kind * 10).cast("int"))
@@ -29,7 +29,7 @@ def detections(events: DataFrame) -> DataFrame:
     return events.select(
         c("user_id").alias("vid"), F.floor(ms / UNIT_MS).alias("t"), F.floor("value").alias("y"),
         c("event_id").alias("item"), sig.alias("sig"), F.expr("event_id % 97").alias("sharp"),
-        c("ts").cast("timestamp").alias("ts"),
+        t.instant("ts").alias("ts"),
     )
 
 
@@ -61,9 +61,9 @@ RUN = "a bigint, z bigint, n bigint"
 
 
 def samples(events: DataFrame) -> DataFrame:
-    ms = F.expr("unix_millis(cast(ts as timestamp))")
+    ms = F.unix_millis(t.instant("ts"))
     return events.select(
-        c("user_id").alias("vid"), ms.alias("t"), "value", "event_id", c("ts").cast("timestamp").alias("ts")
+        c("user_id").alias("vid"), ms.alias("t"), "value", "event_id", t.instant("ts").alias("ts")
     )
 
 

@@ -18,8 +18,13 @@ def table(spark: SparkSession, folder: str, name: str, rid: bool = False) -> Dat
     return df
 
 
+def instant(col: str) -> Column:
+    """A zoneless time column read as UTC, whatever the zone of the session."""
+    return F.from_utc_timestamp(F.col(col).cast("timestamp"), F.current_timezone())
+
+
 def micros(col: str) -> Column:
-    return F.unix_micros(F.col(col).cast("timestamp"))
+    return F.unix_micros(instant(col))
 
 
 def frames(spark: SparkSession, folder: str) -> DataFrame:
