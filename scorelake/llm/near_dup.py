@@ -201,7 +201,7 @@ def can_link(n, at, m, other, percent: int):
     return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & ((100 + percent) * most >= percent * (n + m))
 
 
-def _stars(percent: int):
+def _stars(percent: int, common: int):
     def stars(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) to verify: all of a short list. Of a long one, each class of sizes with its most central row
         (whose shingles others share most), and these with each other; its rows are also given, for what is left."""
@@ -209,7 +209,7 @@ def _stars(percent: int):
         bucket = np.int64(key[0].as_py() & (1 << 20) - 1) << np.int64(32)
         for rows in _lists([x.as_py() for g in groups for x in g.column("rows")]):
             id, n, at = rows["id"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
-            if len(rows) <= COMMON:
+            if len(rows) <= common:
                 i, j = np.triu_indices(len(rows), 1)
                 good = can_link(n[i], at[i], n[j], at[j], percent)
                 pairs.append(np.stack([id[i[good]], id[j[good]]], 1))
@@ -223,6 +223,7 @@ def _stars(percent: int):
                 leads.append(id[i])
                 good = can_link(n[a:b], at[a:b], n[i], at[i], percent)
                 pairs.append(np.stack([np.full(int(good.sum()), id[i]), id[a:b][good]], 1))
+            leads = np.array(leads, np.int64)
             pairs.append(np.stack([leads[:-1], leads[1:]], 1))
             long.append(np.stack([id, np.full(len(id), int(bucket) + int(rows["t"][0])), n, at, kind, lead], 1))
         found = np.concatenate(pairs) if pairs else np.empty((0, 2), np.int64)
@@ -327,7 +328,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     posted = table.join(groups.select(F.col("lead").alias("id")), "id", "left_semi").select("id", "n", "shared", "prefix")
     lists = posted.mapInArrow(_postings(percent, shared, list_rows), "bucket long, rows binary")
     stars = "a long, b long, token long, n long, at long, kind long, lead long"
-    stars = written(lists.groupBy("bucket").applyInArrow(_stars(percent), stars), "stars")
+    stars = written(lists.groupBy("bucket").applyInArrow(_stars(percent, common), stars), "stars")
     long = stars.where("token is not null").select(F.col("a").alias("id"), "token", "n", "at", "kind", "lead")
     leads = long.where("lead = 1").select("token", "kind", "id").distinct()
     first = leads.groupBy("token", "kind").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
