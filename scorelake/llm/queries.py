@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import exact_dedup, language_id, mixing, near_dup, packing
+from scorelake.llm import exact_dedup, fingerprint, language_id, mixing, near_dup, packing, pii
 from scorelake.llm.common import documents, fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,12 @@ FROM d
 """
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, sf_dir))
+    base, spans = pii.spans_text(F.col("base")), pii.spans_text(F.col("spans"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2(base, 256).alias("base_sha256"), spans.alias("spans"), "n_found")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language_id.fitted(docs.where(fold("doc_id", 3) != 1))
@@ -61,15 +67,21 @@ FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.a = d.doc_id GROUP BY
 """
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path())
 
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
+    "op7_fingerprint": op7_fingerprint,
     "op10_packing": op10_packing,
 }
 SQL = {"op1_exact_dedup": OP1, "op6_ngram_jaccard": OP6}
