@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import exact_dedup, fingerprint, language_id, mixing, near_dup, packing, pii
+from scorelake.llm import exact_dedup, fingerprint, language_id, mixing, near_dup, packing, pii, quality, toxicity
 from scorelake.llm.common import documents, fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -71,6 +71,22 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(documents(spark, sf_dir))
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold("doc_id", 5) != 0)
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = quality.scored(docs, quality.fitted(docs, labels(spark, sf_dir))).drop("text")
+    return found.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = toxicity.scored(docs, toxicity.fitted(docs, labels(spark, sf_dir))).drop("text")
+    return found.withColumn("held_out", fold("doc_id", 5) == 0)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path())
 
@@ -82,6 +98,8 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_fingerprint": op7_fingerprint,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
 }
 SQL = {"op1_exact_dedup": OP1, "op6_ngram_jaccard": OP6}
