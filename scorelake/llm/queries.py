@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import exact_dedup, fingerprint, language_id, mixing, near_dup, packing, pii, quality, toxicity
+from scorelake.llm import exact_dedup, fingerprint, language_id, language_model, mixing, near_dup, packing, pii, quality, toxicity
 from scorelake.llm.common import documents, fold
 
 TOKENIZER = "word_bpe_49k.json"
@@ -28,6 +28,12 @@ FROM d
 """
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held = documents(spark, sf_dir).select("doc_id", "text"), fold("doc_id", 7) == 2
+    found = language_model.scored(docs, language_model.trained(docs.where(~held))).drop("text")
+    return found.withColumn("held_out", held)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(documents(spark, sf_dir))
     base, spans = pii.spans_text(F.col("base")), pii.spans_text(F.col("spans"))
@@ -93,6 +99,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_pii": op3_pii,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
