@@ -38,12 +38,12 @@ def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, limit: flo
 def subset(lengths: np.ndarray, stock: np.ndarray, budget: int, reserve: int = RESERVE) -> np.ndarray:
     """How many of each length to take, at most ``stock``, for a sum of ``budget`` or as little less as possible.
 
-    Every length first gives its share in proportion, the longest fill up to the last ``reserve`` words, and a
+    Beyond ``reserve`` words, every length first gives its share in proportion and the longest fill up; a
     bounded knapsack over the rest (a bit set of reachable sums) settles them, exactly where the stock allows."""
     total = int((lengths * stock).sum())
     if budget >= total:
         return stock.copy()
-    take = stock * budget // max(total, 1)
+    take = stock * budget // max(total, 1) if budget > reserve else np.zeros_like(stock)
     left = budget - int((take * lengths).sum())
     order = [i for i in np.argsort(-lengths, kind="stable") if lengths[i] > 0]
     for i in order:
