@@ -130,13 +130,36 @@ def _prefixes(n: int, percent: int, shared) -> object:
                 whole = mixed_bits(s)
                 same = [int(whole.sum() if len(s) else 0), int(np.bitwise_xor.reduce(whole * PLACES[0]) if len(s) else 0)]
                 group = int(mixed_bits(first * PLACES[1]).sum()) if len(s) else 0
-                rows.append((id, len(s), int((rank > 0).sum()), *(np.array([*same, group], np.uint64).view(np.int64).tolist()), first.astype("<u8").tobytes()))
+                rows.append((id, len(s), int((rank > 0).sum()), *(np.array([*same, group], np.uint64).view(np.int64).tolist()), first.astype("<u8").tobytes(), outline(s)))
             columns = list(zip(*rows))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.binary())], names=["id", "n", "shared", "same1", "same2", "group", "prefix"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns[:6]), *(pa.array(c, pa.binary()) for c in columns[6:])], names=["id", "n", "shared", "same1", "same2", "group", "prefix", "outline"])
 
     return prefixes
 
 
+def outline(s: np.ndarray) -> bytes:
+    """How many shingles lie in each part of the hash range, some two to a part: two sets have at most the sum of the
+    lesser numbers in common, whatever the parts hold."""
+    bits = max(1, len(s).bit_length() - 2)
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+
+
+def _outlined(percent: int):
+    def outlined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The pairs whose outlines allow a link."""
+        for batch in batches:
+            keep = []
+            for n, m, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5)):
+                x, y = np.frombuffer(x.as_py(), np.uint8), np.frombuffer(y.as_py(), np.uint8)
+                parts_ = min(len(x), len(y))
+                x, y = (v.reshape(parts_, -1).sum(1, dtype=np.int64) for v in (x, y))
+                most = int(np.minimum(x, y).sum())
+                keep.append(100 * most >= percent * (n + m - most))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    return outlined
+
+
 def _postings(percent: int, shared, list_rows: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks by bucket: (first 32 bits after the bucket's, id, size, place, shared) of each prefix shingle. Lists
@@ -196,8 +219,9 @@ def _lists(payloads: list[bytes]) -> Iterator[np.ndarray]:
 
 
 def can_link(n, at, m, other, percent: int):
-    """By sizes, and by what can be equal before and after a common shingle's places."""
-    most = np.minimum(n - at, m - other) + np.minimum(at, other)
+    """By sizes, and by what can be equal from a common shingle's places on. If it is the first that two sets share,
+    that is all they share; so two that link pass in that shingle's list, and needn't in the others."""
+    most = np.minimum(n - at, m - other)
     return (np.minimum(n, m) * 100 >= np.maximum(n, m) * percent) & ((100 + percent) * most >= percent * (n + m))
 
 
@@ -265,8 +289,13 @@ def _verify(percent: int):
     return verify
 
 
-def linked(docs: DataFrame, pairs: DataFrame, n: int, percent: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """The pairs (a, b) whose shingle sets link; only the texts of these pairs are read and hashed again."""
+def linked(docs: DataFrame, table: DataFrame, pairs: DataFrame, n: int, percent: int, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+    """The pairs (a, b) whose shingle sets link. Outlines sort out most pairs that don't; of the others, and only of
+    those, the texts are read and hashed again and the sets compared."""
+    a = table.select(F.col("id").alias("a"), F.col("n").alias("x"), F.col("outline").alias("o"))
+    b = table.select(F.col("id").alias("b"), F.col("n").alias("y"), F.col("outline").alias("p"))
+    pairs = pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y", "o", "p").mapInArrow(_outlined(percent), "a long, b long")
+    pairs = written(pairs.distinct(), "outlined")
     need = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "need")
     few = need.count() <= broadcast_ids
     sets = docs.join(F.broadcast(need), "id", "left_semi") if few else docs
@@ -316,15 +345,15 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     rows = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("binary").alias("text")).where("id is not null")
     tokens, counts, bits = common_shingles(rows, n, common, kept)
     shared = rows.sparkSession.sparkContext.broadcast((tokens, counts, bits))
-    kinds = "id long, n long, shared long, same1 long, same2 long, group long, prefix binary"
+    kinds = "id long, n long, shared long, same1 long, same2 long, group long, prefix binary, outline binary"
     table = written(rows.mapInArrow(_prefixes(n, percent, shared), kinds), "prefixes")
-    narrow = table.drop("prefix")
+    narrow = table.drop("prefix", "outline")
     full = narrow.where("n > 0")
     classes = written(full.groupBy("n", "same1", "same2").agg(F.min("id").alias("rep"), F.min("group").alias("group")), "classes")
     groups = written(classes.groupBy("n", "group").agg(F.min("rep").alias("lead"), F.count("*").alias("classes")), "groups")
     inside = classes.join(groups.where("classes > 1"), ["n", "group"]).where("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
     inside = written(inside, "inside")
-    edges = linked(rows, inside, n, percent, broadcast_ids)
+    edges = linked(rows, table, inside, n, percent, broadcast_ids)
     posted = table.join(groups.select(F.col("lead").alias("id")), "id", "left_semi").select("id", "n", "shared", "prefix")
     lists = posted.mapInArrow(_postings(percent, shared, list_rows), "bucket long, rows binary")
     stars = "a long, b long, token long, n long, at long, kind long, lead long"
@@ -334,11 +363,11 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     first = leads.groupBy("token", "kind").agg(F.min("id").alias("a"), F.count("*").alias("c")).where("c > 1").drop("c")
     pairs = stars.where("token is null").select("a", "b").union(first.join(leads, ["token", "kind"]).select(F.least("a", "id"), F.greatest("a", "id")).where("a <> id"))
     pairs = written(pairs.toDF("a", "b").distinct(), "pairs")
-    edges = written(edges.union(linked(rows, pairs, n, percent, broadcast_ids)), "edges")
-    more = written(_across(long, components(edges), percent).union(_expanded(pairs, classes, groups, components(edges))).distinct().join(pairs.union(inside), ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        edges = edges.union(linked(rows, more, n, percent, broadcast_ids))
+    edges = written(edges.union(linked(rows, table, pairs, n, percent, broadcast_ids)), "edges")
     known = components(edges)
+    more = written(_across(long, known, percent).union(_expanded(pairs, classes, groups, known)).distinct().join(pairs.union(inside), ["a", "b"], "left_anti"), "more")
+    if not more.isEmpty():
+        known = components(edges.union(linked(rows, table, more, n, percent, broadcast_ids)))
     labels = classes.join(known, classes["rep"] == known["id"], "left").select("n", "same1", "same2", F.coalesce("component", "rep").alias("component_id"))
     out = narrow.join(labels, ["n", "same1", "same2"], "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
@@ -352,7 +381,7 @@ def _across(long: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     main = main.agg(F.max_by("c", "k").alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
     small = of.join(main, "token").where("c <> main").select("token", *(F.col(k).alias(f"{k}2") for k in ("id", "n", "at", "c")))
     both = of.join(small, "token").where("c <> c2")
-    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) + F.least("at", "at2")
+    most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     both = both.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
     return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
 
