@@ -14,6 +14,8 @@ MODULUS = 1 << 20
 ONES = sum(1 << FIELD * f for f in range(3))
 LANES = ONES * (MODULUS - 1)
 LOW32 = (1 << 32) - 1
+#: Stands for a null id.
+NO_ID = -(2**63)
 
 
 def paragraphs(text: Column) -> Column:
@@ -91,7 +93,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     Null texts are empty. A null id comes before all others. Of rows that share an id, the one whose start is least is
     "next" to the id before. A single document is next to itself. Texts travel once, by id, and starts of up to a
     quarter of a text to the document before; keys are ids, so no group is large. Other columns are not read."""
-    rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(id).cast("long"), F.lit(-(2**63))).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    rows = docs.select(F.coalesce(F.col(id).cast("long"), F.lit(NO_ID)).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     ids = rows.groupBy("_k").agg(F.max(F.floor(F.length("_text") / 4)).cast("int").alias("_room"))
     after = written(next_ids(ids), "next")
     want = after.select(F.col("_next").alias("_k"), F.col("_k").alias("_for"), "_room")
@@ -100,12 +102,12 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     n = F.length("_text")
     kept, cut = (n - F.floor(n / 4)).cast("int"), F.floor(n / 4).cast("int")
     both = rows.join(starts, "_k").withColumn("_edited", F.concat(F.left("_text", kept), F.left("_start", cut)))
-    both = both.select("_id", "_k", "_text", "_edited", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
+    both = both.select("_k", "_text", "_edited", n.cast("long").alias("n_chars"), F.sha2("_edited", 256).alias("edited_sha256"))
     both = vectors(vectors(both, "_text", "_own"), "_edited", "_other").drop("_text", "_edited")
     both = written(both, "vectors")
     least = both.groupBy("_k").agg(F.min("_own").alias("_after_own")).withColumnRenamed("_k", "_next")
     out = both.join(after.select("_k", "_next"), "_k").join(least, "_next")
     return out.select(
-        F.col("_id").alias(id), "n_chars", "edited_sha256", text_of(F.col("_own")).alias("fingerprint"), text_of(F.col("_other")).alias("edited_fingerprint"),
+        F.nullif("_k", F.lit(NO_ID)).cast(docs.schema[id].dataType).alias(id), "n_chars", "edited_sha256", text_of(F.col("_own")).alias("fingerprint"), text_of(F.col("_other")).alias("edited_fingerprint"),
         likeness(F.col("_own"), F.col("_other")).alias("near_edited"), likeness(F.col("_own"), F.col("_after_own")).alias("near_next"),
     )
