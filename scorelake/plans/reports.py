@@ -421,20 +421,22 @@ def _(spark, d):
         "v_notes v_rec",
         *KEYED_SQL,
         """n as (select piece, count(*) filter (g) a, count(*) filter (r) b, count(*) filter (g and r) h, count(*) filter (g and r and gt = rt) t,
-            count(*) filter (g and r and gt) gties from mt group by piece)""",
+            count(*) filter (g and r and gt) gties, count(*) filter (g and r and rt) rties, count(*) filter (g and r and gt and rt) ties from mt group by piece)""",
         """select piece, a gt, b rec, h hit, round_even(100.0::double * h / nullif(a, 0), 2) recall, round_even(100.0::double * h / nullif(b, 0), 2) precision_,
-            round_even(100.0::double * t / nullif(h, 0), 2) tie_accuracy, round_even(100.0::double * gties / nullif(gties, 0), 2) tie_recall from n""",
+            round_even(100.0::double * t / nullif(h, 0), 2) tie_accuracy, round_even(100.0::double * ties / nullif(gties, 0), 2) tie_recall,
+            round_even(100.0::double * ties / nullif(rties, 0), 2) tie_precision from n""",
     ),
 )
 def _(spark, d):
     both = c("g") & c("r")
     n = matched(spark, d).groupBy("piece").agg(
         F.count_if("g").alias("gt"), F.count_if("r").alias("rec"), F.count_if(both).alias("hit"),
-        F.count_if(both & (c("g_tied") == c("r_tied"))).alias("t"), F.count_if(both & c("g_tied")).alias("ties"),
+        F.count_if(both & (c("g_tied") == c("r_tied"))).alias("t"), F.count_if(both & c("g_tied")).alias("g_ties"),
+        F.count_if(both & c("r_tied")).alias("r_ties"), F.count_if(both & c("g_tied") & c("r_tied")).alias("ties"),
     )
     return n.select(
         "piece", "gt", "rec", "hit", rp.percent(c("hit"), c("gt")).alias("recall"), rp.percent(c("hit"), c("rec")).alias("precision_"),
-        rp.percent(c("t"), c("hit")).alias("tie_accuracy"), rp.percent(c("ties"), c("ties")).alias("tie_recall"),
+        rp.percent(c("t"), c("hit")).alias("tie_accuracy"), rp.percent(c("ties"), c("g_ties")).alias("tie_recall"), rp.percent(c("ties"), c("r_ties")).alias("tie_precision"),
     )
 
 

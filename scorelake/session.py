@@ -25,11 +25,14 @@ def local_session(cores: str = "8", name: str = "scorelake") -> SparkSession:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a temporary one only where none is named."""
+    """The shared checkpoint folder of the cluster. A temporary one is made in local mode alone, where driver and
+    executors are one process; a cluster that names none is refused, as its executors could not read it."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
