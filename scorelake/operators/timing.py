@@ -200,13 +200,16 @@ def _triplet(three: list) -> tuple[int, float] | None:
 
 
 def solve_measures(
-    df: DataFrame, measure: Sequence[str], order: str, options: str, room: str
+    df: DataFrame, measure: Sequence[str], order: str, options: str, room: str,
+    triplets: Column | None = None,
 ) -> DataFrame:
     """Exact-sum durations per measure. The readings of a measure (a handful of beats) travel
-    as one row, so the solver runs on Arrow batches of measures."""
+    as one row, so the solver runs on Arrow batches of measures. Unmarked triplets are tried
+    where ``triplets`` holds for all beats, by default everywhere."""
     key_type = {f.name: f.dataType.simpleString() for f in df.schema}
+    allowed = F.lit(True) if triplets is None else triplets
     rows = spread_over(df, measure).groupBy(*measure, room).agg(
-        F.array_sort(F.collect_list(F.struct(order, options))).alias("_beats")
+        F.array_sort(F.collect_list(F.struct(order, options))).alias("_beats"), F.bool_and(allowed).alias("_triplets")
     )
     schema = ", ".join(
         [f"{k} {key_type[k]}" for k in measure]
@@ -220,7 +223,7 @@ def solve_measures(
             for row in pdf.itertuples(index=False):
                 r = dict(zip(pdf.columns, row, strict=True))
                 beats = [list(b[options]) for b in r["_beats"]]
-                chosen, ok, score = best_exact_sum(beats, int(r[room]))
+                chosen, ok, score = best_exact_sum(beats, int(r[room]), bool(r["_triplets"]))
                 for b, o in zip(r["_beats"], chosen, strict=True):
                     total = sum(c["p"] for c in b[options])
                     out.append(
@@ -375,6 +378,13 @@ def aligned_onsets(
     found = pairs.groupBy(*keys).agg(
         near_row.alias("n"), left.alias("l"), right.alias("r")
     )
+    found = aligned_places(found, near, F.lit(grid), room, "onset", "exact")
+    return found.select(*keys, "onset", "exact")
+
+
+def aligned_places(found: DataFrame, near: int, grid: Column, room: str, onset: str, exact: str) -> DataFrame:
+    """Adds the onset of the place ``x`` and whether it lies on an anchor, given the nearest anchor ``n`` and those on
+    both sides, ``l`` and ``r``, as structs ``(ax, ao)``."""
     f = (F.col("x") - F.col("l.ax")) / (F.col("r.ax") - F.col("l.ax"))
     frac = F.col("_f")
     found = found.withColumn("_f", nearest_fraction(f, 64)).withColumns({
@@ -385,7 +395,7 @@ def aligned_onsets(
     rest2 = (top - whole * bottom) * 2
     up = F.when(rest2 > bottom, 1).when(rest2 < bottom, 0).otherwise(whole % 2)
     snapped = F.least(F.col(room) - grid, F.greatest(F.lit(0).cast("long"), (whole + up) * grid))
-    exact = F.abs(F.col("n.ax") - F.col("x")) <= near
-    onset = F.when(exact | F.col("l").isNull() | F.col("r").isNull(), F.col("n.ao")).otherwise(snapped)
-    found = found.withColumn("_whole", F.floor(top / bottom))
-    return found.select(*keys, onset.alias("onset"), exact.alias("exact"))
+    on = F.abs(F.col("n.ax") - F.col("x")) <= near
+    place = F.when(on | F.col("l").isNull() | F.col("r").isNull(), F.col("n.ao")).otherwise(snapped)
+    found = found.withColumn("_whole", F.floor(top / bottom)).withColumns({onset: place, exact: on})
+    return found.drop("_f", "_top", "_bottom", "_whole")

@@ -179,16 +179,22 @@ def test_last_edit_counts_and_dead_notes_are_not_tied(spark):
     assert (out[2].fret, out[2].tied) == (2, False)
 
 
-def _event(pos, voice, x, p=1.0, duration=4, rest=False):
-    return {"pos": pos, "voice": voice, "x": x, "rest": rest, "dotted_rest": False, "options": [{"duration": duration, "dots": 0, "tuplet": None, "p": p}]}
-
-
-def test_pedal_voice_without_rests_follows_the_other_voice():
-    hands = [_event(i, 1, 100 * i) for i in range(4)]
-    feet = [_event(9, 2, 2), _event(10, 2, 203)]
-    rows, ok = voices.timed_measure(hands + feet, T, 400)
-    assert ok
-    assert [(e["pos"], at) for v, e, _o, at in rows if v == 2] == [(9, 0), (10, T // 2)]
+def test_pedal_voice_without_rests_follows_the_other_voice(spark):
+    option = [(4, 0, None, 1.0)]
+    hands, feet = [(i, 1, 100 * i) for i in range(4)], [(9, 2, 2), (10, 2, 203)]
+    rows = [(1, *e, False, False, option, T) for e in hands + feet]
+    schema = "m long, pos long, voice long, x long, rest boolean, dotted_rest boolean, options array<struct<duration:long,dots:long,tuplet:long,p:double>>, room long"
+    out = voices.timed_voices(spark.createDataFrame(rows, schema), ["m"], "room", 400).collect()
+    assert len(out) == 6 and all(r.ok for r in out)
+    assert sorted((r.pos, r.onset) for r in out if r.voice == 2) == [(9, 0), (10, T // 2)]
+
+
+def test_voices_that_only_add_up_together(spark):
+    option = [(4, 0, None, 1.0)]
+    rows = [(1, k, 1 + k % 2, 100 * k, False, False, option, T) for k in range(4)]
+    schema = "m long, pos long, voice long, x long, rest boolean, dotted_rest boolean, options array<struct<duration:long,dots:long,tuplet:long,p:double>>, room long"
+    out = voices.timed_voices(spark.createDataFrame(rows, schema), ["m"], "room", 400).collect()
+    assert sorted((r.pos, r.onset, r.ok) for r in out) == [(k, k * T // 4, True) for k in range(4)]
 
 
 def test_fold_objects_keep_their_rules():
