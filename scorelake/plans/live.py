@@ -33,6 +33,13 @@ def detections(events: DataFrame) -> DataFrame:
     )
 
 
+def live_rows(spark, d: str, view) -> st.Ending:
+    """The events of the table as a stream, with a delay by which no file is late."""
+    path = f"{d}/events.parquet"
+    delay = st.disorder_ms(spark.read.parquet(path).withColumn("ts", t.instant("ts")), "ts")
+    return st.with_end(view(st.table_stream(spark, path)), "ts", delay)
+
+
 @register("str1_tracks")
 def _(spark, d):
     seen = detections(t.table(spark, d, "events"))
@@ -41,8 +48,8 @@ def _(spark, d):
 
 @register("str1_tracks_stream")
 def _(spark, d):
-    seen = detections(st.table_stream(spark, d, "events.parquet"))
-    return st.run_to_table(st.stream_fold(seen, "vid", "ts", UNIT_MS, SEEN, tracking.Tracker, TRACK, "6 hours"))
+    seen = live_rows(spark, d, detections)
+    return st.run_to_table(st.stream_fold(seen, "vid", UNIT_MS, SEEN, tracking.Tracker, TRACK), seen)
 
 
 @register("str2_moving_tracks")
@@ -53,11 +60,18 @@ def _(spark, d):
 
 @register("str2_moving_tracks_stream")
 def _(spark, d):
-    seen = detections(st.table_stream(spark, d, "events.parquet"))
-    return st.run_to_table(st.stream_fold(seen, "vid", "ts", UNIT_MS, SEEN, tracking.MovingTracker, TRACK, "6 hours"))
+    seen = live_rows(spark, d, detections)
+    return st.run_to_table(st.stream_fold(seen, "vid", UNIT_MS, SEEN, tracking.MovingTracker, TRACK), seen)
 
 
 RUN = "a bigint, z bigint, n bigint"
+SEGMENTS = sql(
+    "",
+    "s as (select user_id vid, epoch_us(ts) // 1000 t, value, event_id from events)",
+    "j as (select *, case when abs(value - lag(value) over (partition by vid order by t, event_id)) < 40 then 0 else 1 end j from s)",
+    "r as (select *, sum(j) over (partition by vid order by t, event_id) g from j)",
+    "select vid, min(t) a, max(t) + 1 z, count(*) n from r group by vid, g having max(t) + 1 - min(t) >= 2",
+)
 
 
 def samples(events: DataFrame) -> DataFrame:
@@ -67,24 +81,15 @@ def samples(events: DataFrame) -> DataFrame:
     )
 
 
-@register(
-    "str3_segments",
-    sql(
-        "",
-        "s as (select user_id vid, epoch_us(ts) // 1000 t, value, event_id from events)",
-        "j as (select *, case when abs(value - lag(value) over (partition by vid order by t, event_id)) < 40 then 0 else 1 end j from s)",
-        "r as (select *, sum(j) over (partition by vid order by t, event_id) g from j)",
-        "select vid, min(t) a, max(t) + 1 z, count(*) n from r group by vid, g having max(t) + 1 - min(t) >= 2",
-    ),
-)
+@register("str3_segments", SEGMENTS)
 def _(spark, d):
-    return fold(samples(t.table(spark, d, "events")), ["vid"], ["t", "event_id"], ["t", "value"], tracking.Segmenter, RUN)
+    return fold(samples(t.table(spark, d, "events")), ["vid"], ["t", "event_id"], ["t", "event_id", "value"], tracking.Segmenter, RUN)
 
 
-@register("str3_segments_stream")
+@register("str3_segments_stream", SEGMENTS)
 def _(spark, d):
-    rows = samples(st.table_stream(spark, d, "events.parquet"))
-    return st.run_to_table(st.stream_fold(rows, "vid", "ts", 1, ["t", "value"], tracking.Segmenter, RUN, "6 hours"))
+    rows = live_rows(spark, d, samples)
+    return st.run_to_table(st.stream_fold(rows, "vid", 1, ["t", "event_id", "value"], tracking.Segmenter, RUN), rows)
 
 
 @register(
@@ -92,9 +97,8 @@ def _(spark, d):
     sql("", """select user_id vid, event_id from events qualify row_number() over (partition by user_id, epoch_us(ts) // 43200000000 order by ts, event_id) = 1"""),
 )
 def _(spark, d):
-    rows = samples(st.table_stream(spark, d, "events.parquet"))
-    # one file in time order: within a step the first row of a cell is the earliest
-    return st.run_to_table(st.stream_sample(rows, ["vid"], "ts", "12 hours", "1 day")).select("vid", "event_id")
+    rows = live_rows(spark, d, samples)
+    return st.run_to_table(st.stream_sample(rows, ["vid"], "12 hours", ["ts", "event_id"]), rows).select("vid", "event_id")
 
 
 @register(

@@ -5,9 +5,11 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from datetime import datetime, timezone
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -17,56 +19,80 @@ from scorelake.session import checkpoint_folder
 c = F.col
 
 
+#: Stands for the end of a stream: no row is later.
+END_MS = int(datetime(2150, 1, 1, tzinfo=timezone.utc).timestamp() * 1000)
+
+
+@dataclass(frozen=True)
+class Ending:
+    """Rows of a stream with a mark, a second source that tells when there are no more. ``close`` puts one row there,
+    later than any other; the next run then passes everything that is still held."""
+
+    rows: DataFrame
+    folder: str
+    ts: str
+    delay_ms: int
+
+    def close(self) -> None:
+        spark, at = self.rows.sparkSession, F.timestamp_millis(F.lit(END_MS + self.delay_ms).cast("long"))
+        given = {self.ts: at, "_end": F.lit(True)}
+        one = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in self.rows.schema]
+        spark.range(1).select(*one).write.mode("append").parquet(self.folder)
+
+
+def with_end(df: DataFrame, ts: str, delay_ms: int) -> Ending:
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/ends-{uuid.uuid4().hex}"
+    rows = df.withColumn("_end", F.lit(None).cast("boolean"))
+    spark.createDataFrame([], rows.schema).write.parquet(folder)
+    marks = spark.readStream.schema(rows.schema).parquet(folder)
+    return Ending(rows.unionByName(marks).withWatermark(ts, f"{delay_ms} milliseconds"), folder, ts, delay_ms)
+
+
 def stream_fold(
-    df: DataFrame,
-    key: str,
-    ts: str,
-    unit_ms: int,
-    cols: Sequence[str],
-    make: Callable[[str | None], Fold],
-    schema: str,
-    delay: str,
+    source: Ending, key: str, unit_ms: int, cols: Sequence[str], make: Callable[[str | None], Fold], schema: str
 ) -> DataFrame:
-    """A fold over an unordered stream. Rows wait in the state until the watermark passes them,
-    are sorted and folded; rows that come later than the watermark are dropped by the engine.
-    ``cols`` starts with the time in whole units of ``unit_ms`` and lists values in sort order.
-    Time-outs let time alone finish things."""
+    """A fold over an unordered stream. Rows wait in the state until the watermark passes them, are sorted and folded.
+    ``cols`` starts with the time in whole units of ``unit_ms`` and lists values in sort order. Time-outs let time alone
+    finish things, and the end of the stream finishes what is open."""
     names = [key, *[p.strip().split(" ")[0] for p in schema.split(",")]]
-    kinds = dict(df.dtypes)
+    kinds = dict(source.rows.dtypes)
     cols = list(cols)
 
     def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, waiting = state.get if state.exists else (None, "[]")
         f, rows = make(held or None), json.loads(waiting)
         for pdf in batches:
+            pdf = pdf[pdf["_end"].isna()]
             rows += [list(v) for v in zip(*[pdf[x].tolist() for x in cols], strict=True)]
-        passed = state.getCurrentWatermarkMs() // unit_ms
+        now = state.getCurrentWatermarkMs()
+        passed, over = now // unit_ms, now >= END_MS
         ready = sorted(r for r in rows if r[0] < passed)
         rows = [r for r in rows if r[0] >= passed]
         out = [o for r in ready for o in f.row(*r)]
         finished, again = f.tick(passed)
         out += finished
-        state.update((f.state(), json.dumps(rows)))
-        times = [r[0] + 1 for r in rows] + ([again] if again is not None else [])
-        if times:
-            state.setTimeoutTimestamp(max(int(min(times)) * unit_ms, state.getCurrentWatermarkMs() + 1))
+        if over:
+            out += f.end()
+            if state.exists:
+                state.remove()
+        else:
+            state.update((f.state(), json.dumps(rows)))
+            times = [r[0] + 1 for r in rows] + ([again] if again is not None else [])
+            state.setTimeoutTimestamp(min(END_MS - 1, max(int(min(times)) * unit_ms, now + 1)) if times else END_MS - 1)
         yield _frame([(*keys, *o) for o in out], names)
 
-    return (
-        df.withWatermark(ts, delay)
-        .groupBy(key)
-        .applyInPandasWithState(
-            step, f"{key} {kinds[key]}, {schema}", "fold string, rows string", "append",
-            GroupStateTimeout.EventTimeTimeout,
-        )
+    return source.rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kinds[key]}, {schema}", "fold string, rows string", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
-def stream_sample(df: DataFrame, keys: Sequence[str], ts: str, cell: str, delay: str) -> DataFrame:
-    """First row per key and grid cell of a stream in order; a cell is remembered only as long
-    as rows of it may still come."""
-    cells = df.withColumn("_cell", F.window(ts, cell)["start"])
-    return cells.withWatermark(ts, delay).dropDuplicatesWithinWatermark([*keys, "_cell"]).drop("_cell")
+def stream_sample(source: Ending, keys: Sequence[str], cell: str, order: Sequence[str]) -> DataFrame:
+    """First row per key and grid cell by ``order``, whatever order rows arrive in; a cell is kept until the watermark
+    has passed its end."""
+    names = [n for n in source.rows.columns if n != "_end"]
+    cells = source.rows.groupBy(*keys, F.window(source.ts, cell).alias("_cell"))
+    return cells.agg(F.min_by(F.struct(*names), F.struct(*order)).alias("_row")).select("_row.*")
 
 
 def tumbling(df: DataFrame, keys: Sequence[str], ts: str, width: str) -> DataFrame:
@@ -104,24 +130,41 @@ def on_changes(
     return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def table_stream(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """A folder of files as a stream, one file per step."""
-    sample = spark.read.option("pathGlobFilter", pattern).parquet(folder)
-    return (
-        spark.readStream.schema(sample.schema)
-        .option("pathGlobFilter", pattern)
-        .option("maxFilesPerTrigger", 1)
-        .parquet(folder)
-    )
+def disorder_ms(rows: DataFrame, ts: str) -> int:
+    """How far rows of a table's files are behind rows of the same or an earlier file, in the order in which a stream
+    reads them: a delay with which none is late. One row per file is kept."""
+    f = rows.select(c("_metadata.file_path").alias("file"), c("_metadata.file_modification_time").alias("at"), c(ts).alias("ts"))
+    f = f.groupBy("file", "at").agg(F.min("ts").alias("least"), F.max("ts").alias("most")).groupBy("at").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    seen = Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    behind = F.unix_millis(F.max("most").over(seen)) - F.unix_millis("least")
+    return (f.select(behind.alias("d")).agg(F.max("d")).first()[0] or 0) + 1
+
 
+def table_stream(spark: SparkSession, path: str) -> DataFrame:
+    """A table, one file or a folder of files, as a stream, one file per step."""
+    # as a pattern, so that a single file is taken too
+    glob = path if any(x in path for x in "*[?{") else f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(glob)
 
-def run_to_table(df: DataFrame) -> DataFrame:
-    """Runs a stream over all there is and reads back what it wrote."""
+
+def run_to_table(df: DataFrame, source: Ending | None = None) -> DataFrame:
+    """Runs a stream over all there is, ends ``source`` and reads back what was written. Rows that were dropped as late
+    are an error."""
     spark = df.sparkSession
     base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
-    query = (
-        df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
-        .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+
+    def run() -> None:
+        query = (
+            df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
+            .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        late = sum(o["numRowsDroppedByWatermark"] for p in query.recentProgress for o in p["stateOperators"])
+        if late:
+            raise ValueError(f"{late} rows came later than the delay allows")
+
+    run()
+    if source is not None:
+        source.close()
+        run()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
