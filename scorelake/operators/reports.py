@@ -147,3 +147,21 @@ def duration_error(g: Column, r: Column) -> Column:
         .when(a != b, F.concat(F.lit("value "), a.cast("string"), F.lit("->"), b.cast("string")))
         .otherwise(F.lit("other"))
     )
+
+
+def numbering(df: DataFrame, keys: Sequence[str], measure: str, place: str, read: str, final: str) -> DataFrame:
+    """How read and final numbers agree with each other and with the sequence that starts at the first measure.
+
+    A number is in sequence where it is as far from its place as the first measure is from place 1; these differences
+    are counted by value before they meet the first measure."""
+    one = df.groupBy(*keys).agg(
+        F.min(measure).alias("_first"), F.count("*").alias("measures"), F.count(read).alias("ocr_read"),
+        F.count_if(F.col(read) == F.col(final)).alias("agrees"),
+        (F.count(final) - F.count_distinct(final)).alias("duplicates"),
+    )
+    kind = lambda k, name: F.struct(F.lit(k).alias("kind"), (F.col(name) - F.col(place) + 1).alias("start"))
+    starts = df.select(*keys, F.inline(F.array(kind("f", final), kind("r", read)))).groupBy(*keys, "kind", "start").agg(F.count("*").alias("k"))
+    both = one.join(starts, [*keys], "left")
+    right = lambda k: F.coalesce(F.sum(F.when((F.col("start") == F.col("_first")) & (F.col("kind") == k), F.col("k"))), F.lit(0).cast("long"))
+    told = ["measures", "ocr_read", "agrees", "duplicates"]
+    return both.groupBy(*keys, *told).agg(right("f").alias("in_sequence"), right("r").alias("read_in_sequence"))

@@ -554,18 +554,19 @@ def _(spark, d):
     "ev10_numbering_statistics",
     sql(
         "v_notes",
-        "rd as (select piece, measure, case when min(partkey) % 5 <> 0 then measure + case when min(suppkey) % 9 = 0 then 1 else 0 end end read_, measure final_ from v_notes group by piece, measure)",
-        """select piece, count(*) measures, count(read_) ocr_read, count(*) filter (read_ = final_) agrees, count(read_) - count(distinct read_) duplicates,
-            count(*) filter (final_ = measure) in_sequence from rd group by piece""",
+        "rd as (select piece, measure, case when min(partkey) % 5 <> 0 then measure + case when min(suppkey) % 9 = 0 then 1 else 0 end end read_, measure + case when min(suppkey) % 18 = 0 then 1 else 0 end final_ from v_notes group by piece, measure)",
+        "ex as (select *, min(measure) over (partition by piece) + row_number() over (partition by piece order by measure) - 1 expected from rd)",
+        """select piece, count(*) measures, count(read_) ocr_read, count(*) filter (read_ = final_) agrees, count(final_) - count(distinct final_) duplicates,
+            count(*) filter (final_ = expected) in_sequence, count(*) filter (read_ = expected) read_in_sequence from ex group by piece""",
     ),
 )
 def _(spark, d):
-    rd = t.notes(spark, d).groupBy("piece", "measure").agg(F.expr("""case when min(partkey) % 5 <> 0 then measure
-        + case when min(suppkey) % 9 = 0 then 1 else 0 end end""").alias("read_"))
-    return rd.groupBy("piece").agg(
-        F.count("*").alias("measures"), F.count("read_").alias("ocr_read"), F.count_if(c("read_") == c("measure")).alias("agrees"),
-        (F.count("read_") - F.count_distinct("read_")).alias("duplicates"), F.count_if(c("measure") == c("measure")).alias("in_sequence"),
+    rd = t.notes(spark, d).groupBy("piece", "measure").agg(
+        F.expr("case when min(partkey) % 5 <> 0 then measure + case when min(suppkey) % 9 = 0 then 1 else 0 end end").alias("read_"),
+        F.expr("measure + case when min(suppkey) % 18 = 0 then 1 else 0 end").alias("final_"),
     )
+    rd = scan(rd, "piece", "measure", {"place": row_number()})
+    return rp.numbering(rd, ["piece"], "measure", "place", "read_", "final_")
 
 
 @register(
