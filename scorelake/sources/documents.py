@@ -152,10 +152,18 @@ def track_rows(
 
 
 def unknown_names(wanted: DataFrame, known: DataFrame, name: str) -> DataFrame:
-    """Names asked for that no track has; a job stops on the first one."""
+    """Names asked for that no track has; ``only_known`` stops a job on the first one."""
     return wanted.select(name).distinct().join(known.select(name), name, "left_anti")
 
 
+def only_known(wanted: DataFrame, known: DataFrame, name: str) -> DataFrame:
+    """``wanted``, or an error that names a track asked for that there is not; a null name is none."""
+    lost = unknown_names(wanted, known, name).first()
+    if lost is not None:
+        raise ValueError(f"no track {lost[0]!r}")
+    return wanted
+
+
 def visible_tempo(df: DataFrame, piece: str, hidden: Column, value: str, order: Sequence[str]) -> DataFrame:
     """The first visible tempo mark of a piece, else its first one."""
     return df.groupBy(piece).agg(F.min_by(value, F.struct(hidden, *order)).alias("tempo"))

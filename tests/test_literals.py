@@ -205,3 +205,20 @@ def test_fold_objects_keep_their_rules():
     assert out == [(0, 30, 4), (80, 120, 5)]
     p = clusters.Pages()
     assert [p.row(i, s)[0][1:] for i, s in enumerate((200, 90, 10, 400, 5))] == [(0, 0), (0, 210), (1, 0), (2, 0), (3, 0)]
+
+
+def test_an_unknown_track_is_an_error(spark):
+    known = spark.createDataFrame([("Drums",), ("Bass",)], "name string")
+    asked = spark.createDataFrame([("Bass",), ("Bass",)], "name string")
+    assert documents.only_known(asked, known, "name").count() == 2
+    with pytest.raises(ValueError, match="'Horn'"):
+        documents.only_known(asked.union(spark.createDataFrame([("Horn",)], "name string")), known, "name")
+
+
+def test_numbers_against_the_sequence(spark):
+    rows = [("p", 5, 1, 5, 5), ("p", 6, 2, None, 6), ("p", 7, 3, 6, 6), ("p", 9, 4, 8, 9), ("q", 1, 1, None, None)]
+    df = spark.createDataFrame(rows, "piece string, measure long, place long, read long, final long")
+    got = {r.piece: r for r in reports.numbering(df, ["piece"], "measure", "place", "read", "final").collect()}
+    p, q = got["p"], got["q"]
+    assert (p.measures, p.ocr_read, p.agrees, p.duplicates, p.in_sequence, p.read_in_sequence) == (4, 3, 2, 1, 2, 2)
+    assert (q.measures, q.ocr_read, q.duplicates, q.in_sequence) == (1, 0, 0, 0)
