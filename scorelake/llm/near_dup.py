@@ -160,10 +160,38 @@ def _outlined(percent: int):
     return outlined
 
 
+def _long_lists(shared, list_rows: int):
+    def long_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many rows are posted of each shingle that is in ``list_rows`` documents or more."""
+        tokens, counts, bits = shared.value
+        tokens = tokens[counts >= list_rows]
+        posted = np.zeros(len(tokens), np.int64)
+        for batch in batches:
+            for prefix in batch.column(0).to_pylist():
+                short = np.frombuffer(prefix, "<u8") >> np.uint64(32 - bits)
+                at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
+                np.add.at(posted, at[tokens[at] == short], 1)
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[posted > 0].astype(np.int64)), pa.array(posted[posted > 0])], names=["token", "n"])
+
+    return long_lists
+
+
+def posted_rows(posted: DataFrame, shared, list_rows: int) -> np.ndarray:
+    """Of each common shingle how many rows its list has, where that can be ``list_rows`` or more: copies aren't posted."""
+    tokens, counts, _ = shared.value
+    if not (counts >= list_rows).any():
+        return counts
+    found = posted.select("prefix").mapInArrow(_long_lists(shared, list_rows), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = np.where(counts >= list_rows, 0, counts).astype(np.int64)
+    rows[np.searchsorted(tokens, found["token"].to_numpy(np.uint64))] = found["n"].to_numpy(np.int64)
+    return rows
+
+
 def _postings(percent: int, shared, list_rows: int):
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Blocks by bucket: (first 32 bits after the bucket's, id, size, place, shared) of each prefix shingle. Lists
-        of over ``list_rows`` documents are dealt to several buckets by a hash of the id."""
+        of ``list_rows`` rows or more are dealt to several buckets by a hash of the id; the bits of a bucket from the
+        20th on are 0 where a list is whole, and the number of its portion from one where it is dealt."""
         tokens, counts, bits = shared.value
         held, size = [], 0
 
@@ -184,8 +212,9 @@ def _postings(percent: int, shared, list_rows: int):
                 rows["shared"] = 255 - min(255, 255 * common // max(n, 1))
                 if common and len(tokens):
                     at = np.minimum(np.searchsorted(tokens, short), len(tokens) - 1)
-                    dealt = np.where(tokens[at] == short, counts[at] // list_rows + 1, 1)
-                    rows["b"] += (int(mixed_bits(np.array([id], np.int64).view(np.uint64))[0]) >> 8) % dealt.astype(np.int64) << 20
+                    dealt = np.where(tokens[at] == short, counts[at] // list_rows + 1, 1).astype(np.int64)
+                    portion = (int(mixed_bits(np.array([id], np.int64).view(np.uint64))[0]) >> 8) % dealt + 1
+                    rows["b"] += np.where(dealt > 1, portion, 0) << 20
                 held.append(rows)
                 size += len(rows)
             if size > HELD // 4:
@@ -209,12 +238,12 @@ def block(payload: bytes) -> np.ndarray:
     return rows
 
 
-def _lists(payloads: list[bytes]) -> Iterator[np.ndarray]:
+def _lists(payloads: list[bytes], least: int) -> Iterator[np.ndarray]:
     rows = np.concatenate([block(p) for p in payloads])
     rows = rows[np.lexsort((rows["id"], rows["n"], rows["t"]))]
     starts = np.flatnonzero(np.diff(rows["t"].astype(np.int64), prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(rows)]):
-        if b - a > 1:
+        if b - a >= least:
             yield rows[a:b]
 
 
@@ -228,12 +257,13 @@ def can_link(n, at, m, other, percent: int):
 def _stars(percent: int, common: int):
     def stars(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Pairs (a, b) to verify: all of a short list. Of a long one, each class of sizes with its most central row
-        (whose shingles others share most), and these with each other; its rows are also given, for what is left."""
+        (whose shingles others share most), and these with each other; its rows are also given, for what is left. A
+        portion of a dealt list counts as long, even with one row: its rows have partners in other portions."""
         pairs, long = [], []
-        bucket = np.int64(key[0].as_py() & (1 << 20) - 1) << np.int64(32)
-        for rows in _lists([x.as_py() for g in groups for x in g.column("rows")]):
+        bucket, dealt = np.int64(key[0].as_py() & (1 << 20) - 1) << np.int64(32), key[0].as_py() >> 20 > 0
+        for rows in _lists([x.as_py() for g in groups for x in g.column("rows")], 1 if dealt else 2):
             id, n, at = rows["id"], rows["n"].astype(np.int64), rows["at"].astype(np.int64)
-            if len(rows) <= common:
+            if len(rows) <= common and not dealt:
                 i, j = np.triu_indices(len(rows), 1)
                 good = can_link(n[i], at[i], n[j], at[j], percent)
                 pairs.append(np.stack([id[i[good]], id[j[good]]], 1))
@@ -355,6 +385,7 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     inside = written(inside, "inside")
     edges = linked(rows, table, inside, n, percent, broadcast_ids)
     posted = table.join(groups.select(F.col("lead").alias("id")), "id", "left_semi").select("id", "n", "shared", "prefix")
+    shared = rows.sparkSession.sparkContext.broadcast((tokens, posted_rows(posted, shared, list_rows), bits))
     lists = posted.mapInArrow(_postings(percent, shared, list_rows), "bucket long, rows binary")
     stars = "a long, b long, token long, n long, at long, kind long, lead long"
     stars = written(lists.groupBy("bucket").applyInArrow(_stars(percent, common), stars), "stars")

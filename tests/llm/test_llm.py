@@ -52,10 +52,10 @@ def test_repeated_rows_keep_one(spark):
     assert sum(r.kept for r in got) == 1 and {r.group_size for r in got} == {6}
 
 
-def brute_components(texts):
+def brute_components(texts, n=5, percent=80):
     def of(t):
         w = (t or "").encode().lower().split()
-        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
     sets = {i: of(t) for i, t in texts}
     at = {i: i for i in sets}
@@ -67,7 +67,7 @@ def brute_components(texts):
 
     for i in sets:
         for j in sets:
-            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            if i < j and sets[i] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 at[b] = a
     return {i: (len(sets[i]), root(i)) for i in sets}
@@ -91,6 +91,21 @@ def test_near_copies(spark, options):
     assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows)
 
 
+def test_near_copies_in_portions_of_a_list(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = [" ".join(base)] * 40  # copies make the shingles' numbers large and lists short
+    for _ in range(12):
+        copy = list(base)
+        copy[rng.randrange(120)] = f"x{rng.random()}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:60] + [f"y{rng.random()}" for _ in range(9)]) for _ in range(8)]
+    rows = list(enumerate(texts))
+    for options in ({"list_rows": 3}, {"common": 2, "list_rows": 3}, {"common": 2, "list_rows": 3, "kept": 10**6, "percent": 60}):
+        got = near_dup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), **options).collect()
+        assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent=options.get("percent", 80)), options
+
+
 def test_near_copies_of_odd_rows(odd, none):
     got = {r.id: r.component_id for r in near_dup.near_components(odd).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}
