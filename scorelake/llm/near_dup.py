@@ -396,7 +396,8 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     pairs = written(pairs.toDF("a", "b").distinct(), "pairs")
     edges = written(edges.union(linked(rows, table, pairs, n, percent, broadcast_ids)), "edges")
     known = components(edges)
-    more = written(_across(long, known, percent).union(_expanded(pairs, classes, groups, known)).distinct().join(pairs.union(inside), ["a", "b"], "left_anti"), "more")
+    member = written(_members(classes, groups, known), "members")
+    more = written(_across(long, member, percent).union(_expanded(pairs, groups, member)).distinct().join(pairs.union(inside), ["a", "b"], "left_anti"), "more")
     if not more.isEmpty():
         known = components(edges.union(linked(rows, table, more, n, percent, broadcast_ids)))
     labels = classes.join(known, classes["rep"] == known["id"], "left").select("n", "same1", "same2", F.coalesce("component", "rep").alias("component_id"))
@@ -404,24 +405,35 @@ def near_components(docs: DataFrame, n: int = 5, percent: int = 80, id: str = "d
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _across(long: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of long lists that are of different components: the rows outside a list's main component with the rest."""
-    of = long.drop("kind", "lead").join(known, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+def _members(classes: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+    """(lead, rep, c): the classes of each group with the component that each is in so far."""
+    member = classes.join(groups, ["n", "group"]).select("lead", "rep").join(known, F.col("rep") == known["id"], "left")
+    return member.select("lead", "rep", F.coalesce("component", "rep").alias("c"))
+
+
+def _across(long: DataFrame, member: DataFrame, percent: int) -> DataFrame:
+    """Pairs of long lists that are of different components: the rows outside a list's main component with the rest.
+
+    A row stands for its whole group. It counts once for each component that the group's members are in, and a pair of
+    rows is a pair of all members of the one component with all of the other."""
+    of = long.drop("kind", "lead").join(member.select(F.col("lead").alias("id"), "c").distinct(), "id")
     of = written(of, "long")
     main = of.groupBy("token", "c").agg(F.count("*").alias("k")).groupBy("token")
     main = main.agg(F.max_by("c", "k").alias("main"), F.count("*").alias("kinds")).where("kinds > 1").select("token", "main")
     small = of.join(main, "token").where("c <> main").select("token", *(F.col(k).alias(f"{k}2") for k in ("id", "n", "at", "c")))
-    both = of.join(small, "token").where("c <> c2")
+    both = of.join(small, "token").where("c <> c2 and id <> id2")  # the pairs inside a group are expanded anyway
     most = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     both = both.where((F.least("n", "n2") * 100 >= F.greatest("n", "n2") * percent) & (most * (100 + percent) >= (F.col("n") + F.col("n2")) * percent))
-    return both.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b"))
+    one, other = F.struct(F.col("id").alias("lead"), "c"), F.struct(F.col("id2").alias("lead"), F.col("c2").alias("c"))
+    both = both.select(F.least(one, other).alias("one"), F.greatest(one, other).alias("other")).distinct()
+    both = both.select(F.col("one.lead").alias("a"), F.col("one.c").alias("c"), F.col("other.lead").alias("b"), F.col("other.c").alias("c2"))
+    both = both.join(member.toDF("a", "x", "c"), ["a", "c"]).join(member.toDF("b", "y", "c2"), ["b", "c2"])
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def _expanded(pairs: DataFrame, classes: DataFrame, groups: DataFrame, known: DataFrame) -> DataFrame:
+def _expanded(pairs: DataFrame, groups: DataFrame, member: DataFrame) -> DataFrame:
     """The members of two groups that are a pair, or of one group, that are of different components."""
     several = groups.where("classes > 1").select("lead")
-    member = classes.join(groups, ["n", "group"]).select("lead", "rep").join(known, F.col("rep") == known["id"], "left")
-    member = member.select("lead", "rep", F.coalesce("component", "rep").alias("c"))
     asked = pairs.join(several, F.col("a") == F.col("lead"), "left_semi").union(pairs.join(several, F.col("b") == F.col("lead"), "left_semi"))
     asked = asked.union(several.select("lead", F.col("lead"))).toDF("a", "b").distinct()
     both = asked.join(member.toDF("a", "x", "c"), "a").join(member.toDF("b", "y", "c2"), "b").where("c <> c2")

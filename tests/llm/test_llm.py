@@ -106,6 +106,19 @@ def test_near_copies_in_portions_of_a_list(spark):
         assert {r.id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, percent=options.get("percent", 80)), options
 
 
+def test_near_copies_of_groups_in_long_lists(spark):
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(250):  # sets of nine words of one small vocabulary each: many share prefix and size but not the rest
+        some = []
+        for _ in range(14):
+            words = rng.sample(range(14), 9)
+            some.append((len(rows), " ".join(f"v{k}w{w}" for w in sorted(words))))
+            rows.append(some[-1])
+        want |= brute_components(some, n=1)
+    got = near_dup.near_components(spark.createDataFrame(rows, "doc_id long, text string"), n=1, common=2).collect()
+    assert {r.id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_near_copies_of_odd_rows(odd, none):
     got = {r.id: r.component_id for r in near_dup.near_components(odd).collect()}
     assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 5, 7: 7, 8: 7, 9: 9, 10: 10, 11: 11}
