@@ -15,8 +15,6 @@ from scorelake.llm.common import fold
 
 #: Hashed features: words and their first four, five and six letters.
 BUCKETS = 1 << 18
-#: Features that the models see, those that tell most.
-CHOSEN = 256
 #: Labelled documents of each label that are learned from at most (in expectation), by a hash of the id.
 SAMPLE = 20_000
 FOLDS = 5
@@ -80,28 +78,59 @@ def _hits(shared):
         for batch in batches:
             rows = [(i, y, *hits(t.as_py() or b"", known)) for i, y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2))]
             columns = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["fold", "label", "kinds", "n", "words", "lines"])
 
     return extract
 
 
-def table(kinds: list, n: list, words, lines, width: int) -> np.ndarray:
+@dataclass
+class Table:
+    """Documents x features: the few that are not 0 of the first ``width`` columns, by row, and dense columns after them."""
+
+    row: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    width: int
+    dense: np.ndarray
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self.dense), self.width + self.dense.shape[1]
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.place], len(self.dense)) + self.dense @ w[self.width :]
+
+    def turned(self, r: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.bincount(self.place, self.value * r[self.row], self.width), self.dense.T @ r])
+
+    def __getitem__(self, some: np.ndarray) -> Table:
+        at = some[self.row]
+        return Table((np.cumsum(some) - 1)[self.row[at]], self.place[at], self.value[at], self.width, self.dense[some])
+
+
+def table(kinds: list, n: list, words, lines, width: int) -> Table:
     """Documents x features: log numbers of the chosen features, hits in all, hits by words, lines with hits, one."""
-    x = np.zeros((len(kinds), width + 4), np.float32)
-    for i, (k, c) in enumerate(zip(kinds, n)):
-        x[i, np.asarray(k, int)] = np.log1p(c)
-        x[i, width] = np.log1p(np.sum(c))
-        x[i, width + 1] = np.log1p(100 * np.sum(c) / max(1, words[i]))
-        x[i, width + 2] = np.log1p(lines[i])
-    x[:, width + 3] = 1
-    return x
+    row = np.repeat(np.arange(len(kinds)), [len(k) for k in kinds])
+    counts = np.concatenate([np.asarray(c, np.int64) for c in n] or [np.empty(0, np.int64)])
+    place = np.concatenate([np.asarray(k, np.int64) for k in kinds] or [np.empty(0, np.int64)])
+    total = np.bincount(row, counts, len(kinds))
+    dense = np.stack([np.log1p(total), np.log1p(100 * total / np.maximum(1, words)), np.log1p(lines), np.ones(len(kinds))], 1)
+    return Table(row, place, np.log1p(counts), width, dense)
+
+
+def beside(x: np.ndarray | Table, column: np.ndarray) -> np.ndarray | Table:
+    """``x`` with one more column."""
+    if isinstance(x, Table):
+        return Table(x.row, x.place, x.value, x.width, np.hstack([x.dense, column[:, None]]))
+    return np.hstack([x, column[:, None].astype(np.float32)])
 
 
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.1, penalty: float = 3e-4) -> np.ndarray:
+def logistic(x: np.ndarray | Table, y: np.ndarray, rounds: int = 120, rate: float = 0.1, penalty: float = 3e-4) -> np.ndarray:
     w, m, v = np.zeros(x.shape[1]), np.zeros(x.shape[1]), np.zeros(x.shape[1])
     for t in range(1, rounds + 1):
-        g = x.T @ (sigmoid(x @ w) - y) / max(1, len(y)) + penalty * w
+        r = sigmoid(x @ w) - y
+        g = (x.turned(r) if isinstance(x, Table) else x.T @ r) / max(1, len(y)) + penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return w
@@ -111,7 +140,7 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
+def fit_chain(x: np.ndarray | Table, labels: np.ndarray, folds: np.ndarray) -> list[np.ndarray]:
     """A weight vector per category. In training, a later model sees earlier probabilities from models that did not
     learn from the row's own fold, as it will see them for texts that none has learned from."""
     chain = []
@@ -122,15 +151,15 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray) -> list[np.n
             other = folds != k
             w = logistic(x[other], y[other]) if other.any() else chain[-1]
             out[~other] = sigmoid(x[~other] @ w)
-        x = np.hstack([x, out[:, None].astype(np.float32)])
+        x = beside(x, out)
     return chain
 
 
-def apply_chain(x: np.ndarray, chain: list[np.ndarray]) -> np.ndarray:
+def apply_chain(x: np.ndarray | Table, chain: list[np.ndarray]) -> np.ndarray:
     out = []
     for w in chain:
         out.append(sigmoid(x @ w))
-        x = np.hstack([x, out[-1][:, None].astype(np.float32)])
+        x = beside(x, out[-1])
     return np.stack(out, 1)
 
 
@@ -142,10 +171,10 @@ class Model:
 
 def fitted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Model:
     """Learns the categories from one label. Features are counted by Spark over about ``sample`` documents of each
-    label, and those kept that are surely, and at least five times, as frequent in toxic documents as in clean ones. ``severe``: toxic, and at
+    label, and all kept that are surely, and at least five times, as frequent in toxic documents as in clean ones. ``severe``: toxic, and at
     least the toxic documents' median of hits by words; ``pervasive``: toxic, with hits in several lines. Null labels are
     none; of several labels of an id the greatest counts. The driver gathers the counts of the buckets (a fixed
-    number) and the sample's few hits."""
+    number, which bounds the features too) and the sample's hits."""
     known = labels.where(F.col(label).isNotNull() & F.col(id).isNotNull()).groupBy(id).agg(F.max(label).cast("int").alias("_label"))
     counts = {r[0]: r[1] for r in known.groupBy("_label").count().collect()}
     part = F.xxhash64(F.lit("toxicity"), F.col(id)).cast("double") / 2.0**64 + 0.5
@@ -158,16 +187,16 @@ def fitted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "
     p, q = found["toxic"] / n[1], found["clean"] / n[0]
     both = (found["toxic"] + found["clean"]) / sum(n)
     z = (p - q) / np.sqrt(both * (1 - both) * (1 / n[0] + 1 / n[1]) + 1e-12)
-    best = found.assign(z=z)[(z > 6) & (p > 5 * q)].sort_values(["z", "bucket"], ascending=[False, True]).head(CHOSEN)
-    chosen = np.sort(best["bucket"].to_numpy(np.int64))
+    chosen = np.sort(found["bucket"][(z > 6) & (p > 5 * q)].to_numpy(np.int64))
     if not len(chosen):
         return Model(np.array([-1]), [])
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
-    s = rows.mapInArrow(_hits(shared), "fold long, label long, kinds array<long>, n array<long>, words long, lines long").toPandas()
-    s = s.assign(key=s.astype(str).agg("|".join, axis=1)).sort_values("key")  # whatever order they came in
+    s = rows.mapInArrow(_hits(shared), "fold long, label long, kinds array<int>, n array<int>, words long, lines long").toPandas()
+    key = [(*r[:2], *r[4:], *(np.asarray(x, np.int64).tobytes() for x in r[2:4])) for r in s.itertuples(index=False)]
+    s = s.iloc[sorted(range(len(s)), key=key.__getitem__)]  # whatever order they came in
     x = table(s["kinds"], s["n"], s["words"].to_numpy(), s["lines"].to_numpy(), len(chosen))
     y = s["label"].to_numpy(int)
-    dense = x[:, len(chosen) + 1]
+    dense = x.dense[:, 1]
     middle = np.median(dense[y == 1])
     return Model(chosen, fit_chain(x, np.stack([y, y * (dense >= middle), y * (s["lines"].to_numpy() > 1)], 1), s["fold"].to_numpy()))
 

@@ -280,6 +280,20 @@ def test_quality_and_toxicity(spark, odd, none):
         assert part.scored(none, part.fitted(none, labels)).count() == 0
 
 
+def test_toxicity_keeps_every_word_that_tells(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    plain, common, rare = ([word() for _ in range(k)] for k in (300, 100, 40))
+    some = lambda of, k: " ".join(rng.sample(of, k))
+    rows = [(i, some(plain, 30), 0) for i in range(800)]  # rare: the words of a language with few documents
+    rows += [(i, some(plain, 20) + " " + (some(common, 40) if i % 4 else some(rare, 12)), 1) for i in range(800, 1600)]
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(4).cache()
+    new = spark.createDataFrame([(1, some(plain, 20) + " " + some(rare, 12)), (2, some(plain, 30)), (3, some(common, 40))], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.scored(new, toxicity.fitted(docs, labels)).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
 def test_chain_uses_out_of_fold_probabilities():
     rng = np.random.default_rng(0)
     x = np.hstack([rng.normal(size=(400, 3)), np.ones((400, 1))]).astype(np.float32)
