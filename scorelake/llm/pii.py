@@ -19,6 +19,14 @@ PATTERNS = {
 NEEDS = {"email": "@", "phone": "+"}
 #: Words that may be identifiers: with an at sign, or with seven digits or more.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D@]*+@[^\x20\x09-\x0D]*+|[^\x20\x09-\x0D0-9]*+(?:[0-9][^\x20\x09-\x0D0-9]*+){7,}+)"
+#: Digits in groups, joined by single blanks, dots, hyphens or brackets; from the start of a word, up to a group's end.
+RUN = r"(?<![^\x20\x09-\x0D(\[:\"'])\(?[0-9](?:(?:\)[\x20.-]?|[\x20.-]\(?)?[0-9]){%s}(?![0-9])"
+#: Identifiers that need not be one word, or have few digits, by kind.
+RUNS = {
+    "phone": RUN % "6,14",
+    "card": RUN % "13,18",
+    "ip": r"(?<![^\x20\x09-\x0D(\[\"'])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]{0,34}?::)[0-9A-Fa-f:]{2,39}(?:\.[0-9]{1,3}){0,3})(?![0-9A-Za-z:])",
+}
 #: The two words before a match, or as many as the text between has.
 BEFORE = r"(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+[\x20\x09-\x0D]*$"
 
@@ -70,6 +78,26 @@ def shape(value: Column) -> Column:
     return F.when(F.contains(value, F.lit("@")), "email").otherwise(by_digits)
 
 
+def candidates(text: Column) -> Column:
+    """What trusted contexts may find: structs of (start, end, before, value, kind). Of a run of digits that starts with
+    a word of the same kind, the word."""
+
+    def one(x: Column, value: Column, kind: Column) -> Column:
+        return F.struct(x["start"].alias("start"), (x["start"] + F.length(value)).alias("end"), x["before"].alias("before"), value.alias("value"), kind.alias("kind"))
+
+    bare = lambda x: F.regexp_replace(x["value"], r"""[.,;:!?"')\]]+$""", "")
+    words = F.transform(matches(text, CANDIDATE), lambda x: one(x, bare(x), shape(bare(x))))
+    run = lambda kind: F.transform(matches(text, RUNS[kind]), lambda x: one(x, x["value"], F.lit(kind)))
+    runs = F.concat(*map(run, RUNS))
+    return F.concat(words, F.filter(runs, lambda r: ~F.exists(words, lambda w: (w["start"] == r["start"]) & (w["kind"] == r["kind"]))))
+
+
+def holds_span(o: Column, s: Column) -> Column:
+    """Whether ``s`` lies in ``o``; of two kinds over the same place, the first stays."""
+    more = (o["start"] < s["start"]) | (o["end"] > s["end"]) | (o["order"] < s["order"])
+    return (o["start"] <= s["start"]) & (o["end"] >= s["end"]) & more
+
+
 def trusted_patterns(mentions: DataFrame, rounds: int, confidence: float, seeds: int) -> DataFrame:
     """The (kind, before) that lead to instances of their kind. ``mentions``: (kind, before, value, seed).
 
@@ -92,8 +120,8 @@ def spans_text(spans: Column) -> Column:
 def personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.6, seeds: int = 3, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row: (id, n_email, n_ip, n_card, n_phone, base, spans, n_found); the numbers and ``base`` are of the
     fixed patterns alone. ``base`` and ``spans`` are arrays of (start, order of the kind, end), ``spans`` with what
-    trusted contexts add: words that could be of a kind and follow two words which mostly precede that kind. An added
-    span overlaps none of the fixed ones. Null texts are empty. Rows that share id and text have the same spans. Ids
+    trusted contexts add: words, and groups of digits over several words, that could be of a kind and follow two words
+    which mostly precede that kind. An added span overlaps none of the fixed ones and is in no other added one. Null texts are empty. Rows that share id and text have the same spans. Ids
     may be null. Texts are read once and never moved; the graph has the matches and candidates alone, in narrow rows."""
     rows = docs.select(F.col(id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t"))
     found = []
@@ -103,19 +131,19 @@ def personal_data(docs: DataFrame, rounds: int = 3, confidence: float = 0.6, see
         if kind in NEEDS:
             m = F.when(F.contains("_t", F.lit(NEEDS[kind])), m).otherwise(F.expr("array()").cast("array<struct<start:long,order:int,end:long,before:string,value:string>>"))
         found.append(m)
-    table = rows.select("_id", F.xxhash64("_t").alias("_h"), F.concat(*found).alias("_seed"), matches(F.col("_t"), CANDIDATE).alias("_may"))
+    table = rows.select("_id", F.xxhash64("_t").alias("_h"), F.concat(*found).alias("_seed"), candidates(F.col("_t")).alias("_may"))
     free = F.filter("_may", lambda c: ~F.exists("_seed", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
     table = written(table.withColumn("_may", free), "matches")
     kind = lambda order: F.element_at(F.array(*map(F.lit, KINDS)), order + 1)
     seed = table.select(F.explode("_seed").alias("s")).select(kind(F.col("s.order")).alias("kind"), "s.before", F.lower("s.value").alias("value"), F.lit(1).alias("seed"))
     may = table.select("_id", "_h", F.explode("_may").alias("c"))
-    bare = F.regexp_replace("c.value", r"""[.,;:!?"')\]]+$""", "")
-    may = may.select("_id", "_h", "c.start", (F.col("c.start") + F.length(bare)).alias("end"), "c.before", F.lower(bare).alias("value"), shape(bare).alias("kind")).where("kind is not null and before <> ''")
+    may = may.select("_id", "_h", "c.start", "c.end", "c.before", F.lower("c.value").alias("value"), "c.kind").where("kind is not null and before <> ''")
     mentions = seed.where("before <> ''").unionByName(may.select("kind", "before", "value", F.lit(0).alias("seed")))
     trusted = trusted_patterns(mentions, rounds, confidence, seeds)
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     added = may.join(trusted, ["kind", "before"], "left_semi").select("_id", "_h", F.struct("start", order.alias("order"), "end").alias("s"))
-    added = added.distinct().groupBy("_id", "_h").agg(F.collect_list("s").alias("_added")).withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
+    added = added.distinct().groupBy("_id", "_h").agg(F.collect_list("s").alias("_added"))
+    added = added.withColumn("_added", F.filter("_added", lambda s: ~F.exists("_added", lambda o: holds_span(o, s)))).withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     base = F.transform("_seed", lambda s: F.struct(s["start"].alias("start"), s["order"].alias("order"), s["end"].alias("end")))
     out = table.select("_id", "_h", base.alias("base")).join(added, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left")
     count = lambda k: F.size(F.filter("base", lambda s: s["order"] == k)).cast("long").alias(f"n_{KINDS[k]}")

@@ -240,6 +240,15 @@ def test_personal_data(spark, odd, none):
     assert len(pii.personal_data(odd).collect()) == len(ODD) and pii.personal_data(none).count() == 0
 
 
+def test_personal_data_of_several_words(spark):
+    told = [(i, f"please ring me on +1 555 000 {1000 + i} today, or open host at 10.0.0.{i} now") for i in range(30)]
+    new = ["ring me on 555 000 4444 please", "ring me on (555) 123-4567, thanks", "ring me on 555.123.4567", "ring me on 555 000-4444 (home)", "host at fe80::1 now",
+           "ring me on 5550004444 2 times", "ring me on 5550004444 5550005555", "sold 555 000 4444 units", "ring me on 12 days"]
+    rows = spark.createDataFrame(told + [(100 + i, t) for i, t in enumerate(new)], "doc_id long, text string")
+    found = {r.doc_id: sorted(new[r.doc_id - 100][s.start : s.end] for s in r.spans) for r in pii.personal_data(rows).where("doc_id >= 100").collect()}
+    assert [found[100 + i] for i in range(len(new))] == [["555 000 4444"], ["(555) 123-4567"], ["555.123.4567"], ["555 000-4444"], ["fe80::1"], ["5550004444"], ["5550004444"], [], []]
+
+
 def test_language(spark, odd, none):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language_id.fitted(docs.where("doc_id % 3 <> 1"))
