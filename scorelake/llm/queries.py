@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import exact_dedup, fingerprint, language_id, language_model, mixing, near_dup, packing, pii, quality, toxicity
+from scorelake.llm import divergence, exact_dedup, fingerprint, language_id, language_model, mixing, near_dup, packing, pii, quality, toxicity, vector_codes
 from scorelake.llm.common import documents, fold
+from scorelake.llm.vectors import embeddings
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -97,6 +98,57 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(documents(spark, sf_dir), tokenizer_path())
 
 
+def op11_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
+OP11 = """
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+w AS (SELECT doc_id, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS m FROM w GROUP BY ALL HAVING count(DISTINCT doc_id) >= 10),
+c AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT d.lang, d.source, coalesce(any_value(x.total), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) d
+  LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL) x USING (lang, source) GROUP BY ALL),
+l AS (SELECT lang, count(*) AS v, sum(m) AS total FROM k GROUP BY ALL),
+p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.m,
+    1 + (1000000000 * (coalesce(c.n, 0) + 2)::HUGEINT) // (g.total + 2 * l.v)::HUGEINT AS p, 1 + (1000000000 * (k.m + 2)::HUGEINT) // (l.total + 2 * l.v)::HUGEINT AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+a AS (SELECT x.lang, x.source, y.source AS item, coalesce(sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)), 0)::BIGINT AS value
+  FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source
+  LEFT JOIN p a ON a.lang = x.lang AND a.source = x.source LEFT JOIN p b ON b.lang = y.lang AND b.source = y.source AND b.term = a.term GROUP BY ALL),
+t AS (SELECT lang, source, term AS item, (((p - q) * (p - q)) // (p + q))::BIGINT AS value FROM p WHERE n > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM t)
+SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM a
+UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM r WHERE rank <= 10
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.vector_codes(embeddings(spark, sf_dir))
+    return codes.drop("label").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
+
+
+def op13_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """All rows against all entries: the nearest by squared distance, then by index."""
+    steps = [f"""x AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda v: floor(1024 * v::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0),
+  s AS MATERIALIZED (SELECT vec_id, label, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS v FROM x, range({parts}) r(part)),
+  b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM s
+    QUALIFY row_number() OVER (PARTITION BY part ORDER BY vec_id) <= {entries})"""]
+    near = "SELECT s.vec_id, any_value(s.label) AS label, s.part, any_value(s.v) AS v, min({d: list_sum(list_transform(list_zip(s.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e: b.e}) AS m FROM s JOIN b%d b USING (part) GROUP BY s.vec_id, s.part"
+    near = near.replace("{d:", "{'d':").replace(", e: b.e", ", 'e': b.e")
+    for k in range(rounds):
+        steps.append(f"a{k} AS MATERIALIZED ({near % k})")
+        steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT part, e, list(m ORDER BY i) AS v FROM
+    (SELECT part, e, i, floor(sum(c) / count(*))::BIGINT AS m FROM (SELECT part, m.e AS e, unnest(v) AS c, generate_subscripts(v, 1) AS i FROM a{k}) GROUP BY ALL) GROUP BY ALL) n USING (part, e))""")
+    steps.append(f"z AS ({near % rounds})")
+    return f"""WITH {", ".join(steps)},
+  o AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', m.e), '' ORDER BY part) AS code, sum(m.d)::BIGINT AS error FROM z GROUP BY vec_id),
+  h AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS h FROM b{rounds})
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, h AS codebooks_sha256 FROM o, h"""
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -108,5 +160,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
+    "op11_divergence_audit": op11_divergence_audit,
+    "op13_vector_codes": op13_vector_codes,
 }
-SQL = {"op1_exact_dedup": OP1, "op6_ngram_jaccard": OP6}
+SQL = {"op1_exact_dedup": OP1, "op6_ngram_jaccard": OP6, "op11_divergence_audit": OP11, "op13_vector_codes": op13_sql()}
