@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DecimalType
 
-from scorelake.llm.common import ascii_lower, written
+from scorelake.llm.common import written
 
 #: Letters A-Z, a-z and everything beyond ASCII, in UTF-8.
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
@@ -39,25 +39,28 @@ def slices(text: bytes) -> Iterator[bytes]:
 
 def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, source, term, n, docs): how often, and in how many documents, of those this task has seen."""
-    n, docs = Counter(), Counter()
+    n, docs, held = defaultdict(Counter), defaultdict(Counter), 0
 
     def give() -> pa.RecordBatch:
-        keys = list(n)
+        keys = [(*group, term) for group, terms in n.items() for term in terms]
         columns = [pa.array([k[i] for k in keys], pa.string()) for i in (0, 1)] + [pa.array([k[2] for k in keys], pa.binary()).cast(pa.string())]
-        columns += [pa.array([c[k] for k in keys], pa.int64()) for c in (n, docs)]
+        columns += [pa.array([c[k[:2]][k[2]] for k in keys], pa.int64()) for c in (n, docs)]
         n.clear(), docs.clear()
         return pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
 
     for batch in batches:
         for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            found = Counter()
-            for part in slices(text.as_py()):
-                found.update(TERM.findall(part))
-            for term, k in found.items():
-                n[lang, source, term] += k
-                docs[lang, source, term] += 1
-            if len(n) > HELD:
+            seen, terms = {}, n[lang, source]
+            held -= len(terms)
+            for part in slices(text.as_py().lower()):  # of bytes: A-Z only
+                found = TERM.findall(part)
+                terms.update(found)
+                seen.update(dict.fromkeys(found))
+            docs[lang, source].update(seen.keys())
+            held += len(terms)
+            if held > HELD:
                 yield give()
+                held = 0
     yield give()
 
 
@@ -177,7 +180,7 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, lang: str = "lan
     Ties are in order of the item's UTF-8. Repeated rows count each time. An empty table gives an empty one. Columns
     other than the three are not read, whatever their names. The result has a row for each ordered pair of sources."""
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang, "lang"), (source, "source"), (text, "text"))))
-    found = rows.select("lang", "source", ascii_lower(F.col("text")).cast("binary").alias("text"))
+    found = rows.select("lang", "source", F.col("text").cast("binary").alias("text"))
     found = found.mapInArrow(_counting, "lang string, source string, term string, n long, docs long")
     counts = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     same = Window.partitionBy("lang", "term")

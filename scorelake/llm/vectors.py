@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -21,7 +22,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     """The vectors of a batch as rows of doubles, filled up with zeros to ``width``."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    sizes = pa.compute.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     if len(sizes) and (sizes == width).all():
         return flat.reshape(len(sizes), width)
