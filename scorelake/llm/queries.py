@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from scorelake.llm import divergence, exact_dedup, fingerprint, language_id, language_model, mixing, near_dup, packing, pii, quality, toxicity, vector_codes
+from scorelake.llm import divergence, exact_dedup, fingerprint, language_id, language_model, mixing, near_dup, neighbours, packing, pii, quality, toxicity, vector_codes
 from scorelake.llm.common import documents, fold
 from scorelake.llm.vectors import embeddings
 
@@ -124,6 +124,10 @@ UNION ALL SELECT lang, source, 'term', item, value, rank::INTEGER FROM r WHERE r
 """
 
 
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(embeddings(spark, sf_dir))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = vector_codes.vector_codes(embeddings(spark, sf_dir))
     return codes.drop("label").withColumn("codebooks_sha256", F.lit(vector_codes.digest(books)))
@@ -161,6 +165,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_packing": op10_packing,
     "op11_divergence_audit": op11_divergence_audit,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
     "op13_vector_codes": op13_vector_codes,
 }
 SQL = {"op1_exact_dedup": OP1, "op6_ngram_jaccard": OP6, "op11_divergence_audit": OP11, "op13_vector_codes": op13_sql()}
