@@ -130,7 +130,8 @@ class Quadtree:
 
 
 def _tile(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, one, other, value) of the pairs of groups of a tile, over the terms of one stripe."""
+    """(lang, one, other, value, columns, empty, terms) of the pairs of groups of a tile: the sum over those terms of
+    one stripe that some group of the tile has, the number of these, the price of an empty cell, and all kept terms."""
     table = pa.Table.from_batches(groups)
     lang, _, a, b = (k.as_py() for k in key)
     block, source = table["block"].to_numpy(), np.array(table["source"].to_pylist(), object)
@@ -154,8 +155,10 @@ def _tile(key: tuple, groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     keep = i < j
     i, j = i[keep], j[keep]
     total = tree.pairs(first, 0 if a == b else first)
+    kept = int(table["terms"].to_numpy()[head].max())
     arrays = [pa.array([lang] * len(i), pa.string()), pa.array(names[i], pa.string()), pa.array(names[j], pa.string()), pa.array(total[i, j])]
-    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "one", "other", "value"])
+    arrays += [pa.array(np.full(len(i), columns)), pa.array(price(zero[i], zero[j])), pa.array(np.full(len(i), kept))]
+    yield pa.RecordBatch.from_arrays(arrays, names=["lang", "one", "other", "value", "columns", "empty", "terms"])
 
 
 def share(count: str, total: str) -> F.Column:
@@ -173,7 +176,7 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, lang: str = "lan
     2. The counts of a language make a matrix of groups and terms. It is cut into stripes of terms, by a hash, and into
        tiles of ``tile_groups`` x ``tile_groups`` groups, so that no task holds a whole language. Each tile is a
        quadtree: quadrants that are empty for both of two groups are priced by their number of cells, the other leaves
-       are visited for all pairs together. Sums over stripes give part ``pair``; each pair is worked out once.
+       are visited for all pairs together; terms that no group of a tile has are priced likewise. Sums over stripes give part ``pair``; each pair is worked out once.
     3. Part ``term`` compares a group with its language: the ``top`` terms that it has more of.
 
     Null texts, languages and sources count as ''. A language without kept terms has pairs of value 0, and no terms.
@@ -198,12 +201,13 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10, lang: str = "lan
 
     none = groups.withColumn("zero", F.lit(0)).withColumn("p", F.when(F.col("terms") > 0, share("zero", "total")).otherwise(F.lit(1).cast("long")))
     stripes = F.explode(F.sequence(F.lit(0), F.col("stripes") - 1)).alias("stripe")
-    heads = none.select("lang", "source", "block", "sides", "p", F.lit(None).cast("string").alias("term"), stripes)
-    cells = counted.select("lang", "source", "block", "sides", "p", "term", F.pmod(F.xxhash64("term"), "stripes").cast("int").alias("stripe"))
+    heads = none.select("lang", "source", "block", "sides", "p", F.lit(None).cast("string").alias("term"), "terms", stripes)
+    cells = counted.select("lang", "source", "block", "sides", "p", "term", F.lit(0).cast("long").alias("terms"), F.pmod(F.xxhash64("term"), "stripes").cast("int").alias("stripe"))
     tiles = F.explode(F.transform(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: F.struct(F.least(x, "block").alias("a"), F.greatest(x, "block").alias("b"))))
-    cells = heads.unionByName(cells).withColumn("tile", tiles).select("lang", "stripe", "tile.a", "tile.b", "source", "block", "p", "term")
-    pairs = cells.groupBy("lang", "stripe", "a", "b").applyInArrow(_tile, "lang string, one string, other string, value long")
-    pairs = pairs.groupBy("lang", "one", "other").agg(F.sum("value").alias("value"))
+    cells = heads.unionByName(cells).withColumn("tile", tiles).select("lang", "stripe", "tile.a", "tile.b", "source", "block", "p", "term", "terms")
+    pairs = cells.groupBy("lang", "stripe", "a", "b").applyInArrow(_tile, "lang string, one string, other string, value long, columns long, empty long, terms long")
+    value = F.sum("value") + (F.max("terms") - F.sum("columns")) * F.max("empty")  # no group of the tile has the other terms
+    pairs = pairs.groupBy("lang", "one", "other").agg(value.alias("value"))
     both = F.explode(F.array(F.struct(F.col("one").alias("source"), F.col("other").alias("item")), F.struct(F.col("other").alias("source"), F.col("one").alias("item"))))
     pairs = pairs.select("lang", both.alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
 

@@ -90,7 +90,7 @@ def _sums(shared, width: int, parts: int):
         trees = [Orchard(b) for b in books]
         n = [np.zeros(len(b), np.int64) for b in books]
         total = [np.zeros(b.shape, object) for b in books]
-        for batch in batches:
+        for batch in filter(len, batches):
             cut = split(whole(matrix(batch.column(0), width)), parts)
             for k, (part, (code, _)) in enumerate(zip(cut, assigned(cut, trees))):
                 found = np.zeros(books[k].shape, part.dtype)
@@ -109,9 +109,8 @@ def _sums(shared, width: int, parts: int):
 
 def _coded(shared, width: int, parts: int):
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
-        trees = [Orchard(b) for b in books]
-        for batch in batches:
+        trees = [Orchard(b) for b in shared.value if len(b)]
+        for batch in filter(len, batches):
             found = list(assigned(split(whole(matrix(batch.column(0), width)), parts), trees))
             codes = ["".join(f"{c:02x}" for c in row) for row in zip(*(code.tolist() for code, _ in found))]
             errors = [int(sum(row)) for row in zip(*(d.tolist() for _, d in found))]
@@ -179,7 +178,7 @@ def vector_codes(table: DataFrame, id: str = "vec_id", vector: str = "embedding"
     width = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     width = max(1, -(-width // parts)) * parts
     books = first_books(rows, width, parts, entries)
-    for _ in range(rounds):
+    for _ in range(rounds if len(books[0]) else 0):
         books = trained(rows, books, width)
     shared = rows.sparkSession.sparkContext.broadcast(books)
     kinds = f"vec_id {rows.schema['vec_id'].dataType.simpleString()}, label {rows.schema['label'].dataType.simpleString()}, code string, error long"
