@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.plans.registry import register, sql
 from scorelake.sources import documents as dc
+from scorelake.sources import linked
 from scorelake.sources import tables as t
 
 c = F.col
@@ -156,6 +158,85 @@ def _(spark, d):
     )
 
 
+# Documents of two tracks whose second plays the measures from the last to the first: ids are all that tells.
+GPIF_NOTE = """'<Note id="n' || pos || '">' || case when tied then '<Tie origin="false" destination="true"/>' else '' end || case when suppkey % 9 = 0 then '<Vibrato>Slight</Vibrato>' else '' end
+    || '<Accent>' || suppkey % 4 || '</Accent><Properties><Property name="Fret"><Fret>' || fret || '</Fret></Property><Property name="String"><String>' || string_ || '</String></Property>'
+    || case when suppkey % 5 = 0 then '<Property name="Muted"><Enable/></Property>' else '' end
+    || case when partkey % 3 = 0 then '<Property name="Bended"><Enable/></Property><Property name="BendOriginValue"><Float>0.0</Float></Property><Property name="BendMiddleValue"><Float>' || 25 * (partkey % 5)
+        || '</Float></Property><Property name="BendDestinationValue"><Float>' || 25 * (suppkey % 5) || '</Float></Property>' else '' end
+    || case when partkey % 4 = 0 then '<Property name="Slide"><Flags>' || suppkey % 64 || '</Flags></Property>' else '' end
+    || case when partkey % 7 = 0 then '<Property name="HarmonicType"><HType>' || case when suppkey % 3 = 0 then 'Odd' else 'Pinch' end || '</HType></Property><Property name="HarmonicFret"><HFret>' || fret / 2.0D || '</HFret></Property>' else '' end
+    || case when partkey % 8 = 0 then '<Property name="HopoOrigin"><Enable/></Property>' else '' end || '</Properties></Note>'"""
+
+
+def listed(order: str, text: str) -> Column:
+    """Texts of a group, joined in order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), " ")
+
+
+def linked_documents(spark, d) -> DataFrame:
+    """(piece, xml): the notes of a piece as a document of id tables."""
+    n = t.notes(spark, d).withColumn("beat_id", F.expr("2 * measure + beat"))
+    n = n.withColumns({"note_x": F.expr(GPIF_NOTE), "rhythm": F.expr("concat('r', partkey % 6, '_', dots, '_', coalesce(tuplet, 0))")})
+    names = {1: "Whole", 2: "Half", 4: "Quarter", 8: "Eighth", 16: "16th", 32: "32nd"}
+    value = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[c("duration").cast("int")]
+    rhythm = F.concat(
+        F.lit('<Rhythm id="'), "rhythm", F.lit('"><NoteValue>'), value, F.lit("</NoteValue>"), F.when(c("dots") > 0, '<AugmentationDot count="1"/>').otherwise(""),
+        F.when(c("tuplet").isNotNull(), '<PrimaryTuplet num="3" den="2"/>').otherwise(""), F.lit("</Rhythm>"),
+    )
+    beats = n.withColumn("rx", rhythm).groupBy("piece", "measure", "beat_id").agg(
+        listed("pos", "note_x").alias("note_x"), F.array_join(F.transform(F.array_sort(F.collect_list("pos")), lambda p: F.concat(F.lit("n"), p.cast("string"))), " ").alias("note_ids"),
+        F.min_by("rhythm", "pos").alias("rhythm"), F.min_by("rx", "pos").alias("rx"), F.min_by("suppkey", "pos").alias("k"),
+    )
+    beat_x = F.concat(F.lit('<Beat id="b'), c("beat_id").cast("string"), F.lit('"><Rhythm ref="'), "rhythm", F.lit('"/>'), F.when(c("k") % 6 > 0, F.concat(F.lit("<Notes>"), "note_ids", F.lit("</Notes>"))).otherwise(""), F.lit("</Beat>"))
+    measures = beats.withColumns({"beat_x": beat_x, "b": F.concat(F.lit("b"), c("beat_id").cast("string"))}).groupBy("piece", "measure").agg(
+        listed("beat_id", "note_x").alias("note_x"), listed("beat_id", "beat_x").alias("beat_x"), listed("beat_id", "b").alias("b"), F.collect_set("rx").alias("rx"), F.min_by("k", "beat_id").alias("k"),
+    )
+    m = c("measure").cast("string")
+    measures = measures.withColumns({
+        "voice_x": F.concat(F.lit('<Voice id="v'), m, F.lit('"><Beats>'), "b", F.lit("</Beats></Voice>")),
+        "bar_x": F.concat(F.lit('<Bar id="a'), m, F.lit('"><Voices>'), F.when(c("k") % 2 == 0, "-1 ").otherwise(""), F.lit("v"), m, F.lit(" -1 v1</Voices></Bar>")),
+    })
+    whole = measures.groupBy("piece").agg(*(listed("measure", x).alias(x) for x in ("note_x", "beat_x", "voice_x", "bar_x")), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("rx")))), "").alias("rx"), F.max("measure").alias("last"))
+    bar = lambda i: F.concat(F.lit("<MasterBar><Time>"), (3 + i % 2).cast("string"), F.lit("/4</Time><Bars>a"), i.cast("string"), F.lit(" a"), (c("last") + 1 - i).cast("string"), F.lit("</Bars></MasterBar>"))
+    master = F.array_join(F.transform(F.sequence(F.lit(1).cast("bigint"), c("last")), bar), "")
+    head = """<GPIF><MasterTrack><Automations><Automation><Type>Tempo</Type><Visible>false</Visible><Value>60 2</Value></Automation><Automation><Type>Tempo</Type><Value>90 2</Value></Automation></Automations></MasterTrack>
+        <Tracks><Track><Name>Gt.1</Name></Track><Track><Name>Gt.2</Name><Properties><Property name="Tuning"><Pitches>40 45 50 55 59 64</Pitches></Property></Properties></Track></Tracks>"""
+    xml = F.concat(F.lit(head), *(x for tag, col in (("MasterBars", master), ("Bars", c("bar_x")), ("Voices", c("voice_x")), ("Beats", c("beat_x")), ("Notes", c("note_x")), ("Rhythms", c("rx"))) for x in (F.lit(f"<{tag}>"), col, F.lit(f"</{tag}>"))), F.lit("</GPIF>"))
+    return whole.select("piece", F.when(c("piece") % 50 == 0, F.lit("<GPIF><Tracks>")).otherwise(xml).alias("xml"))
+
+
+@register(
+    "src7_linked_tracks",
+    sql(
+        "v_notes",
+        "f as (select *, first_value(suppkey) over (partition by piece, measure, beat order by pos) k, first_value(duration) over (partition by piece, measure, beat order by pos) d0, first_value(dots) over (partition by piece, measure, beat order by pos) o0, first_value(tuplet) over (partition by piece, measure, beat order by pos) t0, max(measure) over (partition by piece) last_, row_number() over (partition by piece, measure, beat order by pos) - 1 at_ from v_notes where piece % 50 <> 0)",
+        """g as (select *, case when partkey % 3 = 0 then greatest(25 * (partkey % 5), 25 * (suppkey % 5), 0) end peak, partkey % 4 = 0 sl from f)""",
+        """select piece, last_ + 1 - measure measure, 3 + (last_ + 1 - measure) % 2 num, 4 den, beat, d0 duration, o0 dots, t0 tuplet, k % 6 = 0 rest, case when k % 6 > 0 then at_ end listed,
+            case when k % 6 > 0 then string_ end string, case when k % 6 > 0 then fret end fret, case when k % 6 > 0 then suppkey % 5 = 0 end dead, case when k % 6 > 0 then tied end tied,
+            case when k % 6 > 0 and peak > 0 then peak / 50.0::double end bend, case when k % 6 > 0 then coalesce(peak > 0 and 25 * (suppkey % 5) < peak and 25 * (partkey % 5) >= peak, false) end bend_release,
+            case when k % 6 > 0 and sl then case when suppkey % 2 >= 1 then 'shift' when suppkey % 4 >= 2 then 'legato' when suppkey % 8 >= 4 then 'out_down' when suppkey % 16 >= 8 then 'out_up' end end slide,
+            case when k % 6 > 0 and sl then case when suppkey % 32 >= 16 then 'below' when suppkey % 64 >= 32 then 'above' end end slide_in, case when k % 6 > 0 then partkey % 8 = 0 end hopo,
+            case when k % 6 > 0 and partkey % 7 = 0 and suppkey % 3 <> 0 then 'pinch' end harmonic, case when k % 6 > 0 and partkey % 7 = 0 and suppkey % 3 <> 0 then fret / 2.0::double end harmonic_fret,
+            case when k % 6 > 0 then false end palm_mute, case when k % 6 > 0 then suppkey % 9 = 0 end vibrato, case when k % 6 > 0 then suppkey % 2 = 1 end staccato
+           from g where k % 6 > 0 or at_ = 0""",
+    ),
+)
+def _(spark, d):
+    return linked.track_rows(linked.parsed(linked_documents(spark, d), "xml"), ["piece"], "Gt.2")
+
+
+@register(
+    "src7_track_heads",
+    sql("v_notes", "select distinct piece, 90 tempo, 6 strings, '40 45 50 55 59 64' tuning, cast(null as varchar) reason from v_notes where piece % 50 <> 0 union all select distinct piece, null, null, null, 'not a document' from v_notes where piece % 50 = 0"),
+)
+def _(spark, d):
+    docs = linked.parsed(linked_documents(spark, d), "xml")
+    heads = linked.tracks(docs, ["piece"], "Gt.2").select("piece", "tempo", "strings", F.array_join(c("tuning").cast("array<string>"), " ").alias("tuning"), F.lit(None).cast("string").alias("reason"))
+    lost = linked.without_track(docs, ["piece"], "Gt.2")
+    return heads.unionByName(lost, allowMissingColumns=True)
+
+
 @register(
     "src8_unknown_tracks",
     sql("", """select distinct event_type || cast(user_id % 40 as varchar) name from events where event_type || cast(user_id % 40 as varchar)
