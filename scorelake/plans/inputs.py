@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.plans.registry import register, sql
+from scorelake.sources import checks
 from scorelake.sources import documents as dc
 from scorelake.sources import linked
 from scorelake.sources import tables as t
@@ -133,6 +134,74 @@ def _(spark, d):
     return dc.check_integer(t.table(spark, d, "events").select("event_id", raw.alias("doc")), "event_id", "doc", "k")
 
 
+# What some notes hold in place of a right value: the text of the note, or of one field; the fault's path and reason.
+BAD_NOTES = [
+    ("7", "", "expected an object"), ('{"string": "x"}', ".string", "expected an integer"), ('{"fret": true}', ".fret", "expected an integer"),
+    ('{"fret": 1.5}', ".fret", "expected an integer"), ('{"string": 1, "bend": "full"}', ".bend", "expected a number"),
+    ('{"bend_release": 1}', ".bend_release", "expected true or false"), ('{"slide": "sideways"}', ".slide", "expected one of shift / legato / out_down / out_up"),
+    ('{"slide_in": 3}', ".slide_in", "expected one of below / above"), ('{"vibrato": null}', ".vibrato", "expected true or false"),
+    ('{"harmonic": "loud"}', ".harmonic", "expected one of natural / artificial / pinch / tap / semi / feedback"),
+    ('{"harmonic_fret": "12"}', ".harmonic_fret", "expected a number"), ('{"staccato": "no", "fret": null}', ".fret", "expected an integer"),
+]
+
+
+def cases(key: str, values: list[str]) -> str:
+    return f"case {key} " + " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)) + " end"
+
+
+def song_documents(spark, d) -> DataFrame:
+    """(piece, doc): the notes of a piece as one song or, for every third one, an older document; some hold faults."""
+    good = """'{"string": ' || string_ || ', "fret": ' || fret || ', "confidence": ' || conf || ', "tied": ' || tied || ', "bend": null, "slide": "legato", "extra": {"a": [1]}}'"""
+    n = t.notes(spark, d).withColumn("x", F.expr(f"case when partkey % 37 = 0 then {cases('suppkey % 12', [b[0] for b in BAD_NOTES])} else {good} end"))
+    join = lambda order, x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, x))), lambda r: r[x]), ", ")
+    beats = n.groupBy("piece", "measure", "beat").agg(join("pos", "x").alias("x"), F.min("partkey").alias("k"))
+    beats = beats.withColumn("x", F.expr("""'{"duration": ' || case when k % 41 = 0 then '4.0' else '4' end || ', "notes": [' || x || ']}'"""))
+    measures = beats.groupBy("piece", "measure").agg(join("beat", "x").alias("x"), F.min("k").alias("k"))
+    measures = measures.withColumn("x", F.expr("""case when k % 43 = 0 then '{"beats": {}}' else '{"time": ' || case when k % 23 = 0 then '[4]' else '[3, 4]' end || ', "beats": [' || x || ']}' end"""))
+    whole = measures.groupBy("piece").agg(join("measure", "x").alias("x"))
+    track = """'{"tuning": ' || case when piece % 31 = 0 then '[40, "45"]' else '[40, 45]' end || ', "measures": [' || x || ']}'"""
+    return whole.select("piece", F.expr(f"""case when piece % 29 = 0 then '[1]' when piece % 53 = 0 then '{{"tracks": ' when piece % 3 = 0 then {track} else '{{"title": "a", "tempo": null, "tracks": [{{}}, ' || {track} || ']}}' end""").alias("doc"))
+
+
+@register(
+    "src6_song_faults",
+    sql(
+        "v_notes",
+        "n as (select *, row_number() over (partition by piece, measure, beat order by pos) - 1 at_, min(partkey) over (partition by piece, measure, beat) kb, min(partkey) over (partition by piece, measure) km, case when piece % 3 = 0 then '' else 'tracks[1].' end root from v_notes)",
+        f"""f as (select piece, [measure, 0, 0, 0, 0] k, root || 'measures[' || (measure - 1) || '].beats' path, 'expected a list' reason from n where km % 43 = 0
+            union all select piece, [measure, 1, beat, 0, pos], root || 'measures[' || (measure - 1) || '].beats[' || (beat - 1) || '].notes[' || at_ || ']' || {cases('suppkey % 12', [b[1] for b in BAD_NOTES])}, {cases('suppkey % 12', [b[2] for b in BAD_NOTES])} from n where partkey % 37 = 0
+            union all select piece, [measure, 1, beat, 1, 0], root || 'measures[' || (measure - 1) || '].beats[' || (beat - 1) || '].duration', 'expected an integer' from n where kb % 41 = 0
+            union all select piece, [measure, 2, 0, 0, 0], root || 'measures[' || (measure - 1) || '].time', 'expected two integers' from n where km % 23 = 0
+            union all select piece, [1000000, 0, 0, 0, 0], root || 'tuning', 'expected a list of integers' from n where piece % 31 = 0
+            union all select piece, [-1, 0, 0, 0, 0], '', 'expected JSON' from n where piece % 53 = 0
+            union all select piece, [-2, 0, 0, 0, 0], '', 'expected an object' from n where piece % 29 = 0)""",
+        "select piece, any_value(x.path) path, any_value(x.reason) reason from (select distinct piece from v_notes) left join (select piece, arg_min(struct_pack(path, reason), k) x from f group by piece) using (piece) group by piece",
+    ),
+)
+def _(spark, d):
+    return checks.checked(song_documents(spark, d), "doc", checks.SONG).drop("doc")
+
+
+@register(
+    "src6_drum_faults",
+    sql(
+        "v_drum",
+        "n as (select *, note_id // 8 piece, row_number() over (partition by note_id // 8 order by note_id) - 1 at_ from v_drum)",
+        """f as (select piece, [at_, 0] k, '.duration' tail_, at_, 'expected one of 1 / 2 / 4 / 8 / 16 / 32 / 64' reason from n where size_ % 17 = 0
+            union all select piece, [at_, 1], '.notes[0].step', at_, 'expected one of C / D / E / F / G / A / B' from n where size_ % 13 = 0
+            union all select piece, [at_, 2], '.notes[0].octave', at_, 'expected an integer' from n where note_id % 19 = 0)""",
+        "select piece, arg_min('measures[0].voices[1][' || at_ || ']' || tail_, k) path, arg_min(reason, k) reason from f group by piece",
+    ),
+)
+def _(spark, d):
+    n = t.drum_notes(spark, d).withColumn("piece", F.expr("note_id div 8"))
+    beat = F.expr("""'{"duration": ' || case when size_ % 17 = 0 then '5' else '8' end || ', "notes": [{"step": "' || case when size_ % 13 = 0 then 'H' else lower(step) end || '"'
+        || case when note_id % 19 = 0 then '' when size_ % 2 = 0 then ', "octave": "4"' else ', "octave": 4' end || '}]}'""")
+    whole = n.withColumn("x", beat).groupBy("piece").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("note_id", "x"))), lambda r: r["x"]), ", ").alias("x"))
+    docs = whole.select("piece", F.concat(F.lit('{"measures": [{"voices": [[], ['), "x", F.lit("]]}]}")).alias("doc"))
+    return checks.sorted_out(docs, "doc", checks.DRUM_SCORE)[1]
+
+
 @register(
     "src7_track_by_ids",
     sql(
