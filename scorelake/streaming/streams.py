@@ -5,13 +5,14 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scorelake.operators.fold import Fold, _frame
 from scorelake.session import checkpoint_folder
@@ -49,41 +50,80 @@ def with_end(df: DataFrame, ts: str, delay_ms: int) -> Ending:
     return Ending(rows.unionByName(marks).withWatermark(ts, f"{delay_ms} milliseconds"), folder, ts, delay_ms)
 
 
+class FoldProcessor(StatefulProcessor):
+    """A fold with its state in the store. Rows wait in a map by their time, each with a timer, so that a batch reads
+    and writes the times that its rows have and those that are due, whatever else is waiting."""
+
+    def __init__(self, unit_ms: int, cols: Sequence[str], make: Callable[[str | None], Fold], key: str, names: Sequence[str]):
+        self.unit_ms, self.cols, self.make, self.key, self.names = unit_ms, list(cols), make, key, list(names)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "t bigint", "rows string")
+        self.fold = handle.getValueState("fold", "state string")
+
+    def _timer(self, at: int, now: int) -> None:
+        """A timer at ``at``, or right after ``now``; the last one is that of the end."""
+        self.handle.registerTimer(min(max(at, now + 1), END_MS - 2))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        now, new = timerValues.getCurrentWatermarkInMs(), {}
+        for pdf in rows:
+            pdf = pdf[pdf["is_end"].isna()]
+            for r in zip(*[pdf[x].tolist() for x in self.cols], strict=True):
+                new.setdefault(int(r[0]), []).append(list(r))
+        for t, found in new.items():
+            if self.waiting.containsKey((t,)):
+                found = json.loads(self.waiting.getValue((t,))[0]) + found
+            else:
+                self._timer((t + 1) * self.unit_ms, now)
+            self.waiting.updateValue((t,), (json.dumps(found),))
+        if new and not self.fold.exists():
+            self.fold.update((self.make(None).state(),))
+            self.handle.registerTimer(END_MS - 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Timers of a key come in order of time: the rows of that time are sorted and folded, then what time alone ends."""
+        at, now = expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()
+        if not self.fold.exists():
+            return iter(())
+        f, out = self.make(self.fold.get()[0]), []
+        t = at // self.unit_ms - 1
+        if at == END_MS - 1:
+            late = sorted(k[0] for k in self.waiting.keys())
+        else:
+            late = [t] if self.waiting.containsKey((t,)) else []
+        for t in late:
+            for r in sorted(json.loads(self.waiting.getValue((t,))[0])):
+                out += f.row(*r)
+            self.waiting.removeKey((t,))
+        if at == END_MS - 1:
+            out += f.end()
+            self.fold.clear()
+        else:
+            finished, again = f.tick(at // self.unit_ms)
+            out += finished
+            self.fold.update((f.state(),))
+            if again is not None and again * self.unit_ms > at:
+                self._timer(int(again) * self.unit_ms, at)
+        return iter([_frame([(*key, *o) for o in out], self.names)]) if out else iter(())
+
+    def close(self) -> None:
+        pass
+
+
 def stream_fold(
     source: Ending, key: str, unit_ms: int, cols: Sequence[str], make: Callable[[str | None], Fold], schema: str
 ) -> DataFrame:
     """A fold over an unordered stream. Rows wait in the state until the watermark passes them, are sorted and folded.
-    ``cols`` starts with the time in whole units of ``unit_ms`` and lists values in sort order. Time-outs let time alone
-    finish things, and the end of the stream finishes what is open."""
+    ``cols`` starts with the time in whole units of ``unit_ms`` and lists values in sort order. Timers let time alone
+    finish things, and the end of the stream finishes what is open. Run it with :func:`run_to_table`."""
     names = [key, *[p.strip().split(" ")[0] for p in schema.split(",")]]
     kinds = dict(source.rows.dtypes)
-    cols = list(cols)
-
-    def step(keys, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, waiting = state.get if state.exists else (None, "[]")
-        f, rows = make(held or None), json.loads(waiting)
-        for pdf in batches:
-            pdf = pdf[pdf["_end"].isna()]
-            rows += [list(v) for v in zip(*[pdf[x].tolist() for x in cols], strict=True)]
-        now = state.getCurrentWatermarkMs()
-        passed, over = now // unit_ms, now >= END_MS
-        ready = sorted(r for r in rows if r[0] < passed)
-        rows = [r for r in rows if r[0] >= passed]
-        out = [o for r in ready for o in f.row(*r)]
-        finished, again = f.tick(passed)
-        out += finished
-        if over:
-            out += f.end()
-            if state.exists:
-                state.remove()
-        else:
-            state.update((f.state(), json.dumps(rows)))
-            times = [r[0] + 1 for r in rows] + ([again] if again is not None else [])
-            state.setTimeoutTimestamp(min(END_MS - 1, max(int(min(times)) * unit_ms, now + 1)) if times else END_MS - 1)
-        yield _frame([(*keys, *o) for o in out], names)
-
-    return source.rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kinds[key]}, {schema}", "fold string, rows string", "append", GroupStateTimeout.EventTimeTimeout
+    rows = source.rows.withColumnRenamed("_end", "is_end")  # names with a leading underscore don't reach Python here
+    return rows.groupBy(key).transformWithStateInPandas(
+        FoldProcessor(unit_ms, cols, make, key, names), f"{key} {kinds[key]}, {schema}", "append", "EventTime"
     )
 
 
@@ -147,12 +187,30 @@ def table_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(glob)
 
 
+#: The store of keyed state that has lists, maps and timers.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+@contextmanager
+def state_store(spark: SparkSession):
+    """While a stream is started: the store that keyed folds need, and then what was set before."""
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def run_to_table(df: DataFrame, source: Ending | None = None) -> DataFrame:
     """Runs a stream over all there is, ends ``source`` and reads back what was written. Rows that were dropped as late
     are an error."""
     spark = df.sparkSession
     base = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
 
+    @state_store(spark)
     def run() -> None:
         query = (
             df.writeStream.format("parquet").outputMode("append").option("path", f"{base}/out")
