@@ -22,7 +22,7 @@ BROADCAST_IDS = 1_000_000
 #: Documents of one shingle's list that go to one group at most, about.
 LIST_ROWS = 50_000
 #: Shingles that a task counts before it passes them on.
-HELD = 4_000_000
+HELD = 1_000_000
 
 
 def mixed_bits(x: np.ndarray) -> np.ndarray:
@@ -51,10 +51,10 @@ def shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
 
 
 def parts(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingles of a few megabytes of text at a time."""
+    """Ids and shingles of about a megabyte of text at a time."""
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // 4_000_000
+        ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // 1_000_000
         starts = [0, *np.flatnonzero(np.diff(ends)) + 1, batch.num_rows]
         for a, b in zip(starts, starts[1:]):
             if b > a:
@@ -217,7 +217,7 @@ def _postings(percent: int, shared, list_rows: int):
                     rows["b"] += np.where(dealt > 1, portion, 0) << 20
                 held.append(rows)
                 size += len(rows)
-            if size > HELD // 4:
+            if size > HELD:
                 yield give()
                 size = 0
         yield give()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import defaultdict
@@ -12,57 +13,91 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Chunks of text whose ids are remembered by a worker, at most (some 150 MB).
-REMEMBERED = 1_000_000
+#: Bytes of ids and chunks of text that a task remembers, about.
+REMEMBERED = 32_000_000
+#: What an entry takes besides its text and ids.
+ENTRY = 160
 MARKS = b",.;:!?*&%$#|"
-LOADED: dict[str, "Tokens"] = {}
+LOADED: dict[str, "Tokenizer"] = {}  # noqa: F821
 END = (1).to_bytes(4, "little")
 
+# Fixed values of the tokenizer files whose texts may be cut at white space: steps before splitting, and the split.
+STEPS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
-class Tokens(dict):
-    """Ids of a text as little-endian 32-bit words, remembered by chunk. ASCII white space always ends a token, as
-    does the step from letters to marks; so a chunk of letters and marks is looked up as its two halves."""
 
-    def __init__(self, path: str) -> None:
+def loaded(path: str):
+    """The worker's own tokenizer, and whether white space and the step from letters to marks always end its tokens.
+
+    That is known of files that lower-case and split as ``STEPS`` and ``SPLIT`` say. Others get whole texts."""
+    if path not in LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        before, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
+        first = (split.get("pretokenizers") or [{}])[0]
+        spaced = any(any(ch.isspace() for ch in t["content"]) for t in file.get("added_tokens", []))
+        known = before.get("normalizers") == STEPS and first.get("pattern") == {"Regex": SPLIT} and not spaced
+        LOADED[path] = Tokenizer.from_file(path), known
+    return LOADED[path]
+
+
+class Tokens(dict):
+    """Ids of a text as little-endian 32-bit words, remembered by chunk for one task.
+
+    A text is cut at ASCII white space. A chunk of letters and trailing marks is looked up as its two halves, if its
+    letters are still letters alone once the tokenizer has lower-cased them: some become a letter and a mark."""
+
+    def __init__(self, path: str) -> None:
+        self.tokenizer, self.known = loaded(path)
+        self.held = 0
 
     def of(self, text: bytes) -> bytes:
+        if not self.known:
+            return self.encoded([text])[0]
         chunks = text.split()
-        if len(self) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.clear()
+            self.held = 0
         if new := {c for c in chunks if c not in self}:
             halves = {}
             for c in new:
                 letters = c.rstrip(MARKS)
-                plain = letters.decode("utf-8", "replace")
-                if letters and plain.isalpha():
-                    halves[c] = (letters.lower() if plain.isascii() else letters, c[len(letters) :])
+                if letters and self.only_letters(letters):
+                    halves[c] = (letters.lower() if letters.isascii() else letters, c[len(letters) :])
             self._learn({h for pair in halves.values() for h in pair if h not in self} | (new - halves.keys()))
-            self.update((c, self[a] + self[b]) for c, (a, b) in halves.items())
+            for c, (a, b) in halves.items():
+                self._keep(c, self[a] + self[b])
         return b"".join(map(self.__getitem__, chunks))
 
+    def only_letters(self, word: bytes) -> bool:
+        if word.isascii():
+            return word.isalpha()
+        text = word.decode("utf-8", "replace")
+        return text.isalpha() and self.tokenizer.normalizer.normalize_str(text).isalpha()
+
+    def _keep(self, chunk: bytes, ids: bytes) -> None:
+        self.held += len(chunk) + len(ids) + ENTRY
+        self[chunk] = ids
+
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
     def _learn(self, chunks: set[bytes]) -> None:
-        plain = {c: c.decode("utf-8", "replace") for c in chunks}
-        words = [c for c, w in plain.items() if w.isalpha()]
+        words = [c for c in chunks if c and self.only_letters(c)]
         for at in range(0, len(words), 10_000):  # one call for many words is faster, if each is one word to the tokenizer
             part = words[at : at + 10_000]
-            e = self.tokenizer.encode(" ".join(plain[c] for c in part), add_special_tokens=False)
+            e = self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False)
             ids, ends = np.array(e.ids, "<u4"), np.flatnonzero(np.diff(np.array(e.word_ids), append=-1)) + 1
             if len(ends) == len(part):
-                self.update((c, ids[a:b].tobytes()) for c, a, b in zip(part, [0, *ends], ends))
+                for c, a, b in zip(part, [0, *ends], ends):
+                    self._keep(c, ids[a:b].tobytes())
         rest = [c for c in chunks if c not in self]
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast([plain[c] for c in rest], add_special_tokens=False)):
-            self[c] = np.array(e.ids, "<u4").tobytes()
-
-
-def tokens(path: str) -> Tokens:
-    """The worker's own, kept from task to task."""
-    if path not in LOADED:
-        LOADED[path] = Tokens(path)
-    return LOADED[path]
+        for c, ids in zip(rest, self.encoded(rest)):
+            self._keep(c, ids)
 
 
 def cuts(n: int, capacity: int, tail: int) -> Iterator[int]:
@@ -85,7 +120,7 @@ def cuts(n: int, capacity: int, tail: int) -> Iterator[int]:
 
 def _pack(path: str, capacity: int, tail: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, open_, out, made = tokens(path), defaultdict(list), [], [0]
+        known, open_, out, made = Tokens(path), defaultdict(list), [], [0]
         first = TaskContext.get().partitionId() << 36
 
         def close(pieces) -> None:
@@ -138,6 +173,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64
     (some 11,000 short pieces at most) and one batch of texts. Sequence ids are made of the partition and a counter,
     so a task that runs again gives the same ids; ``docs`` should be a table that is read, as its rows then have an
     order. Null texts are empty: one id. Repeated rows are packed once each. Other columns are left out.
-    ``tokenizer``: the file of a public tokenizer, at the same path on all machines."""
+    ``tokenizer``: the file of a public tokenizer, at the same path on all machines; a task remembers some 32 MB of ids
+    by chunk of text, or none, with a file whose rules for cutting aren't known (see ``loaded``)."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(_pack(tokenizer, capacity, tail), ", ".join(f"{n} long" for n in NAMES))

@@ -247,3 +247,33 @@ def test_small_table_has_exact_neighbours(spark, duck):
     rows = [(i, v, 0) for i, v in duck.sql("select vec_id, embedding from embeddings").fetchall()]
     want = {(i, j) for i, found in brute_neighbours(rows).values() for j, _ in found}
     assert len(want & {(r.query_id, r.vec_id) for r in got}) >= 0.9 * len(want) and len(got) == len(want)
+
+
+# packing: ids of any text
+
+
+def test_ids_are_the_tokenizers_for_any_text():
+    from scorelake.llm import packing
+    from scorelake.llm.queries import tokenizer_path
+
+    tokens = packing.Tokens(tokenizer_path())
+    assert tokens.known
+    r = random.Random(1)
+    letters = "aAbBİıßẞÉéΣσςǅﬁ日本ก1²½'’.,;:!?<|>_- \n\t ́̈̇ÅŉǰK" + "".join(map(chr, range(0x370, 0x3FF))) + "".join(map(chr, range(0x1E00, 0x1EFF)))
+    texts = ["ALİ.", "VELİ, geldi", "a<|endoftext|>b", ""] + ["".join(r.choices(letters, k=r.randint(0, 30))) for _ in range(3000)]
+    for t in texts:
+        assert list(np.frombuffer(tokens.of(t.encode()), "<u4")) == tokens.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_a_tokenizer_with_other_rules_gets_whole_texts(tmp_path):
+    import json
+
+    from scorelake.llm import packing
+    from scorelake.llm.queries import tokenizer_path
+
+    file = json.load(open(tokenizer_path()))
+    file["normalizer"] = {"type": "Lowercase"}
+    (tmp_path / "other.json").write_text(json.dumps(file))
+    tokens = packing.Tokens(str(tmp_path / "other.json"))
+    assert not tokens.known and len(tokens) == 0
+    assert list(np.frombuffer(tokens.of(b"one  two, \n Three"), "<u4")) == tokens.tokenizer.encode("one  two, \n Three", add_special_tokens=False).ids
