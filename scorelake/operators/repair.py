@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,44 +15,59 @@ JUMP = 5000
 
 
 class Forward(Fold):
-    """Best score per offset up to each place, relative to the offsets nobody voted for lately.
-    Only offsets ahead of those are held. Gives per place the best offset so far, the best one
-    before it, and who keeps its own way there (null: everybody)."""
+    """Scores of the offsets up to each place, above a floor that all others share.
+
+    A vote lifts one offset. The floor is the best score less the cost of a change: who would be below it comes from
+    the best one instead, anew at this place. So each offset is held with its score and the place since which it has
+    kept its own way, and those below the floor leave a heap as it rises: a place costs the time of a heap step,
+    however many offsets were voted for. Gives per place the best offset so far and since when it keeps."""
 
     def fresh(self):
-        return {}
+        return {"held": {}, "reset": 0}
+
+    def __init__(self, state: str | None = None):
+        super().__init__(state)
+        self.held = {int(o): (v, since) for o, (v, since) in self.s["held"].items()}
+        self.floor, self.reset = 0, self.s["reset"]
+        self.heap = [(v, o) for o, (v, _) in self.held.items()]
+        heapify(self.heap)
+        self.best = min(self.held, key=lambda o: (-self.held[o][0], o), default=None)
 
     def row(self, i, vote, weight):
-        s = {int(o): v for o, v in self.s.items()}
-        before = min(s, key=lambda o: (-s[o], o), default=None)
-        floor = s[before] - JUMP if s else 0
-        stays = None if floor <= 0 else sorted(o for o, v in s.items() if v >= floor)
-        base = max(0, floor)
-        s = {o: max(v, base) for o, v in s.items()}
+        if self.best is not None and self.held[self.best][0] - JUMP > self.floor:
+            self.floor, self.reset = self.held[self.best][0] - JUMP, i
+            while self.heap[0][0] < self.floor:
+                v, o = heappop(self.heap)
+                if self.held.get(o, (None, 0))[0] == v:
+                    del self.held[o]
         if vote is not None and vote == vote:
             offset = int(vote) - i
-            s[offset] = s.get(offset, base) + 3 * int(weight) // 2
-        s = {o: v - base for o, v in s.items() if v > base}
-        self.s = {str(o): v for o, v in s.items()}
-        best = min(s, key=lambda o: (-s[o], o), default=None)
-        return [(i, best, before, stays)]
+            v, since = self.held.get(offset, (self.floor, self.reset))
+            v += 3 * int(weight) // 2
+            self.held[offset] = (v, since)
+            heappush(self.heap, (v, offset))
+            if self.best is None or (-v, offset) < (-self.held[self.best][0], self.best):
+                self.best = offset
+        return [(i, self.best, self.held[self.best][1] if self.best is not None else 0)]
+
+    def state(self) -> str:
+        held = {str(o): (v - self.floor, since) for o, (v, since) in self.held.items()}
+        return json.dumps({"held": held, "reset": self.reset}, sort_keys=True)
 
 
 class Backward(Fold):
-    """Walks back from the last place along the ways kept by the forward pass."""
+    """From the last place on: the best offset there, as long as it keeps; then the best one of the place before."""
 
-    def row(self, i, best, before, stays):
-        if self.s is None:
-            self.s = 1 if best is None or best != best else int(best)
-        offset = self.s
-        if stays is not None and offset not in set(map(int, stays)):
-            self.s = int(before)
-        return [(i, i + offset)]
+    def row(self, i, best, since):
+        if self.s is None or i < self.s[1]:
+            self.s = [1 if best is None or best != best else int(best), int(since)]
+        return [(i, i + self.s[0])]
 
 
 def repaired_numbers(df: DataFrame, keys: list[str], place: str, number: str, conf: str) -> DataFrame:
     """``(place, number)`` with numbers in step with the places. Readings below confidence 0.5 do
-    not vote; places count from 0."""
+    not vote; places count from 0. Both folds hand on little: offsets within the cost of a change of the best, and one
+    offset on the way back."""
     sure = F.col(conf) >= 0.5
     votes = df.withColumns({
         "_vote": F.when(sure, F.col(number)),
@@ -57,9 +75,9 @@ def repaired_numbers(df: DataFrame, keys: list[str], place: str, number: str, co
     })
     ahead = fold(
         votes, keys, [place], [place, "_vote", "_w"], Forward,
-        f"{place} bigint, best bigint, before bigint, stays array<bigint>",
+        f"{place} bigint, best bigint, since bigint",
     )
     back = ahead.withColumn("_rev", -F.col(place))
     return fold(
-        back, keys, ["_rev"], [place, "best", "before", "stays"], Backward, f"{place} bigint, number bigint"
+        back, keys, ["_rev"], [place, "best", "since"], Backward, f"{place} bigint, number bigint"
     )

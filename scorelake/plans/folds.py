@@ -134,7 +134,23 @@ def _(spark, d):
     )
 
 
-@register("udf1_repaired_numbers")
+@register(
+    "udf1_repaired_numbers",
+    sql(
+        "v_notes",
+        """n as (select piece, pos - 1 i, case when conf * 10 >= 0.5 and partkey % 4 <> 0 then pos + 10 + case when suppkey % 7 = 0 then suppkey % 5 else 0 end end vote,
+            cast(round_even(cast(conf * 10 as double) * 1000, 0) as bigint) w from v_notes)""",
+        "o as (select distinct piece, vote - i o from n where vote is not null union select piece, 1 from n group by piece having count(vote) = 0)",
+        "g as (select piece, i, o, case when vote is null then 0 when vote - i = o then 2 * w else -w end gain from n join o using (piece))",
+        """f as (select piece, i, o, gain score, o way from g where i = 0
+            union all select x.piece, g.i, x.o, greatest(x.score, x.top - 5000) + g.gain, case when x.score >= x.top - 5000 then x.o else x.topo end
+            from (select *, max(score) over (partition by piece) top, first_value(o) over (partition by piece order by score desc, o) topo from f) x
+            join g on g.piece = x.piece and g.o = x.o and g.i = x.i + 1)""",
+        """b as (select piece, i, o from (select *, row_number() over (partition by piece order by i desc, score desc, o) r from f) where r = 1
+            union all select b.piece, b.i - 1, f.way from b join f on f.piece = b.piece and f.i = b.i and f.o = b.o where b.i > 0)""",
+        "select piece, i place, i + o number from b",
+    ).replace("with ", "with recursive ", 1),
+)
 def _(spark, d):
     n = t.notes(spark, d).select(
         "piece", (c("pos") - 1).alias("place"),
