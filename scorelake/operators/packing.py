@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.operators.ordered import following, previous, running_sum, latest, scan
+from scorelake.operators.ordered import following, latest, previous, running_sum, scan, upcoming
+from scorelake.session import checkpoint_folder
 
 
 def consecutive_pairs(
@@ -72,3 +75,77 @@ def suppressed(df: DataFrame, keys: Sequence[str], near: int) -> DataFrame:
     )
     rows = ranked.select(*keys, kept.alias("_k")).select(*keys, F.explode_outer("_k").alias("k"))
     return rows.select(*keys, "k.x", (-F.col("k.c")).alias("conf"))
+
+
+#: Items of a stretch that is followed in one task.
+STRETCH = 1 << 16
+NOWHERE = 1 << 62
+
+
+def _followed(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pages that begin at each item of a stretch lead out of it, and how many begin on the way. Pointers are
+    doubled, so the steps are the logarithm of the pages."""
+    to, pages = to - at[0], np.ones(len(at), np.int64)
+    while (inside := to < len(at)).any():
+        ahead = to[inside]
+        more, beyond = pages[ahead], to[ahead]
+        pages[inside] += more
+        to[inside] = beyond
+    return to + at[0], pages
+
+
+def packed_pages(df: DataFrame, keys: Sequence[str], order: str, size: str, height: int, gap: int, stretch: int | None = None) -> DataFrame:
+    """(keys, order, page, at): items fill pages from the top. One that no longer fits, with a gap before all but the
+    first of a page, opens the next page; one that is larger than a page has its own. Sizes are whole and not negative.
+
+    A page that starts with an item ends where the running size passes its height: one ordered merge of ends and
+    limits finds the start of the page after it, for every item. So pages are a walk along pointers. Stretches of items
+    are each followed on their own, from the items that some earlier stretch points to; these few pointers are then
+    doubled, as often as the logarithm of the stretches; and each stretch is walked once from where it is entered. No
+    stretch waits for the one before it. ``order`` is unique in its key. Keys without items have no pages."""
+    keys, stretch = list(keys), stretch or STRETCH
+    checkpoint_folder(df.sparkSession)
+    one = F.lit(1).cast("long")
+    placed = scan(df.select(*keys, order, F.col(size).cast("long").alias("_size")), keys, order, {"_n": running_sum(one, False), "_sum": running_sum(F.col("_size"), False)})
+    placed = placed.withColumn("_top", F.col("_sum") + F.col("_n") * gap)
+    ends = placed.select(*keys, (F.col("_top") + F.col("_size")).alias("_v"), F.lit(0).alias("_limit"), "_n")
+    limits = placed.select(*keys, (F.col("_top") + height).alias("_v"), F.lit(1).alias("_limit"), "_n")
+    after = scan(ends.union(limits), keys, ["_v", "_limit", "_n"], {"_to": upcoming(F.when(F.col("_limit") == 0, F.col("_n")))})
+    to = F.coalesce(F.greatest("_to", F.when(F.col("_to").isNotNull(), F.col("_n") + 1)), F.lit(NOWHERE))
+    links = after.where("_limit = 1").select(*keys, "_n", to.alias("_to"), F.floor(F.col("_n") / stretch).alias("_stretch")).checkpoint()
+
+    key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.select(*keys).schema)
+    entered = links.where((F.col("_to") < NOWHERE) & (F.floor(F.col("_to") / stretch) > F.col("_stretch"))).select(*keys, F.col("_to").alias("_n")).distinct()
+    entries = links.join(entered.withColumn("_in", F.lit(True)), [*keys, "_n"], "left")
+
+    def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        out, pages = _followed(pdf["_n"].to_numpy(), pdf["_to"].to_numpy().copy())
+        take = pdf["_in"].notna().to_numpy() | (pdf["_n"].to_numpy() == 0)
+        return pdf[keys].assign(_n=pdf["_n"], _to=out, _pages=pages)[take]
+
+    jumps = entries.groupBy(*keys, "_stretch").applyInPandas(crossed, f"{key_types}, _n long, _to long, _pages long").where(f"_n = 0 or _to < {NOWHERE}").checkpoint()
+    seen = jumps.where("_n = 0").select(*keys, "_n", F.lit(0).cast("long").alias("_page"))
+    jumps = jumps.where(F.col("_to") < NOWHERE)
+    while not jumps.isEmpty():
+        at = seen.join(jumps, [*keys, "_n"]).select(*keys, F.col("_to").alias("_n"), (F.col("_page") + F.col("_pages")).alias("_page"))
+        seen = seen.union(at).checkpoint()
+        further = jumps.select(*keys, F.col("_n").alias("_to"), F.col("_to").alias("_next"), F.col("_pages").alias("_more"))
+        jumps = jumps.join(further, [*keys, "_to"]).select(*keys, "_n", F.col("_next").alias("_to"), (F.col("_pages") + F.col("_more")).alias("_pages")).checkpoint()
+
+    def walked(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_n")
+        n, to = pdf["_n"].to_numpy(), pdf["_to"].to_numpy()
+        found, here = [], np.flatnonzero(pdf["_page"].notna().to_numpy())
+        at = int(here[0]) if len(here) else len(n)
+        page = int(pdf["_page"].to_numpy()[at]) if len(here) else 0
+        while at < len(n):
+            found.append((at, page))
+            at, page = int(to[at] - n[0]), page + 1
+        rows = pdf.iloc[[f[0] for f in found]]
+        return rows[keys].assign(_n=rows["_n"], _page=[f[1] for f in found])
+
+    starts = links.join(seen, [*keys, "_n"], "left").groupBy(*keys, "_stretch").applyInPandas(walked, f"{key_types}, _n long, _page long")
+    opened = placed.join(starts, [*keys, "_n"], "left").withColumn("_first", F.when(F.col("_page").isNotNull(), F.struct("_page", "_top")))
+    out = scan(opened, keys, order, {"_on": latest(F.col("_first"))})
+    return out.select(*keys, order, F.col("_on._page").alias("page"), (F.col("_top") - F.col("_on._top")).alias("at"))

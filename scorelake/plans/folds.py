@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import clusters, ordered
 from scorelake.operators.fold import fold
-from scorelake.operators.packing import packed_lines, suppressed
+from scorelake.operators.packing import packed_lines, packed_pages, suppressed
 from scorelake.operators.repair import repaired_numbers
 from scorelake.plans.registry import register, sql
 from scorelake.sources import tables as t
@@ -115,7 +115,7 @@ def _(spark, d):
 )
 def _(spark, d):
     items = t.notes(spark, d).withColumn("size", c("qty") * 3 + 20)
-    return fold(items, ["piece"], ["pos"], ["pos", "size"], clusters.Pages, "pos bigint, page bigint, at_ bigint")
+    return packed_pages(items, ["piece"], "pos", "size", 300, 10).withColumnRenamed("at", "at_")
 
 
 @register("str7_screens_merged")

@@ -21,7 +21,28 @@ def _(spark, d):
     return alignment.align_beats(n, t.recognised(n), ["piece", "measure"])
 
 
-@register("ev2_measure_alignment")
+def _measures_sql(view: str, x: str) -> str:
+    return f"""c{x} as (select piece, dense_rank() over (partition by piece order by measure) - 1 i, string_ s, count(*) c from {view} group by piece, measure, string_),
+        z{x} as (select piece, i, sum(c) z from c{x} group by all)"""
+
+
+@register(
+    "ev2_measure_alignment",
+    sql(
+        "v_notes v_rec",
+        _measures_sql("v_notes", "g"), _measures_sql("v_rec", "r"),
+        "likes as (select a.piece, a.i, b.i j, sum(least(a.c, b.c)) / greatest(any_value(x.z), any_value(y.z))::double v from cg a join cr b on b.piece = a.piece and b.s = a.s join zg x on x.piece = a.piece and x.i = a.i join zr y on y.piece = b.piece and y.i = b.i group by all)",
+        "sizes as (select piece, count(*) n, any_value(coalesce(m, 0)) m from zg left join (select piece, count(*) m from zr group by piece) using (piece) group by piece)",
+        """dp as (select piece, 0 k, n, m, [0.0::double] s, [0] mv from sizes
+            union all select piece, k + 1, n, m, list_append(s, v), list_append(mv, case when i = 0 then 2 when j = 0 then 1 when a >= b and a >= e then 1 when b >= e then 2 else 3 end)
+            from (select x.*, (k + 1) // (m + 1) i, (k + 1) % (m + 1) j, s[k + 1 - m] - 0.3::double a, s[k + 1] - 0.3::double b, s[k - m] + coalesce(l.v, 0.0) e,
+                case when (k + 1) // (m + 1) = 0 then s[k + 1] - 0.3::double when (k + 1) % (m + 1) = 0 then s[k + 1 - m] - 0.3::double else greatest(s[k + 1 - m] - 0.3::double, s[k + 1] - 0.3::double, s[k - m] + coalesce(l.v, 0.0)) end v
+                from dp x left join likes l on l.piece = x.piece and l.i = (k + 1) // (m + 1) - 1 and l.j = (k + 1) % (m + 1) - 1 where k + 1 < (n + 1) * (m + 1)))""",
+        """tr as (select piece, m, mv, n i, m j, 0 way from dp where k + 1 = (n + 1) * (m + 1)
+            union all select piece, m, mv, case when w in (1, 3) then i - 1 else i end, case when w in (2, 3) then j - 1 else j end, w from (select *, mv[i * (m + 1) + j + 1] w from tr where i > 0 or j > 0))""",
+        "select piece, case when way in (1, 3) then i end g, case when way in (2, 3) then j end r from tr where way > 0",
+    ).replace("with ", "with recursive ", 1),
+)
 def _(spark, d):
     n = t.notes(spark, d)
 
