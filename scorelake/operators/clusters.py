@@ -1,8 +1,17 @@
-"""Folds that group ordered detections: columns, beats, text runs, staves, merged pages, screens."""
+"""Grouping of ordered detections. What lies in one frame has at most as many distinct places as the image has pixels, so
+those rules are aggregates over one array of a frame; what runs on over time is a fold."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from scorelake.operators.fold import Fold
+from scorelake.operators.tracking import word_mismatch
+
+c = F.col
 
 
 class Columns(Fold):
@@ -17,81 +26,115 @@ class Columns(Fold):
         return [(x, self.s)]
 
 
-class Beats(Fold):
-    """A place joins the beat while it lies within ``tol`` of the median of the beat's places.
-    Repeated places are kept as counts, so the state is as wide as a beat."""
+def in_order(df: DataFrame, keys: Sequence[str], *fields: Column | str) -> DataFrame:
+    """(keys, at): the rows of a key as one sorted array of structs."""
+    return df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("at"))
 
-    tol = 12
 
-    def fresh(self):
-        return {"start": None, "counts": []}
+# ----------------------------------------------------------------- beats
 
-    def _median(self) -> float:
-        total = sum(n for _, n in self.s["counts"])
-        lo, hi = (total - 1) // 2, total // 2
-        at, found = 0, []
-        for x, n in self.s["counts"]:
-            found += [x for rank in (lo, hi) if at <= rank < at + n]
-            at += n
-        return sum(found) / 2
 
-    def row(self, x, n):
-        # equal places come as one row with their count: the first of them decides for all
-        counts = self.s["counts"]
-        if counts and abs(x - self._median()) <= self.tol:
-            counts.append([x, n])
-        else:
-            self.s = {"start": x, "counts": [[x, n]]}
-        return [(x, n, self.s["start"])]
+def middle(counts: Column) -> Column:
+    """Median of the places of sorted ``(x, n)``: the mean of the two middle ones."""
+    total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    start = F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0.0).alias("sum"))
 
+    def step(acc: Column, p: Column) -> Column:
+        upto = acc["upto"] + p["n"]
+        holds = lambda rank: F.when((rank >= acc["upto"]) & (rank < upto), p["x"] / 2.0).otherwise(0.0)
+        return F.struct(upto.alias("upto"), (acc["sum"] + holds(F.floor((total - 1) / 2)) + holds(F.floor(total / 2))).alias("sum"))
 
-class TextRuns(Fold):
-    """A blob joins the first open run that ends at most ``gap`` before it and shares enough
-    height; runs out of reach are forgotten. A run is named by its first blob."""
+    return F.aggregate(counts, start, step, lambda acc: acc["sum"])
 
-    gap, share = 7, 0.3
 
-    def fresh(self):
-        return []
+COUNTS = "array<struct<x:bigint,n:bigint>>"
 
-    def row(self, x, w, y, h):
-        self.s = [r for r in self.s if x - r[1] <= self.gap]
-        for r in self.s:
-            overlap = min(r[3], y + h) - max(r[2], y)
-            if overlap >= self.share * min(h, r[3] - r[2]):
-                r[1], r[2], r[3] = max(r[1], x + w), min(r[2], y), max(r[3], y + h)
-                return [(x, y, *r[0])]
-        self.s.append([[x, y], x + w, y, y + h])
-        return [(x, y, x, y)]
 
+def beat_places(notes: DataFrame, keys: Sequence[str], x: str, tol: float) -> DataFrame:
+    """(keys, places): beats of a frame, each as its sorted places with how many notes are there. A note joins the beat
+    before it while it lies within ``tol`` of the median of that beat's notes."""
+    counted = notes.groupBy(*keys, c(x).cast("long").alias("x")).agg(F.count("*").alias("n"))
+    none = F.struct(F.array().cast(f"array<{COUNTS}>").alias("done"), F.array().cast(COUNTS).alias("open"))
 
-class EvenGaps(Fold):
-    """Lines with nearly equal gaps; four or more make a staff. Gives (first, last, lines)."""
+    def step(acc: Column, p: Column) -> Column:
+        joins = (F.size(acc["open"]) == 0) | (F.abs(p["x"] - middle(acc["open"])) <= tol)
+        return F.struct(
+            F.when(joins, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"),
+            F.when(joins, F.array_append(acc["open"], p)).otherwise(F.array(p)).alias("open"),
+        )
 
-    least, near = 4, 0.2
+    beats = F.aggregate("at", none, step, lambda acc: F.array_append(acc["done"], acc["open"]))
+    return in_order(counted, keys, "x", "n").select(*keys, F.explode(beats).alias("places"))
 
-    def fresh(self):
-        return []  # first, last but one, last, count
 
-    def row(self, y):
-        if not self.s:
-            self.s = [y, y, y, 1]
-            return []
-        first, before, last, n = self.s
-        gap = y - last
-        even = gap >= 4 if n == 1 else abs(gap - (last - before)) <= self.near * (last - before) + 1
-        if even:
-            self.s = [first, last, y, n + 1]
-            return []
-        out = self.end()
-        restart = not out and gap >= 4
-        self.s = [last, last, y, 2] if restart else [y, y, y, 1]
-        return out
+def placed_beats(notes: DataFrame, rests: DataFrame, keys: Sequence[str], x: str, tol: float) -> DataFrame:
+    """(keys, x, notes, rest): beats of notes at the median of their places, and every rest as a beat of its own, which
+    notes on both sides don't mind."""
+    beats = beat_places(notes, keys, x, tol)
+    size = F.aggregate("places", F.lit(0).cast("long"), lambda s, p: s + p["n"])
+    beats = beats.select(*keys, middle(c("places")).alias("x"), size.alias("notes"), F.lit(False).alias("rest"))
+    return beats.unionByName(rests.select(*keys, c(x).cast("double").alias("x"), F.lit(0).cast("long").alias("notes"), F.lit(True).alias("rest")))
 
-    def end(self):
-        if not self.s or self.s[3] < self.least:
-            return []
-        return [(self.s[0], self.s[2], self.s[3])]
+
+# ----------------------------------------------------------------- text runs, staves
+
+
+def text_runs(blobs: DataFrame, keys: Sequence[str], gap: float, share: float) -> DataFrame:
+    """(keys, x, y, run_x, run_y): blobs ``(x, y, w, h)`` from left to right as runs of text, named by their first blob.
+
+    Of the runs in reach, those that end at most ``gap`` before the blob and have ``share`` of the lower height in common
+    with it, the one that was begun first takes it."""
+    run = "struct<x:bigint,y:bigint,right:bigint,top:bigint,bottom:bigint>"
+    found = "struct<x:bigint,y:bigint,run_x:bigint,run_y:bigint>"
+    start = F.struct(F.array().cast(f"array<{run}>").alias("runs"), F.array().cast(f"array<{found}>").alias("out"))
+
+    def step(acc: Column, b: Column) -> Column:
+        bottom = b["y"] + b["h"]
+        shared = lambda r: F.least(r["bottom"], bottom) - F.greatest(r["top"], b["y"])
+        near = lambda r: b["x"] - r["right"] <= gap
+        fits = lambda r: near(r) & (shared(r) >= share * F.least(b["h"], r["bottom"] - r["top"]))
+        at = F.array_position(F.transform(acc["runs"], fits), True)
+        taken = F.when(at > 0, F.get(acc["runs"], (at - 1).cast("int")))
+        own = F.struct(b["x"].alias("x"), b["y"].alias("y"), (b["x"] + b["w"]).alias("right"), b["y"].alias("top"), bottom.alias("bottom"))
+        wider = F.struct(
+            taken["x"].alias("x"), taken["y"].alias("y"), F.greatest(taken["right"], own["right"]).alias("right"),
+            F.least(taken["top"], own["top"]).alias("top"), F.greatest(taken["bottom"], own["bottom"]).alias("bottom"),
+        )
+        runs = F.when(at > 0, F.transform(acc["runs"], lambda r, i: F.when(i == at - 1, wider).otherwise(r))).otherwise(F.array_append(acc["runs"], own))
+        row = F.struct(b["x"].alias("x"), b["y"].alias("y"), F.coalesce(taken["x"], b["x"]).alias("run_x"), F.coalesce(taken["y"], b["y"]).alias("run_y"))
+        # a run that this blob is out of reach of is so for all that follow
+        return F.struct(F.filter(runs, near).alias("runs"), F.array_append(acc["out"], row).alias("out"))
+
+    rows = in_order(blobs.select(*keys, *(c(n).cast("long").alias(n) for n in ("x", "y", "w", "h"))), keys, "x", "y", "w", "h")
+    return rows.select(*keys, F.inline(F.aggregate("at", start, step, lambda acc: acc["out"])))
+
+
+def even_groups(lines: DataFrame, keys: Sequence[str], y: str, least: int, near: float, smallest: int = 4) -> DataFrame:
+    """(keys, first, last, lines): runs of at least ``least`` lines with nearly the same distance from each to the next.
+
+    A distance may differ from the one before by ``near`` of it and a pixel; the first one of a run must be ``smallest``.
+    Where a run ends, its last line may begin the next one with the line that didn't fit, unless the run was given."""
+    group = "struct<first:bigint,last:bigint,lines:bigint>"
+    ys = F.transform("at", lambda p: p["y"])
+    first = F.get(ys, F.lit(0))
+    start = F.struct(first.alias("first"), first.alias("last"), F.lit(0).cast("long").alias("step"), F.lit(1).cast("long").alias("lines"), F.array().cast(f"array<{group}>").alias("out"))
+    given = lambda a: F.when(a["lines"] >= least, F.array_append(a["out"], F.struct(a["first"].alias("first"), a["last"].alias("last"), a["lines"].alias("lines")))).otherwise(a["out"])
+
+    def step(a: Column, line: Column) -> Column:
+        apart = line - a["last"]
+        fits = F.when(a["lines"] == 1, apart >= smallest).otherwise(F.abs(apart - a["step"]) <= near * a["step"] + 1)
+        shares = ~fits & (a["lines"] < least) & (apart >= smallest)
+        return F.struct(
+            F.when(fits, a["first"]).when(shares, a["last"]).otherwise(line).alias("first"), line.alias("last"), apart.alias("step"),
+            F.when(fits, a["lines"] + 1).when(shares, 2).otherwise(1).cast("long").alias("lines"),
+            F.when(fits, a["out"]).otherwise(given(a)).alias("out"),
+        )
+
+    rows = in_order(lines.select(*keys, c(y).cast("long").alias("y")).distinct(), keys, "y")
+    return rows.select(*keys, F.inline(F.aggregate(F.slice(ys, 2, F.size("at")), start, step, given)))
+
+
+# ----------------------------------------------------------------- over time
 
 
 def share_changed(a, b, rows: int, cols: int, delta: float) -> float:
@@ -124,47 +167,37 @@ class MergeAdjacent(Fold):
 
 
 class Screens(Fold):
-    """An item seen on both sides of a screen change is taken once: the gap is short and both
-    sightings together last about as long as one item. The more complete, then the wider
-    sighting is kept over the joint span."""
+    """Sightings of items over screens; one seen on both sides of a screen change is given once, over the joint span.
+
+    Two sightings are of one item if both were lit, the second soon after the first, and both together not much longer
+    than an item is (``typical``); or else if they look alike, by their packed bitmaps. What the one that is given shows is the
+    complete sighting, then the wider one, then the first."""
+
+    def __init__(self, state=None, gap=1.0, stretch=1.4, alike=0.35):
+        super().__init__(state)
+        self.gap, self.stretch, self.alike = gap, stretch, alike
+
+    def one_item(self, old: dict, new: dict, typical: float) -> bool:
+        if old["screen"] == new["screen"]:
+            return False
+        if not (old["lit"] and new["lit"]):
+            return word_mismatch(old["sig"], new["sig"]) < self.alike
+        return 0 < typical and new["start"] <= old["end"] + self.gap and new["end"] - old["start"] <= self.stretch * typical
+
+    def row(self, screen, x0, x1, start, end, complete, typical, lit=True, sig=0):
+        new = {"screen": screen, "x0": x0, "x1": x1, "start": start, "end": end, "complete": bool(complete), "lit": bool(lit), "sig": int(sig)}
+        old, self.s = self.s, new
+        if old is None:
+            return []
+        if not self.one_item(old, new, typical):
+            return [self.given(old)]
+        shown = max(old, new, key=lambda s: (s["complete"], s["x1"] - s["x0"]))  # the first of equals
+        self.s = shown | {"start": old["start"], "end": end}
+        return []
 
-    gap, stretch = 1.0, 1.4
-
-    def row(self, screen, x0, x1, start, end, complete, typical):
-        item = [screen, x0, x1, start, end, bool(complete)]
-        if self.s is not None:
-            p = self.s
-            same = (
-                p[0] != screen
-                and typical > 0
-                and start - p[4] <= self.gap
-                and end - p[3] <= self.stretch * typical
-            )
-            if same:
-                best = item if (item[5], x1 - x0) > (p[5], p[2] - p[1]) else p
-                self.s = [*best[:3], p[3], end, best[5]]
-                return []
-        out = self.end()
-        self.s = item
-        return out
+    @staticmethod
+    def given(s: dict) -> tuple:
+        return tuple(s[k] for k in ("screen", "x0", "x1", "start", "end", "complete"))
 
     def end(self):
-        return [] if self.s is None else [tuple(self.s)]
-
-
-class Pages(Fold):
-    """Fills pages from the top: an item that no longer fits, with a gap before all but the
-    first, opens the next page. Gives each item its page and place."""
-
-    height, gap = 300, 10
-
-    def fresh(self):
-        return [0, 0]  # page, used
-
-    def row(self, item, size):
-        page, used = self.s
-        at = used + (self.gap if used else 0)
-        if used and at + size > self.height:
-            page, at = page + 1, 0
-        self.s = [page, at + size]
-        return [(item, page, at)]
+        return [] if self.s is None else [self.given(self.s)]

@@ -34,27 +34,77 @@ def _(spark, d):
     return fold(places, ["frame"], ["x"], ["x"], clusters.Columns, "x bigint, start bigint")
 
 
-@register("seq17_median_beats")
+BEATS = [
+    "pl as (select *, row_number() over (partition by frame order by x) i from (select frame, x0 x, count(*) n from v_boxes where supp % 5 > 0 group by all))",
+    walk("ws", "pl", "frame", "select frame, i, x, n, x start, list_transform(range(n), lambda k: x) cur from pl where i = 1",
+         """select p.frame, p.i, p.x, p.n, case when abs(p.x - list_median(w.cur)) <= 12 then w.start else p.x end,
+            case when abs(p.x - list_median(w.cur)) <= 12 then list_concat(w.cur, list_transform(range(p.n), lambda k: p.x)) else list_transform(range(p.n), lambda k: p.x) end
+            from w join pl p on p.frame = w.frame and p.i = w.i + 1"""),
+]
+
+
+@register("seq17_median_beats", sql("v_boxes", *[b.replace(" where supp % 5 > 0", "") for b in BEATS], "select frame, x, n, start beat_x from ws"))
 def _(spark, d):
-    places = t.boxes(spark, d).groupBy("frame", c("x0").alias("x")).agg(F.count("*").alias("n"))
-    return fold(places, ["frame"], ["x"], ["x", "n"], clusters.Beats, "x bigint, n bigint, beat_x bigint")
+    beats = clusters.beat_places(t.boxes(spark, d), ["frame"], "x0", 12)
+    return beats.select("frame", F.get("places", F.lit(0))["x"].alias("beat_x"), F.inline("places"))
 
 
-@register("seq18_text_runs")
+@register(
+    "seq17_beats_with_rests",
+    sql("v_boxes", *BEATS, """select frame, median(x) x, count(*) notes, false rest from (select frame, start, unnest(list_transform(range(n), lambda k: x)) x from ws) group by frame, start
+        union all select frame, x0, 0, true from v_boxes where supp % 5 = 0"""),
+)
 def _(spark, d):
-    blobs = t.boxes(spark, d).select(
+    b = t.boxes(spark, d)
+    return clusters.placed_beats(b.where("supp % 5 > 0"), b.where("supp % 5 = 0"), ["frame"], "x0", 12)
+
+
+def blobs(spark, d):
+    rows = t.boxes(spark, d).select(
         "frame", c("x0").alias("x"), F.expr("4 + supp % 9").alias("w"), F.expr("line_ * 6").alias("y"), F.expr("8 + supp % 5").alias("h")
-    ).groupBy("frame", "x", "y").agg(F.max("w").alias("w"), F.max("h").alias("h"))
-    return fold(
-        blobs, ["frame"], ["x", "y"], ["x", "w", "y", "h"], clusters.TextRuns,
-        "x bigint, y bigint, run_x bigint, run_y bigint",
     )
+    return rows.groupBy("frame", "x", "y").agg(F.max("w").alias("w"), F.max("h").alias("h"))
+
 
+RUN_FIT = """list_position(list_transform(w.runs, lambda r: p.x - r.a <= 7 and least(r.b, p.y + p.h) - greatest(r.t, p.y) >= 0.3 * least(p.h, r.b - r.t)), true)"""
 
-@register("seq19_even_gap_groups")
+
+@register(
+    "seq18_text_runs",
+    sql(
+        "v_boxes",
+        "bl as (select frame, x0 x, line_ * 6 y, max(4 + supp % 9) w, max(8 + supp % 5) h from v_boxes group by all)",
+        "pl as (select *, row_number() over (partition by frame order by x, y) i from bl)",
+        walk("ws", "pl", "frame", "select frame, i, x, y, x rx, y ry, [{'x': x, 'y': y, 'a': x + w, 't': y, 'b': y + h}] runs from pl where i = 1",
+             f"""select frame, i, x, y, case when k > 0 then runs[k].x else x end, case when k > 0 then runs[k].y else y end,
+                case when k > 0 then list_transform(runs, lambda r, j: case when j = k then {{'x': r.x, 'y': r.y, 'a': greatest(r.a, x + wd), 't': least(r.t, y), 'b': greatest(r.b, y + h)}} else r end)
+                else list_append(runs, {{'x': x, 'y': y, 'a': x + wd, 't': y, 'b': y + h}}) end
+                from (select p.frame, p.i, p.x, p.y, p.w wd, p.h, w.runs, coalesce({RUN_FIT}, 0) k from w join pl p on p.frame = w.frame and p.i = w.i + 1)"""),
+        "select frame, x, y, rx run_x, ry run_y from ws",
+    ),
+)
+def _(spark, d):
+    return clusters.text_runs(blobs(spark, d), ["frame"], 7, 0.3)
+
+
+@register(
+    "seq19_even_gap_groups",
+    sql(
+        "v_boxes",
+        "ln as (select distinct frame // 4 vid, x0 // 4 * 4 y from v_boxes)",
+        "pl as (select *, row_number() over (partition by vid order by y) i, count(*) over (partition by vid) total from ln)",
+        walk("ws", "pl", "vid", "select vid, i, total, y a, y z, 0::bigint g, 1::bigint n, null::bigint oa, null::bigint oz, null::bigint o from pl where i = 1",
+             """select vid, i, total, case when f then a when n < 4 and d >= 4 then z else y end, y, d, case when f then n + 1 when n < 4 and d >= 4 then 2 else 1 end,
+                case when not f and n >= 4 then a end, case when not f and n >= 4 then z end, case when not f and n >= 4 then n end
+                from (select p.vid, p.i, p.total, p.y, w.a, w.z, w.n, p.y - w.z d, case when w.n = 1 then p.y - w.z >= 4 else abs(p.y - w.z - w.g) <= 0.2 * w.g + 1 end f
+                    from w join pl p on p.vid = w.vid and p.i = w.i + 1)"""),
+        "select vid, oa first_y, oz last_y, o lines from ws where o is not null union all select vid, a, z, n from ws where i = total and n >= 4",
+    ),
+)
 def _(spark, d):
-    lines = t.boxes(spark, d).select(F.expr("frame div 4").alias("vid"), F.expr("x0 div 4 * 4").alias("y")).distinct()
-    return fold(lines, ["vid"], ["y"], ["y"], clusters.EvenGaps, "first_y bigint, last_y bigint, lines bigint")
+    lines = t.boxes(spark, d).select(F.expr("frame div 4").alias("vid"), F.expr("x0 div 4 * 4").alias("y"))
+    found = clusters.even_groups(lines, ["vid"], "y", 4, 0.2)
+    return found.select("vid", c("first").alias("first_y"), c("last").alias("last_y"), "lines")
 
 
 @register("seq9_merge_adjacent_similar")
@@ -118,22 +168,61 @@ def _(spark, d):
     return packed_pages(items, ["piece"], "pos", "size", 300, 10).withColumnRenamed("at", "at_")
 
 
-@register("str7_screens_merged")
-def _(spark, d):
+def sightings(spark, d):
     n = t.notes(spark, d).select(
         "piece", "pos", F.expr("pos div 3").alias("screen"), F.expr("string_ * 60").alias("x0"),
         F.expr("string_ * 60 + 20 + fret * 2").alias("x1"), (c("pos") * 2.0).alias("start"),
         F.expr("cast(pos * 2 + 0.5 + qty / 20.0 as double)").alias("end"), F.expr("partkey % 3 <> 0").alias("complete"),
+        F.expr("qty % 3 > 0").alias("lit"), F.expr("shiftleft(255L, cast(partkey % 3 * 8 as int)) | shiftleft(1L, cast(suppkey % 60 as int))").alias("sig"),
     )
     spans = n.select(F.expr("piece div 50").alias("job"), (c("end") - c("start")).alias("len"))
     typical = ordered.median(spans, ["job"], "len", "typical")
-    rows = n.withColumn("job", F.expr("piece div 50")).join(typical, "job")
-    return fold(
-        rows, ["piece"], ["pos"], ["screen", "x0", "x1", "start", "end", "complete", "typical"], clusters.Screens,
-        "screen bigint, x0 bigint, x1 bigint, start double, end_ double, complete boolean",
+    return n.withColumn("job", F.expr("piece div 50")).join(typical, "job")
+
+
+SIGHTING = ["screen", "x0", "x1", "start", "end", "complete", "typical"]
+SCREENS = "screen bigint, x0 bigint, x1 bigint, start double, end_ double, complete boolean"
+
+
+def grown_sql(m: str) -> str:
+    """An 8 by 8 bitmap with its ink grown by two cells, in whole numbers of 128 bits."""
+    def mask(keep):
+        return sum(1 << (8 * r + k) for r in range(8) for k in range(8) if keep(k))
+
+    w = f"({m} | (({m} & {mask(lambda k: k < 7)}) << 1) | (({m} & {mask(lambda k: k < 6)}) << 2) | (({m} & {mask(lambda k: k > 0)}) >> 1) | (({m} & {mask(lambda k: k > 1)}) >> 2))"
+    return f"(({w} | ({w} << 8) | ({w} << 16) | ({w} >> 8) | ({w} >> 16)) & {2**64 - 1}::hugeint)"
+
+
+def screens_sql(lit: str) -> str:
+    alike = "coalesce((bit_count(k.sig & ~p.gr) + bit_count(p.sig & ~k.gr))::double / nullif(bit_count(k.sig) + bit_count(p.sig), 0), 1.0) < 0.35"
+    timed = "p.typical > 0 and p.start - k.z <= 1.0 and p.end_ - k.a <= 1.4 * p.typical"
+    return sql(
+        "v_notes",
+        f"""n as (select piece, pos i, pos // 3 screen, string_ * 60 x0, string_ * 60 + 20 + fret * 2 x1, (pos * 2.0)::double start, (pos * 2 + 0.5 + qty / 20.0)::double end_, partkey % 3 <> 0 complete,
+            {lit} lit, ((255::hugeint << (partkey % 3 * 8)::int) | (1::hugeint << (suppkey % 60)::int)) sig from v_notes)""",
+        f"""pl as (select *, {grown_sql('sig')} gr, median(end_ - start) over (partition by piece // 50) typical, count(*) over (partition by piece) total from n)""",
+        walk("ws", "pl", "piece", "select piece, i, total, screen, x0, x1, start a, end_ z, complete, lit, sig, gr, null::bigint os, null::bigint o0, null::bigint o1, null::double oa, null::double oz, null::boolean oc from pl where i = 1",
+             f"""select piece, i, total, case when b then ps else screen end, case when b then p0 else x0 end, case when b then p1 else x1 end, case when same then a else start end, end_, case when b then pc else complete end,
+                case when b then pl_ else lit end, case when b then psig else sig end, case when b then pgr else gr end, case when not same then screen end, case when not same then x0 end, case when not same then x1 end,
+                case when not same then a end, case when not same then z end, case when not same then complete end
+                from (select p.piece, p.i, p.total, p.screen ps, p.x0 p0, p.x1 p1, p.start, p.end_, p.complete pc, p.lit pl_, p.sig psig, p.gr pgr, k.screen, k.x0, k.x1, k.a, k.z, k.complete, k.lit, k.sig, k.gr,
+                    k.screen <> p.screen and case when k.lit and p.lit then {timed} else {alike} end same,
+                    not (k.screen <> p.screen and case when k.lit and p.lit then {timed} else {alike} end) or (p.complete and not k.complete) or (p.complete = k.complete and p.x1 - p.x0 > k.x1 - k.x0) b
+                    from w k join pl p on p.piece = k.piece and p.i = k.i + 1)"""),
+        "select piece, os screen, o0 x0, o1 x1, oa start, oz end_, oc complete from ws where os is not null union all select piece, screen, x0, x1, a, z, complete from ws where i = total",
     )
 
 
+@register("str7_screens_merged", screens_sql("true"))
+def _(spark, d):
+    return fold(sightings(spark, d), ["piece"], ["pos"], SIGHTING, clusters.Screens, SCREENS)
+
+
+@register("str7_screens_lit_or_alike", screens_sql("qty % 3 > 0"))
+def _(spark, d):
+    return fold(sightings(spark, d), ["piece"], ["pos"], [*SIGHTING, "lit", "sig"], clusters.Screens, SCREENS)
+
+
 @register(
     "udf1_repaired_numbers",
     sql(

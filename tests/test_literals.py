@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelake.functions import boxes, music, ticks
-from scorelake.operators import clusters, edits, mapping, notation, reports, sampling, segments, timing, voices
+from scorelake.operators import clusters, edits, mapping, notation, packing, reports, sampling, segments, timing, voices
 from scorelake.sources import documents
 
 T = ticks.TICKS
@@ -197,14 +197,31 @@ def test_voices_that_only_add_up_together(spark):
     assert sorted((r.pos, r.onset, r.ok) for r in out) == [(k, k * T // 4, True) for k in range(4)]
 
 
-def test_fold_objects_keep_their_rules():
+def test_groups_keep_their_rules(spark):
     c = clusters.Columns()
     assert [c.row(x)[0][1] for x in (0, 30, 40, 50, 95)] == [0, 0, 0, 50, 95]
-    e = clusters.EvenGaps()
-    out = [o for y in (0, 10, 20, 30, 80, 90, 100, 110, 120) for o in e.row(y)] + e.end()
-    assert out == [(0, 30, 4), (80, 120, 5)]
-    p = clusters.Pages()
-    assert [p.row(i, s)[0][1:] for i, s in enumerate((200, 90, 10, 400, 5))] == [(0, 0), (0, 210), (1, 0), (2, 0), (3, 0)]
+    lines = spark.createDataFrame([(1, y) for y in (0, 10, 20, 30, 80, 90, 100, 110, 120)] + [(2, 5)], "f long, y long")
+    assert [tuple(r) for r in clusters.even_groups(lines, ["f"], "y", 4, 0.2).collect()] == [(1, 0, 30, 4), (1, 80, 120, 5)]
+    items = spark.createDataFrame([(1, i, s) for i, s in enumerate((200, 90, 10, 400, 5))], "f long, i long, size long")
+    pages = packing.packed_pages(items, ["f"], "i", "size", 300, 10).orderBy("i").collect()
+    assert [(r.page, r["at"]) for r in pages] == [(0, 0), (0, 210), (1, 0), (2, 0), (3, 0)]
+
+
+def test_beats_of_notes_and_rests(spark):
+    notes = spark.createDataFrame([("f", x) for x in (10, 14, 14, 30, 100)], "frame string, x long")
+    rests = spark.createDataFrame([("f", 12), ("g", 50)], "frame string, x long")
+    got = clusters.placed_beats(notes, rests, ["frame"], "x", 12).collect()
+    assert sorted(map(tuple, got)) == [("f", 12.0, 0, True), ("f", 14.0, 3, False), ("f", 30.0, 1, False), ("f", 100.0, 1, False), ("g", 50.0, 0, True)]
+
+
+def test_sightings_of_two_screens():
+    kept = {"screen": 0, "lit": False, "sig": 255, "start": 0.0, "end": 2.0}
+    s = clusters.Screens()
+    assert s.one_item(kept, kept | {"screen": 1}, 0.0) and not s.one_item(kept, kept, 0.0)
+    assert not s.one_item(kept, kept | {"screen": 1, "sig": 255 << 40}, 0.0)
+    lit = kept | {"lit": True}
+    assert s.one_item(lit, lit | {"screen": 1, "start": 2.5, "end": 4.0}, 3.0) and not s.one_item(lit, lit | {"screen": 1, "start": 3.5, "end": 4.0}, 3.0)
+    assert not s.one_item(lit, lit | {"screen": 1, "start": 2.5, "end": 4.0}, 0.0)
 
 
 def test_an_unknown_track_is_an_error(spark):

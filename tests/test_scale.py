@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from scorelake.operators import alignment, clusters, ordered, tracking
-from scorelake.operators.fold import fold
 from scorelake.operators.repair import repaired_numbers
 from scorelake.streaming import streams
 
@@ -192,11 +191,10 @@ def test_beats_against_a_plain_loop(spark):
     xs = sorted(rng.randrange(400) for _ in range(300))
     groups: list[list[int]] = []
     for x in xs:
-        if groups and abs(x - statistics.median(groups[-1])) <= clusters.Beats.tol:
+        if groups and abs(x - statistics.median(groups[-1])) <= 12:
             groups[-1].append(x)
         else:
             groups.append([x])
-    df = spark.createDataFrame([("f", x) for x in xs], "frame string, x long").groupBy("frame", "x").agg(F.count("*").alias("n"))
-    out = fold(df, ["frame"], ["x"], ["x", "n"], clusters.Beats, "x bigint, n bigint, beat_x bigint")
-    sizes = {r.beat_x: r["sum(n)"] for r in out.groupBy("beat_x").agg(F.sum("n")).collect()}
-    assert sizes == {g[0]: len(g) for g in groups}
+    df = spark.createDataFrame([("f", x) for x in xs], "frame string, x long")
+    places = [r.places for r in clusters.beat_places(df, ["frame"], "x", 12).collect()]
+    assert {p[0].x: sum(q.n for q in p) for p in places} == {g[0]: len(g) for g in groups}
