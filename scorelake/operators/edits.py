@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions import ticks as tk
 from scorelake.operators.ordered import row_number, scan
+from scorelake.sources.checks import is_kind
 
 c = F.col
 
@@ -144,3 +145,65 @@ def overrides_after(edits: DataFrame, preset: DataFrame, piece: Sequence[str]) -
 
 def without_pages(pages: DataFrame, edits: DataFrame, page: Sequence[str]) -> DataFrame:
     return pages.join(edits.select(*page).distinct(), [*page], "left_anti")
+
+
+# ----------------------------------------------------------------- techniques
+
+# The techniques of a note, the kind of value each takes, its choices or its range (``open``: without the
+# lowest number itself), and whether null clears it.
+TECHNIQUES = [
+    ("bend", "number", None, 0.0, 12.0, True, True),
+    ("bend_release", "truth", None, None, None, None, False),
+    ("slide", "choice", ["shift", "legato", "out_down", "out_up"], None, None, None, True),
+    ("slide_in", "choice", ["below", "above"], None, None, None, True),
+    ("hopo", "truth", None, None, None, None, False),
+    ("harmonic", "choice", list(HARMONICS), None, None, None, True),
+    ("harmonic_fret", "number", None, 0.0, 36.0, False, True),
+    ("vibrato", "truth", None, None, None, None, False),
+    ("palm_mute", "truth", None, None, None, None, False),
+    ("staccato", "truth", None, None, None, None, False),
+]
+RULE = "kind string, takes string, choices array<string>, low double, high double, open boolean, clears boolean"
+OCTAVE = 12
+
+
+def technique_edits(edits: DataFrame, value: str = "value") -> DataFrame:
+    """``edits`` (``kind``, and a value as JSON text) with ``num``, ``txt`` and ``flag``, the value in the type that its
+    kind takes, and ``reason``: null for a valid edit, else why it is none.
+
+    The rules are a table of ten rows that is joined to the log, so each edit is looked at once."""
+    rules = edits.sparkSession.createDataFrame(TECHNIQUES, RULE)
+    v = F.try_parse_json(value)
+    num, txt, flag = F.try_variant_get("_v", "$", "double"), F.try_variant_get("_v", "$", "string"), F.try_variant_get("_v", "$", "boolean")
+    above = F.when(c("open"), num > c("low")).otherwise(num >= c("low"))
+    typed = {
+        "num": F.when((c("takes") == "number") & is_kind(c("_v"), "BIGINT", "DECIMAL", "DOUBLE", "FLOAT"), num),
+        "txt": F.when((c("takes") == "choice") & is_kind(c("_v"), "STRING"), txt),
+        "flag": F.when((c("takes") == "truth") & is_kind(c("_v"), "BOOLEAN"), flag),
+    }
+    good = (is_kind(c("_v"), "VOID") & c("clears")) | (c("num").isNotNull() & above & (num <= c("high"))) | F.array_contains("choices", c("txt")) | c("flag").isNotNull()
+    reason = F.when(c("takes").isNull(), "unknown technique").when(c("_v").isNull(), "not a value").when(~F.coalesce(good, F.lit(False)), "invalid value")
+    joined = edits.withColumn("_v", v).join(F.broadcast(rules), "kind", "left").withColumns(typed).withColumn("reason", reason)
+    return joined.select(*edits.columns, "num", "txt", "flag", "reason")
+
+
+def set_techniques(notes: DataFrame, edits: DataFrame, target: Sequence[str]) -> DataFrame:
+    """``notes`` (``fret`` and a column per technique) after all valid ``edits`` in order of ``seq``, unique per target.
+
+    The last edit of a kind counts. A harmonic's fret follows both kinds of edits: the last one that fixes it (an edit
+    of the fret, or a harmonic that is cleared) counts, and if that leaves none, the first harmonic set after it brings
+    its own: the note's fret for a natural one, else the octave. An edit of a note that isn't there changes nothing."""
+    key = [*target]
+    good = edits.where("reason is null")
+    last = good.groupBy(*key, "kind").agg(F.max_by(F.struct("num", "txt", "flag"), "seq").alias("_e"))
+    takes = {name: {"number": "num", "choice": "txt", "truth": "flag"}[kind] for name, kind, *_ in TECHNIQUES}
+    wide = last.groupBy(*key).agg(*[F.any_value(F.when(c("kind") == k, c("_e")), True).alias(f"_{k}") for k in takes])
+    fixes = good.where((c("kind") == "harmonic_fret") | ((c("kind") == "harmonic") & c("txt").isNull()))
+    fixed = fixes.groupBy(*key).agg(F.max("seq").alias("_fixed"), F.max_by("num", "seq").alias("_to"))
+    later = good.where((c("kind") == "harmonic") & c("txt").isNotNull()).join(fixed.select(*key, "_fixed"), key, "left").where("_fixed is null or seq > _fixed")
+    brought = later.groupBy(*key).agg(F.min_by("txt", "seq").alias("_brought"))
+    joined = notes.join(wide, key, "left").join(fixed, key, "left").join(brought, key, "left")
+    own = F.when(c("_brought") == "natural", c("fret")).when(c("_brought").isNotNull(), OCTAVE).cast("double")
+    out = {k: F.when(c(f"_{k}").isNotNull(), c(f"_{k}")[f]).otherwise(c(k)) for k, f in takes.items() if k != "harmonic_fret"}
+    out["harmonic_fret"] = F.coalesce(F.when(c("_fixed").isNotNull(), c("_to")).otherwise(c("harmonic_fret")), own)
+    return joined.withColumns(out).select(*notes.columns)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelake.functions import ticks as tk
+
 c = F.col
 
 
@@ -165,3 +167,55 @@ def numbering(df: DataFrame, keys: Sequence[str], measure: str, place: str, read
     right = lambda k: F.coalesce(F.sum(F.when((F.col("start") == F.col("_first")) & (F.col("kind") == k), F.col("k"))), F.lit(0).cast("long"))
     told = ["measures", "ocr_read", "agrees", "duplicates"]
     return both.groupBy(*keys, *told).agg(right("f").alias("in_sequence"), right("r").alias("read_in_sequence"))
+
+
+# Techniques whose value is compared too.
+VALUED = ("bend", "slide", "slide_in", "harmonic")
+
+
+def technique_value(side: str, kind: str) -> Column:
+    """What a note of the ``g`` or ``r`` side has of a technique, as text; null where it has none. A bend goes with its
+    release."""
+    v = c(f"{side}_{kind}")
+    if kind == "bend":
+        return F.when(v.isNotNull(), F.concat_ws("/", v.cast("double").cast("string"), F.coalesce(f"{side}_bend_release", F.lit(False)).cast("string")))
+    return F.when(v, "true") if kind not in VALUED else F.nullif(v, F.lit(""))
+
+
+def technique_counts(pairs: DataFrame, keys: Sequence[str], kinds: Sequence[str]) -> DataFrame:
+    """(keys, technique, gt, rec, hit, value_ok) over notes found on both sides, ``g_`` and ``r_`` columns of each: how
+    many are marked in truth, in what was found, on both sides, and with the same value (null where a mark has none).
+
+    All kinds are counted in one pass, and the few counts are turned into rows after that."""
+    counts = []
+    for k in kinds:
+        g, r = technique_value("g", k), technique_value("r", k)
+        both = g.isNotNull() & r.isNotNull()
+        counts += [F.count(g).alias(f"{k}_gt"), F.count(r).alias(f"{k}_rec"), F.count_if(both).alias(f"{k}_hit"), F.count_if(F.coalesce(g == r, F.lit(False))).alias(f"{k}_ok")]
+    rows = F.array(*[
+        F.struct(F.lit(k).alias("technique"), *[c(f"{k}_{n}").alias(n) for n in ("gt", "rec", "hit")], (c(f"{k}_ok") if k in VALUED else F.lit(None).cast("long")).alias("value_ok"))
+        for k in kinds
+    ])
+    return pairs.groupBy(*keys).agg(*counts).select(*keys, F.inline(rows))
+
+
+def beat_rates(truth: DataFrame, found: DataFrame, piece: Sequence[str], room: Column) -> DataFrame:
+    """Per piece: how many measures are found and sum up to ``room``, how many beats have the right notes (``grouped``)
+    and, of those, the right rhythm (``timed``), with rates in percent; null rates where there is nothing to count.
+
+    Both sides have a row per beat: (piece, measure, beat, notes, rest, duration, dots, tuplet), ``notes`` a sorted set;
+    beats are matched by number."""
+    piece = list(piece)
+    measure = [*piece, "measure"]
+    fields = ("notes", "rest", "duration", "dots", "tuplet")
+    r = found.select(*measure, "beat", F.struct(*fields).alias("r"))
+    both = truth.select(*measure, "beat", F.struct(*fields).alias("g")).join(r, [*measure, "beat"], "left")
+    grouped = F.coalesce((c("g.notes") == c("r.notes")) & (c("g.rest") == c("r.rest")), F.lit(False))
+    timed = grouped & (c("g.duration") == c("r.duration")) & (c("g.dots") == c("r.dots")) & c("g.tuplet").eqNullSafe(c("r.tuplet"))
+    beats = both.groupBy(*piece).agg(F.count("*").alias("beats"), F.count_if(grouped).alias("grouped"), F.count_if(timed).alias("timed"))
+    sums = found.groupBy(*measure).agg((F.sum(tk.length(c("duration"), c("dots"), c("tuplet"))) == F.first(room)).alias("ok"))
+    sums = truth.select(*measure).distinct().join(sums, measure, "left").groupBy(*piece).agg(F.count("*").alias("measures"), F.count("ok").alias("found"), F.count_if("ok").alias("sum_ok"))
+    return sums.join(beats, piece).select(
+        *piece, "measures", "found", "sum_ok", "beats", "grouped", "timed", percent(c("found"), c("measures")).alias("measure_alignment"),
+        percent(c("grouped"), c("beats")).alias("beat_grouping"), percent(c("timed"), c("grouped")).alias("duration_on_grouped"), percent(c("sum_ok"), c("found")).alias("measures_summing"),
+    )

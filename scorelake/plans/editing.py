@@ -104,6 +104,64 @@ def _(spark, d):
     return ed.harmonic_edits(harmonic_log(spark, d))[1].select("piece", "pos", "seq", "kind")
 
 
+# Edits of all techniques, some of them wrong: the kind from the number of the edit, the value from the log's value.
+TECH_KIND = "case seq // 8 % 11 " + " ".join(f"when {i} then '{k}'" for i, k in enumerate([r[0] for r in ed.TECHNIQUES] + ["loudness"])) + " end"
+TECH_VALUE = """case when kind = 'bend' then case val % 5 when 0 then 'null' when 1 then '0' when 2 then '"full"' else val || '.5' end
+    when kind = 'slide' then case val % 6 when 0 then '"shift"' when 1 then '"legato"' when 2 then '"out_down"' when 3 then 'null' when 4 then '"sideways"' else '"out_up"' end
+    when kind = 'slide_in' then case val % 4 when 0 then '"below"' when 1 then '"above"' when 2 then 'null' else '3' end
+    when kind = 'harmonic' then case val % 5 when 0 then '"natural"' when 1 then '"artificial"' when 2 then 'null' when 3 then '"whistle"' else '"tap"' end
+    when kind = 'harmonic_fret' then case val % 5 when 0 then 'null' when 1 then '0' when 2 then '12.5' when 3 then '40' else '"12"' end
+    else case val % 6 when 0 then 'true' when 1 then 'false' when 2 then 'null' when 3 then '1' when 4 then '{' else 'true' end end"""
+TECH_SQL = [
+    LOG_SQL,
+    f"tk as (select *, {TECH_VALUE} v from (select *, {TECH_KIND} kind from ed))",
+    """ck as (select *, case when kind = 'loudness' then 'unknown technique' when v = '{' then 'not a value' when not coalesce(case when kind = 'bend' then v = 'null' or (try_cast(v as double) > 0 and try_cast(v as double) <= 12)
+        when kind = 'harmonic_fret' then v = 'null' or (try_cast(v as double) >= 0 and try_cast(v as double) <= 36) when kind in ('slide', 'slide_in', 'harmonic') then v not in ('"sideways"', '3', '"whistle"')
+        else v in ('true', 'false') end, false) then 'invalid value' end reason from tk)""",
+]
+TECH_NOTES = {
+    "bend": "case when partkey % 5 = 0 then 1.5D end", "bend_release": "partkey % 10 = 0", "slide": "case when partkey % 4 = 0 then 'shift' end",
+    "slide_in": "case when partkey % 6 = 0 then 'below' end", "hopo": "suppkey % 3 = 0", "harmonic": "case when partkey % 8 = 0 then 'pinch' end",
+    "harmonic_fret": "case when partkey % 8 = 0 then 7.0D end", "vibrato": "suppkey % 4 = 0", "palm_mute": "suppkey % 5 = 0", "staccato": "suppkey % 7 = 0",
+}
+DUCK_NOTES = {k: v.replace("1.5D", "1.5::double").replace("7.0D", "7.0::double") for k, v in TECH_NOTES.items()}
+
+
+def technique_log(spark, d):
+    e = log(spark, d).withColumnRenamed("value", "val").withColumn("kind", F.expr(TECH_KIND.replace("//", "div")))
+    return ed.technique_edits(e.withColumn("v", F.expr(TECH_VALUE)), "v")
+
+
+@register("ed3_technique_rejects", sql("", *TECH_SQL, "select piece, pos, seq, kind, v, reason from ck where reason is not null"))
+def _(spark, d):
+    return technique_log(spark, d).where("reason is not null").select("piece", "pos", "seq", "kind", "v", "reason")
+
+
+def _last(kind: str, shown: str) -> str:
+    return f"case when k_{kind} is not null then {shown} else o_{kind} end {kind}"
+
+
+@register(
+    "ed3_set_techniques",
+    sql(
+        "v_notes", *TECH_SQL,
+        "gd as (select * from ck where reason is null)",
+        "la as (select piece, pos, " + ", ".join(f"arg_max(v, seq) filter (kind = '{k}') k_{k}" for k in TECH_NOTES) + " from gd group by all)",
+        "hf as (select piece, pos, list({'seq': seq, 'kind': kind, 'v': v, 'f': null::double} order by seq) filter (kind in ('harmonic', 'harmonic_fret')) l from gd group by all)",
+        "nt as (select piece, pos, fret, " + ", ".join(f"{v} o_{k}" for k, v in DUCK_NOTES.items()) + " from v_notes)",
+        """fr as (select piece, pos, list_reduce(list_prepend({'seq': 0, 'kind': '', 'v': '', 'f': o_harmonic_fret}, coalesce(l, [])), lambda a, e: {'seq': e.seq, 'kind': e.kind, 'v': e.v, 'f':
+            case when e.kind = 'harmonic_fret' then try_cast(e.v as double) when e.v = 'null' then null else coalesce(a.f, case when e.v = '"natural"' then fret::double else 12.0::double end) end}).f harmonic_fret
+            from nt left join hf using (piece, pos))""",
+        "select piece, pos, fret, fr.harmonic_fret, " + ", ".join(
+            _last(k, {"bend": "try_cast(k_bend as double)"}.get(k, f"nullif(trim(k_{k}, '\"'), 'null')" if k in ("slide", "slide_in", "harmonic") else f"k_{k} = 'true'")) for k in TECH_NOTES if k != "harmonic_fret"
+        ) + " from nt left join la using (piece, pos) join fr using (piece, pos)",
+    ),
+)
+def _(spark, d):
+    n = t.notes(spark, d).select("piece", "pos", "fret", *(F.expr(v).alias(k) for k, v in TECH_NOTES.items()))
+    return ed.set_techniques(n, technique_log(spark, d), ["piece", "pos"])
+
+
 @register(
     "ed4_toggle_beat_marks",
     sql(

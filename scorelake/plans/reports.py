@@ -458,6 +458,72 @@ def _(spark, d):
     )
 
 
+KINDS = ["bend", "slide", "slide_in", "hopo", "harmonic", "vibrato", "palm_mute", "staccato"]
+# Techniques of a note in truth; what is found differs where other numbers are divided.
+MARKS = {
+    "bend": "case when partkey % 5 = 0 then {a} end", "bend_release": "suppkey % 3 = {b}", "slide": "case when partkey % 4 = 0 then case when {c} then 'shift' else 'legato' end end",
+    "slide_in": "case when suppkey % 6 = {b} then 'below' end", "hopo": "partkey % 3 = {b}", "harmonic": "case when partkey % 7 = 0 then case when {c} then 'tap' else '' end end",
+    "vibrato": "suppkey % 4 = {b}", "palm_mute": "suppkey % 5 = 0", "staccato": "partkey % 9 = {b}",
+}
+TRUE_MARKS = {k: v.format(a="1.5", b="0", c="qty % 2 = 0") for k, v in MARKS.items()}
+FOUND_MARKS = {k: v.format(a="case when qty % 4 = 0 then 2.0 else 1.5 end", b="(case when qty % 5 = 0 then 1 else 0 end)", c="qty % 3 > 0") for k, v in MARKS.items()}
+
+
+def marked(n, marks: dict):
+    """One row per note key, the one with the lowest place, with its marks."""
+    first = F.min_by(F.struct(*[F.expr(v).alias(k) for k, v in marks.items()]), "pos").alias("m")
+    return n.groupBy(*KEY).agg(first).select(*KEY, "m.*")
+
+
+def _marked_sql(name: str, view: str, marks: dict) -> str:
+    return f"{name} as (select piece, measure, beat, string_, fret, " + ", ".join(f"{v} {k}" for k, v in marks.items()) + f" from (select * from {view} qualify row_number() over (partition by piece, measure, beat, string_, fret order by pos) = 1))"
+
+
+def _counts_sql(k: str) -> str:
+    value = {"bend": "case when {s}.bend is not null then {s}.bend::double || '/' || {s}.bend_release end"}.get(k, f"nullif({{s}}.{k}, '')" if k in rp.VALUED else f"case when {{s}}.{k} then 'true' end")
+    g, r = value.format(s="g"), value.format(s="r")
+    ok = f"count(*) filter ({g} = {r})" if k in rp.VALUED else "null::bigint"
+    return f"select piece, '{k}' technique, count({g}) gt, count({r}) rec, count(*) filter ({g} is not null and {r} is not null) hit, {ok} value_ok from mg g join mr r using (piece, measure, beat, string_, fret) group by piece"
+
+
+@register("ev4_technique_comparison", sql("v_notes v_rec", _marked_sql("mg", "v_notes", TRUE_MARKS), _marked_sql("mr", "v_rec", FOUND_MARKS), " union all ".join(map(_counts_sql, KINDS))))
+def _(spark, d):
+    n = t.notes(spark, d)
+    both = rp.matched(marked(n, TRUE_MARKS), marked(t.recognised(n), FOUND_MARKS), KEY).where("g and r")
+    return rp.technique_counts(both, ["piece"], KINDS)
+
+
+def beats(n, longer: str):
+    first = F.min_by(F.struct(F.expr(f"case when {longer} then 2 * duration else duration end").alias("duration"), "dots", "tuplet", F.expr("suppkey % 6 = 0").alias("rest")), "pos").alias("b")
+    notes = F.array_sort(F.collect_set(F.concat("string_", F.lit(":"), F.when(F.expr("partkey % 10 = 0"), "x").otherwise(c("fret").cast("string")))))
+    rows = n.groupBy("piece", "measure", "beat").agg(notes.alias("notes"), first).select("piece", "measure", "beat", "notes", "b.*")
+    return rows.withColumn("notes", F.when(c("rest"), F.array().cast("array<string>")).otherwise(c("notes")))
+
+
+def _beats_sql(name: str, view: str, longer: str) -> str:
+    return f"""{name} as (select piece, measure, beat, case when rest then [] else notes end notes, rest, duration, dots, tuplet from (select piece, measure, beat,
+        list_sort(list_distinct(list(string_ || ':' || case when partkey % 10 = 0 then 'x' else fret::varchar end))) notes, arg_min(suppkey % 6 = 0, pos) rest, arg_min(case when {longer} then 2 * duration else duration end, pos) duration,
+        arg_min(dots, pos) dots, arg_min([tuplet], pos)[1] tuplet from {view} group by all))"""
+
+
+@register(
+    "ev3_beat_and_measure_rates",
+    sql(
+        "v_notes v_rec", _beats_sql("bg", "v_notes", "false"), _beats_sql("br", "v_rec", "qty % 7 = 0"),
+        f"ms as (select piece, measure, sum({LEN_SQL}) = case when measure % 2 = 0 then 40320 else 60480 end ok from br group by piece, measure)",
+        "mt as (select piece, count(*) measures, count(ok) found, count(*) filter (ok) sum_ok from (select distinct piece, measure from bg) left join ms using (piece, measure) group by piece)",
+        """bt as (select g.piece, count(*) beats, count(*) filter (g.notes = r.notes and g.rest = r.rest) grouped,
+            count(*) filter (g.notes = r.notes and g.rest = r.rest and g.duration = r.duration and g.dots = r.dots and g.tuplet is not distinct from r.tuplet) timed from bg g left join br r using (piece, measure, beat) group by g.piece)""",
+        """select piece, measures, found, sum_ok, beats, grouped, timed, round_even(100.0::double * found / nullif(measures, 0), 2) measure_alignment, round_even(100.0::double * grouped / nullif(beats, 0), 2) beat_grouping,
+            round_even(100.0::double * timed / nullif(grouped, 0), 2) duration_on_grouped, round_even(100.0::double * sum_ok / nullif(found, 0), 2) measures_summing from mt join bt using (piece)""",
+    ),
+)
+def _(spark, d):
+    n = t.notes(spark, d)
+    room = F.when(c("measure") % 2 == 0, 40320).otherwise(60480)
+    return rp.beat_rates(beats(n, "false"), beats(t.recognised(n), "qty % 7 = 0"), ["piece"], room)
+
+
 @register(
     "ev5_fret_errors",
     sql(
