@@ -344,3 +344,29 @@ def _(spark, d):
     end = F.when(c("k") % 5 == 0, F.lit("</meas")).otherwise(F.lit("</measure>"))
     texts = texts.select("piece", F.concat(F.lit('<measure number="'), c("measure").cast("string"), F.lit('">'), c("x"), end).alias("xml"))
     return dc.parse_measures(texts, "xml")
+
+
+@register(
+    "src10_measure_attributes",
+    sql(
+        "v_notes",
+        "ms as (select piece, measure, count(*) notes, min(partkey) k, arg_min(suppkey, pos) z, sum(duration) filter (pos % 4 <> 2) units from v_notes group by all)",
+        """own as (select piece, measure, notes, units, k, case when k % 2 = 0 or measure = 1 then case when k % 8 = 0 then 3 else 1 << (k % 4)::int end end divisions, case when k % 3 = 0 then k % 7 - 3 end fifths,
+            case when k % 4 = 0 then 2 + k % 3 end beats, case when k % 4 = 0 then 4 end beat_type, case when k % 6 = 0 then case when z % 2 = 0 then 'G2' else 'F4' end end clef1, case when z % 7 = 0 then 'C3' end clef2 from ms where k % 5 <> 0)""",
+        "force as (select *, row_number() over w number, " + ", ".join(f"last_value({k} ignore nulls) over (w rows between unbounded preceding and current row) f_{k}, last_value({k} ignore nulls) over (w rows between unbounded preceding and 1 preceding) w_{k}" for k in dc.IN_FORCE) + " from own window w as (partition by piece order by measure))",
+        "select piece, measure, number, " + ", ".join(f"f_{k} {k}" for k in dc.IN_FORCE) + """, notes, case when coalesce(units, 0) * 20160 % coalesce(f_divisions, 1) = 0 then (coalesce(units, 0) * 20160 // coalesce(f_divisions, 1))::bigint end ticks,
+            concat_ws(' ', """ + ", ".join(f"case when {k} is not null and {k} is distinct from w_{k} then '{k}' end" for k in dc.IN_FORCE) + ") changed from force",
+    ),
+)
+def _(spark, d):
+    note = F.expr("""'<note>' || case when pos % 4 = 2 then '<chord/>' else '' end || '<pitch><step>' || step || '</step><octave>' || octave || '</octave></pitch><duration>' || duration || '</duration></note>'""")
+    texts = t.notes(spark, d).withColumn("x", note).groupBy("piece", "measure").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda n: n["x"]), "").alias("x"), F.min("partkey").alias("k"), F.min_by("suppkey", "pos").alias("z"),
+    )
+    marks = F.expr("""'<attributes>' || case when k % 2 = 0 or measure = 1 then '<divisions>' || case when k % 8 = 0 then 3 else shiftleft(1, cast(k % 4 as int)) end || '</divisions>' else '' end
+        || case when k % 3 = 0 then '<key><fifths>' || (k % 7 - 3) || '</fifths></key>' else '' end || case when k % 4 = 0 then '<time><beats>' || (2 + k % 3) || '</beats><beat-type>4</beat-type></time>' else '' end || '</attributes><attributes>'
+        || case when k % 6 = 0 then case when z % 2 = 0 then '<clef><sign>G</sign><line>2</line></clef>' else '<clef number="1"><sign>F</sign><line>4</line></clef>' end else '' end
+        || case when z % 7 = 0 then '<clef number="2"><sign>C</sign><line>3</line></clef>' else '' end || '</attributes>'""")
+    end = F.when(c("k") % 5 == 0, F.lit("</meas")).otherwise(F.lit("</measure>"))
+    texts = texts.select("piece", "measure", F.concat(F.lit('<measure number="'), c("measure").cast("string"), F.lit('">'), marks, c("x"), end).alias("xml"))
+    return dc.measures_in_force(texts, "piece", ["measure"], "xml").withColumn("changed", F.array_join("changed", " "))

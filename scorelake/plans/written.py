@@ -286,6 +286,39 @@ def _(spark, d):
     return padded_bars(bars, "piece", F.expr("piece % 2"))
 
 
+SONG_SQL = TEX_SQL[:5] + (
+    # two tracks to a song; every ninth bar is missing, and the tracks are of different length
+    """br as (select piece // 2 song, piece % 2 track, measure bar, x line_ from ms where measure % 9 > 0 or measure = 1)""",
+    "tr as (select distinct piece // 2 song, piece % 2 track, count(*) over (partition by piece // 2) n from (select distinct piece from ms))",
+    "mx as (select song, max(bar) bars from br group by song)",
+    """fl as (select song, track, 4 section, bar, coalesce(line_, 'r.1') || case when bar < bars then ' |' else '' end line_ from (select song, track, bars, unnest(range(1, bars + 1)) bar from tr join mx using (song)) left join br using (song, track, bar))""",
+    """select song, -1 track, section, 0 bar, line_ from (select distinct song, unnest([0, 1, 2]) section, unnest(['\\title "' || case when song % 3 = 0 then '' else 'Song \\"' || song || '\\"' end || '"', '\\tempo ' || case when song % 4 = 0 then 120 else 60 + song % 100 end, '.']) line_ from tr)
+       union all select song, track, section, 0, line_ from (select song, track, unnest([0, 1, 2, 3]) section, unnest(['\\track "' || case when track = 0 then 'Lead' when n = 1 then 'Guitar' else 'Guitar 2' end || '"', '\\staff {tabs}',
+            '\\tuning (' || case when track = 0 then 'D4 B3 G3 D3 A2 D2' else 'E4 B3 G3 D3 A2 E2' end || ')', '\\ts 4 4']) line_ from tr)
+       union all select song, track, section, bar, line_ from fl""",
+)
+
+
+@register("snk4_song_lines", sql("v_notes", *SONG_SQL))
+def _(spark, d):
+    from scorelake.operators.ordered import cut_columns
+    from scorelake.sources.sinks import song_lines, text_beats
+
+    n = t.notes(spark, d)
+    n = n.withColumn("fx", F.concat_ws(" ", F.when(c("tied"), F.lit("t")), note_effects(n))).drop(*cut_columns(n))
+    song, track = F.expr("piece div 2").alias("song"), F.expr("piece % 2").alias("track")
+    bars = text_beats(n, ["piece", "measure"], 6).where("measure % 9 > 0 or measure = 1").select(song, track, c("measure").alias("bar"), "line_")
+    tracks = n.select(song, track).distinct().select(
+        "song", "track", F.when(c("track") == 0, "Lead").alias("name"), F.lit(6).cast("long").alias("strings"),
+        F.when(c("track") == 0, F.expr("array(38L, 45L, 50L, 55L, 59L, 62L)")).otherwise(F.expr("array(40L)")).alias("tuning"),
+    )
+    songs = tracks.select("song").distinct().select(
+        "song", F.when(c("song") % 3 != 0, F.concat(F.lit('Song "'), c("song").cast("string"), F.lit('"'))).alias("title"),
+        F.when(c("song") % 4 != 0, 60 + c("song") % 100).alias("tempo"),
+    )
+    return song_lines(songs, tracks, bars, "song")
+
+
 @register(
     "snk1_nested_documents",
     sql(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelake.functions import ticks as tk
+from scorelake.operators.ordered import latest, row_number, scan
 from scorelake.operators.timing import nearest_fraction
 
 c = F.col
@@ -184,6 +185,43 @@ def parse_measures(df: DataFrame, xml: str) -> DataFrame:
     )
 
 
+CLEF = "struct<_number:bigint,sign:string,line:bigint>"
+MEASURE_XML = (
+    f"struct<_number:bigint,attributes:array<struct<divisions:bigint,key:struct<fifths:bigint>,time:struct<beats:bigint,`beat-type`:bigint>,clef:array<{CLEF}>>>,"
+    "note:array<struct<duration:bigint,chord:struct<_x:string>,grace:struct<_x:string>,voice:bigint,pitch:struct<step:string,octave:bigint>>>,_bad:string>"
+)
+IN_FORCE = ("divisions", "fifths", "beats", "beat_type", "clef1", "clef2")
+
+
+def measures_in_force(df: DataFrame, piece: str, order: Sequence[str], xml: str) -> DataFrame:
+    """Measures from XML text in ``order``, unique in its piece, with the attributes in force: (piece, order, number, divisions, fifths, beats,
+    beat_type, clef1, clef2, notes, ticks, changed).
+
+    Text that isn't a measure is left out, and measures are numbered anew. An attribute holds until it is given again;
+    ``changed`` names those that are given and differ from what is in force, the rest needn't be written. Lengths of
+    notes (chords and graces add none, other voices run beside the first) are parts of a quarter that ``divisions``
+    in force tells, so ``ticks`` is null where they don't come out even; divisions that never were given are 1.
+    Where a measure gives an attribute more than once, the last one counts; clefs are told apart by their number."""
+    m = F.from_xml(xml, MEASURE_XML, {"columnNameOfCorruptRecord": "_bad", "rowTag": "measure"})
+    given = lambda get: F.try_element_at(F.filter(F.transform("_m.attributes", get), lambda v: v.isNotNull()), F.lit(-1))
+    clefs = F.flatten(F.filter(F.transform("_m.attributes", lambda a: a["clef"]), lambda v: v.isNotNull()))
+    clef = lambda k: F.try_element_at(F.transform(F.filter(clefs, lambda v: F.coalesce(v["_number"], F.lit(1)) == k), lambda v: F.concat(v["sign"], F.coalesce(v["line"].cast("string"), F.lit("")))), F.lit(-1))
+    own = {
+        "divisions": given(lambda a: a["divisions"]), "fifths": given(lambda a: a["key"]["fifths"]), "beats": given(lambda a: a["time"]["beats"]),
+        "beat_type": given(lambda a: a["time"]["beat-type"]), "clef1": clef(1), "clef2": clef(2),
+    }
+    sounding = F.filter("_m.note", lambda n: n["chord"].isNull() & n["grace"].isNull() & (F.coalesce(n["voice"], F.lit(1)) == 1))
+    units = F.aggregate(F.coalesce(sounding, F.array()), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n["duration"], F.lit(0)))
+    rows = df.withColumn("_m", m).where(c("_m._bad").isNull() & c("_m._number").isNotNull())
+    rows = rows.select(piece, *order, *(v.alias(f"_{k}") for k, v in own.items()), F.coalesce(F.size("_m.note"), F.lit(0)).cast("long").alias("notes"), units.alias("_units"))
+    outs = {"number": row_number()} | {k: latest(c(f"_{k}")) for k in IN_FORCE} | {f"_was_{k}": latest(c(f"_{k}"), False) for k in IN_FORCE}
+    rows = scan(rows, piece, order, outs)
+    changed = F.array_compact(F.array(*[F.when(c(f"_{k}").isNotNull() & ~c(f"_{k}").eqNullSafe(c(f"_was_{k}")), k) for k in IN_FORCE]))
+    whole, per = c("_units") * (tk.TICKS // 4), F.coalesce(F.when(c("divisions") > 0, c("divisions")), F.lit(1))
+    ticks = F.when(whole % per == 0, F.call_function("div", whole, per))
+    return rows.select(piece, *order, "number", *IN_FORCE, "notes", ticks.alias("ticks"), changed.alias("changed"))
+
+
 def read_measure_files(spark: SparkSession, folder: str) -> DataFrame:
     """Measures of XML files, one row each."""
     schema = "_number bigint, note array<struct<duration:bigint,pitch:struct<step:string,octave:bigint>>>"

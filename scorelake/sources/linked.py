@@ -42,8 +42,7 @@ def named(properties: Column, name: str) -> Column:
     """The text of the last property of this name; an empty one where it has none; null without the property."""
     found = F.filter(F.coalesce(properties, F.array()), lambda p: p["_name"] == name)
     fields = ("String", "Fret", "Float", "Flags", "HType", "HFret", "Number", "Pitches", "_VALUE")
-    text = F.element_at(F.transform(found, lambda p: F.trim(F.coalesce(*(p[f] for f in fields), F.lit("")))), -1)
-    return F.when(F.size(found) > 0, text)
+    return F.try_element_at(F.transform(found, lambda p: F.trim(F.coalesce(*(p[f] for f in fields), F.lit("")))), F.lit(-1))
 
 
 def number(text: Column) -> Column:

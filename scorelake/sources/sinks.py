@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorelake.functions import music as mu
 from scorelake.functions import ticks as tk
 from scorelake.operators import notation as nt
 from scorelake.operators.mapping import OPEN_HIHAT, instrument
@@ -154,6 +155,36 @@ def padded_bars(bars: DataFrame, piece: str, more: Column) -> DataFrame:
     return bars.unionByName(extra)
 
 
+REST_BAR = "r.1"
+
+
+def song_lines(songs: DataFrame, tracks: DataFrame, bars: DataFrame, piece: str) -> DataFrame:
+    """(piece, track, section, bar, line_): a song as lines of text, in order of these columns.
+
+    ``songs`` (piece, title, tempo), ``tracks`` (piece, track from 0, name, strings, tuning from the lowest string) and ``bars``
+    (piece, track, bar from 1, line_). Every track has as many bars as the longest one of its song: a bar that it lacks
+    is a rest. Titles and tempos that are missing are empty and 120; tracks without a name are numbered; a tuning
+    that isn't as long as the strings is the usual one. Bars of tracks that aren't listed are left out."""
+    count = tracks.groupBy(piece).agg(F.count("*").alias("_count"))
+    longest = bars.join(tracks.select(piece, "track"), [piece, "track"], "left_semi").groupBy(piece).agg(F.max("bar").alias("_bars"))
+    at = lambda section, line: F.struct(F.lit(section).alias("section"), F.lit(0).cast("long").alias("bar"), line.alias("line_"))
+    title, tempo = mu.quote(F.coalesce("title", F.lit(""))), F.coalesce(F.when(c("tempo") != 0, c("tempo")), F.lit(120))
+    head = songs.select(piece, F.lit(-1).cast("long").alias("track"), F.inline(F.array(
+        at(0, F.concat(F.lit("\\title "), title)), at(1, F.concat(F.lit("\\tempo "), _num(tempo))), at(2, F.lit(".")),
+    )))
+    one = tracks.join(count, piece).join(longest, piece, "left")
+    name = mu.quote(F.when(F.coalesce("name", F.lit("")) != "", c("name")).otherwise(mu.track_name(c("track"), c("_count"))))
+    strings = F.when(F.size("tuning") == c("strings"), c("tuning")).otherwise(mu.default_tuning(c("strings")))
+    tuned = F.array_join(F.transform(F.reverse(strings), mu.midi_name), " ")
+    opening = one.select(piece, "track", F.inline(F.array(
+        at(0, F.concat(F.lit("\\track "), name)), at(1, F.lit("\\staff {tabs}")), at(2, F.concat(F.lit("\\tuning ("), tuned, F.lit(")"))), at(3, F.lit("\\ts 4 4")),
+    )))
+    every = one.where("_bars > 0").select(piece, "track", "_bars", F.explode(F.sequence(F.lit(1).cast("long"), c("_bars"))).alias("bar"))
+    filled = every.join(bars.select(piece, "track", "bar", "line_"), [piece, "track", "bar"], "left")
+    text = F.concat(F.coalesce("line_", F.lit(REST_BAR)), F.when(c("bar") < c("_bars"), " |").otherwise(""))
+    return head.unionByName(opening).unionByName(filled.select(piece, "track", F.lit(4).alias("section"), "bar", text.alias("line_")))
+
+
 def measure_documents(notes: DataFrame) -> DataFrame:
     """One JSON document per measure with beats and notes nested in order."""
     note = F.struct(
