@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of ids and chunks of text that a task remembers, about.
-REMEMBERED = 32_000_000
+REMEMBERED = 80_000_000
 #: What an entry takes besides its text and ids.
 ENTRY = 160
 MARKS = b",.;:!?*&%$#|"
@@ -39,39 +39,47 @@ def loaded(path: str):
         before, split = file.get("normalizer") or {}, file.get("pre_tokenizer") or {}
         first = (split.get("pretokenizers") or [{}])[0]
         spaced = any(any(ch.isspace() for ch in t["content"]) for t in file.get("added_tokens", []))
-        known = before.get("normalizers") == STEPS and first.get("pattern") == {"Regex": SPLIT} and not spaced
+        rest = [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in (split.get("pretokenizers") or [])[1:]]
+        known = before.get("normalizers") == STEPS and first.get("pattern") == {"Regex": SPLIT} and rest == [("ByteLevel", False, False)] and not spaced
         LOADED[path] = Tokenizer.from_file(path), known
     return LOADED[path]
 
 
 class Tokens(dict):
-    """Ids of a text as little-endian 32-bit words, remembered by chunk for one task.
+    """Ids of a text as little-endian 32-bit words, remembered by chunk.
 
     A text is cut at ASCII white space. A chunk of letters and trailing marks is looked up as its two halves, if its
-    letters are still letters alone once the tokenizer has lower-cased them: some become a letter and a mark."""
+    letters are still letters alone once the tokenizer has lower-cased them: some become a letter and a mark. When half
+    of what may be remembered is full, it becomes the older half, of which chunks that are met again are kept."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer, self.known = loaded(path)
-        self.held = 0
+        self.held, self.older = 0, {}
 
     def of(self, text: bytes) -> bytes:
         if not self.known:
             return self.encoded([text])[0]
         chunks = text.split()
-        if self.held > REMEMBERED:
+        if self.held > REMEMBERED // 2:
+            self.older, self.held = dict(self), 0
             self.clear()
-            self.held = 0
-        if new := {c for c in chunks if c not in self}:
-            halves = {}
-            for c in new:
-                letters = c.rstrip(MARKS)
-                if letters and self.only_letters(letters):
-                    halves[c] = (letters.lower() if letters.isascii() else letters, c[len(letters) :])
-            self._learn({h for pair in halves.values() for h in pair if h not in self} | (new - halves.keys()))
-            for c, (a, b) in halves.items():
-                self._keep(c, self[a] + self[b])
+        self._find({c for c in chunks if c not in self})
         return b"".join(map(self.__getitem__, chunks))
 
+    def _find(self, new: set[bytes]) -> None:
+        for c in new & self.older.keys() if self.older else ():
+            self._keep(c, self.older[c])
+        halves = {}
+        for c in new:
+            if c not in self and (letters := c.rstrip(MARKS)) and self.only_letters(letters):
+                halves[c] = (letters.lower() if letters.isascii() else letters, c[len(letters) :])
+        self._learn({h for pair in halves.values() for h in pair if h not in self} | {c for c in new if c not in self and c not in halves})
+        for c, (a, b) in halves.items():
+            if b:
+                self._keep(c, self[a] + self[b])
+            elif a != c:
+                self._keep(c, self[a])
+
     def only_letters(self, word: bytes) -> bool:
         if word.isascii():
             return word.isalpha()
@@ -87,7 +95,11 @@ class Tokens(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        words = [c for c in chunks if c and self.only_letters(c)]
+        model = self.tokenizer.model
+        for c in chunks:  # words as they are after lower-casing: the model's own, nothing to split
+            if c.isalpha() and c.isascii() and c.islower():
+                self._keep(c, np.array([t.id for t in model.tokenize(c.decode())], "<u4").tobytes())
+        words = [c for c in chunks if c not in self and self.only_letters(c)]
         for at in range(0, len(words), 10_000):  # one call for many words is faster, if each is one word to the tokenizer
             part = words[at : at + 10_000]
             e = self.tokenizer.encode(b" ".join(part).decode("utf-8", "replace"), add_special_tokens=False)
@@ -173,7 +185,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64
     (some 11,000 short pieces at most) and one batch of texts. Sequence ids are made of the partition and a counter,
     so a task that runs again gives the same ids; ``docs`` should be a table that is read, as its rows then have an
     order. Null texts are empty: one id. Repeated rows are packed once each. Other columns are left out.
-    ``tokenizer``: the file of a public tokenizer, at the same path on all machines; a task remembers some 32 MB of ids
+    ``tokenizer``: the file of a public tokenizer, at the same path on all machines; a task remembers some 80 MB of ids
     by chunk of text, or none, with a file whose rules for cutting aren't known (see ``loaded``)."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(_pack(tokenizer, capacity, tail), ", ".join(f"{n} long" for n in NAMES))
