@@ -82,16 +82,42 @@ STRETCH = 1 << 16
 NOWHERE = 1 << 62
 
 
-def _followed(at: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where the pages that begin at each item of a stretch lead out of it, and how many begin on the way. Pointers are
-    doubled, so the steps are the logarithm of the pages."""
-    to, pages = to - at[0], np.ones(len(at), np.int64)
-    while (inside := to < len(at)).any():
-        ahead = to[inside]
-        more, beyond = pages[ahead], to[ahead]
-        pages[inside] += more
-        to[inside] = beyond
-    return to + at[0], pages
+class Stretches:
+    """Many stretches of items, each in a row, as arrays: ``to`` is where a pointer leads in them, or ``out`` of them."""
+
+    def __init__(self, pdf: pd.DataFrame, keys: list[str]):
+        stretch = pdf.groupby([*keys, "_stretch"], sort=False, dropna=False).ngroup().to_numpy()
+        order = np.lexsort((pdf["_n"].to_numpy(), stretch))
+        self.rows, stretch = pdf.iloc[order], stretch[order]
+        n, to = self.rows["_n"].to_numpy(), self.rows["_to"].to_numpy()
+        starts = np.flatnonzero(np.diff(stretch, prepend=-1))
+        sizes = np.diff(np.append(starts, len(n)))
+        ahead = to - np.repeat(n[starts], sizes)
+        self.inside = ahead < np.repeat(sizes, sizes)
+        self.to = np.where(self.inside, np.repeat(starts, sizes) + ahead, -1)
+        self.out = to
+
+    def left(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pages that begin at each item lead out of its stretch, and how many begin on the way. Pointers are
+        doubled, so the steps are the logarithm of the pages."""
+        to, out, pages, inside = self.to.copy(), self.out.copy(), np.ones(len(self.to), np.int64), self.inside.copy()
+        while inside.any():
+            ahead = to[inside]
+            more, beyond, leads, on = pages[ahead], to[ahead], out[ahead], inside[ahead]
+            pages[inside] += more
+            out[inside], to[inside] = leads, beyond
+            inside[inside] = on
+        return out, pages
+
+    def walked(self, at: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The items that begin pages, and the pages, from the items where stretches are entered."""
+        found, number = [at], [page]
+        while len(at):
+            on = self.inside[at]
+            at, page = self.to[at[on]], page[on] + 1
+            found.append(at)
+            number.append(page)
+        return np.concatenate(found), np.concatenate(number)
 
 
 def packed_pages(df: DataFrame, keys: Sequence[str], order: str, size: str, height: int, gap: int, stretch: int | None = None) -> DataFrame:
@@ -119,12 +145,14 @@ def packed_pages(df: DataFrame, keys: Sequence[str], order: str, size: str, heig
     entries = links.join(entered.withColumn("_in", F.lit(True)), [*keys, "_n"], "left")
 
     def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        out, pages = _followed(pdf["_n"].to_numpy(), pdf["_to"].to_numpy().copy())
-        take = pdf["_in"].notna().to_numpy() | (pdf["_n"].to_numpy() == 0)
-        return pdf[keys].assign(_n=pdf["_n"], _to=out, _pages=pages)[take]
-
-    jumps = entries.groupBy(*keys, "_stretch").applyInPandas(crossed, f"{key_types}, _n long, _to long, _pages long").where(f"_n = 0 or _to < {NOWHERE}").checkpoint()
+        s = Stretches(pdf, keys)
+        out, pages = s.left()
+        take = s.rows["_in"].notna().to_numpy() | (s.rows["_n"].to_numpy() == 0)
+        return s.rows[[*keys, "_n"]].assign(_to=out, _pages=pages)[take]
+
+    # many short stretches go to one call, as many calls as there are long ones
+    calls = F.pmod(F.xxhash64(*keys, "_stretch"), F.lit(1 + links.count() // stretch))
+    jumps = entries.groupBy(calls).applyInPandas(crossed, f"{key_types}, _n long, _to long, _pages long").where(f"_n = 0 or _to < {NOWHERE}").checkpoint()
     seen = jumps.where("_n = 0").select(*keys, "_n", F.lit(0).cast("long").alias("_page"))
     jumps = jumps.where(F.col("_to") < NOWHERE)
     while not jumps.isEmpty():
@@ -134,18 +162,12 @@ def packed_pages(df: DataFrame, keys: Sequence[str], order: str, size: str, heig
         jumps = jumps.join(further, [*keys, "_to"]).select(*keys, "_n", F.col("_next").alias("_to"), (F.col("_pages") + F.col("_more")).alias("_pages")).checkpoint()
 
     def walked(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_n")
-        n, to = pdf["_n"].to_numpy(), pdf["_to"].to_numpy()
-        found, here = [], np.flatnonzero(pdf["_page"].notna().to_numpy())
-        at = int(here[0]) if len(here) else len(n)
-        page = int(pdf["_page"].to_numpy()[at]) if len(here) else 0
-        while at < len(n):
-            found.append((at, page))
-            at, page = int(to[at] - n[0]), page + 1
-        rows = pdf.iloc[[f[0] for f in found]]
-        return rows[keys].assign(_n=rows["_n"], _page=[f[1] for f in found])
-
-    starts = links.join(seen, [*keys, "_n"], "left").groupBy(*keys, "_stretch").applyInPandas(walked, f"{key_types}, _n long, _page long")
+        s = Stretches(pdf, keys)
+        at = np.flatnonzero(s.rows["_page"].notna().to_numpy())
+        found, page = s.walked(at, s.rows["_page"].to_numpy()[at].astype(np.int64))
+        return s.rows[[*keys, "_n"]].iloc[found].assign(_page=page)
+
+    starts = links.join(seen, [*keys, "_n"], "left").groupBy(calls).applyInPandas(walked, f"{key_types}, _n long, _page long")
     opened = placed.join(starts, [*keys, "_n"], "left").withColumn("_first", F.when(F.col("_page").isNotNull(), F.struct("_page", "_top")))
     out = scan(opened, keys, order, {"_on": latest(F.col("_first"))})
     return out.select(*keys, order, F.col("_on._page").alias("page"), (F.col("_top") - F.col("_on._top")).alias("at"))
