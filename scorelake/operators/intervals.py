@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,15 +133,33 @@ def merged(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     )
 
 
-def support(
-    df: DataFrame, video: Sequence[str], frame: str, a: str, b: str, bucket: int
-) -> DataFrame:
-    """In how many frames of its video some detection overlaps each distinct detection."""
-    spans = merged(df, [*video, frame], a, b).withColumnsRenamed({a: "_s", b: "_e"})
-    w = Window.partitionBy(*video, frame).orderBy("_s")
-    spans = spans.withColumn("_pe", F.lag("_e").over(w))
-    kinds = df.select(*video, a, b).distinct()
-    pairs = overlap_join(kinds, spans, video, (a, b), ("_s", "_e"), bucket, closed=True)
-    # of the spans of one frame only the first that overlaps has its forerunner left of it
-    first = F.col("_pe").isNull() | (F.col("_pe") < F.col(a))
-    return pairs.where(first).groupBy(*video, a, b).agg(F.count("*").alias("frames"))
+def support(df: DataFrame, video: Sequence[str], frame: str, a: str, b: str) -> DataFrame:
+    """In how many frames of its video some detection overlaps each distinct detection.
+
+    The spans of a frame are disjoint, so a place ``x`` has one next span, the one that it lies in or the first beyond
+    it; a detection is overlapped where the next span of its start begins at its end or before. Over all frames these
+    are counted by pixels: each span adds one to the places from behind the span before it up to its own end. So a video
+    is one table of at most as many counts as an image has places for starts and ends, summed up along both sides,
+    however many frames and detections there are."""
+    keys = list(video)
+    spans = merged(df, [*keys, frame], a, b).withColumnsRenamed({a: "_s", b: "_e"})
+    w = Window.partitionBy(*keys, frame).orderBy("_s")
+    spans = spans.withColumn("_from", F.coalesce(F.lag("_e").over(w) + 1, F.lit(-(1 << 40))))
+    step = lambda at, by: F.struct(F.col(at).cast("long").alias("_x"), F.lit(by).cast("long").alias("_by"))
+    steps = spans.withColumn("_end", F.col("_e") + 1).select(*keys, F.col("_s").cast("long").alias("_y"), F.inline(F.array(step("_from", 1), step("_end", -1))))
+    steps = steps.groupBy(*keys, "_x", "_y").agg(F.sum("_by").alias("_by"))
+    kinds = df.select(*keys, F.col(a).cast("long").alias("_x"), F.col(b).cast("long").alias("_y")).distinct().withColumn("_by", F.lit(None).cast("long"))
+
+    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
+        asked = pdf["_by"].isna()
+        steps, kinds = pdf[~asked], pdf[asked]
+        (xs, i), (ys, j) = (np.unique(steps[n], return_inverse=True) for n in ("_x", "_y"))
+        table = np.zeros((len(xs), len(ys)), np.int64)
+        np.add.at(table, (i, j), steps["_by"].to_numpy().astype(np.int64))
+        table = table.cumsum(0).cumsum(1)
+        at = (np.searchsorted(v, kinds[n], "right") - 1 for v, n in ((xs, "_x"), (ys, "_y")))
+        return kinds[[*keys, "_x", "_y"]].assign(frames=table[tuple(at)])
+
+    names = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema]
+    found = steps.select(*keys, "_x", "_y", "_by").union(kinds).groupBy(*keys).applyInPandas(counted, ", ".join([*names, "_x long", "_y long", "frames long"]))
+    return found.withColumnsRenamed({"_x": a, "_y": b})

@@ -56,7 +56,7 @@ def region_consensus(
     frames; of the stable ones those with most lines count. Without any the lowest third of
     the frame is returned with confidence 0."""
     total = frames.groupBy(video).agg(F.count_distinct(frame).alias("_all"))
-    hits = support(staves, [video], frame, "top", "bottom", bucket)
+    hits = support(staves, [video], frame, "top", "bottom")
     stable = staves.join(hits, [video, "top", "bottom"]).join(total, video).where(
         F.col("frames") * 2 >= F.col("_all")
     )

@@ -423,7 +423,7 @@ def _(spark, d):
     staves = t.boxes(spark, d).select(
         F.expr("frame div 20").alias("vid"), "frame", F.col("x0").alias("a"), F.col("x1").alias("b")
     )
-    return iv.support(staves, ["vid"], "frame", "a", "b", 64)
+    return iv.support(staves, ["vid"], "frame", "a", "b")
 
 
 @register(
