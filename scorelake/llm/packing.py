@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-#: Bytes of ids and chunks of text that a task remembers, about.
-REMEMBERED = 80_000_000
+#: Bytes of ids and chunks of text that a worker remembers, about.
+REMEMBERED = 192_000_000
 #: What an entry takes besides its text and ids.
 ENTRY = 160
 MARKS = b",.;:!?*&%$#|"
 LOADED: dict[str, "Tokenizer"] = {}  # noqa: F821
+KEPT: dict[tuple[str, int], "Tokens"] = {}
 END = (1).to_bytes(4, "little")
 
 # Fixed values of the tokenizer files whose texts may be cut at white space: steps before splitting, and the split.
@@ -52,15 +53,15 @@ class Tokens(dict):
     letters are still letters alone once the tokenizer has lower-cased them: some become a letter and a mark. When half
     of what may be remembered is full, it becomes the older half, of which chunks that are met again are kept."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
         self.tokenizer, self.known = loaded(path)
-        self.held, self.older = 0, {}
+        self.most, self.held, self.older = remembered // 2, 0, {}
 
     def of(self, text: bytes) -> bytes:
         if not self.known:
             return self.encoded([text])[0]
         chunks = text.split()
-        if self.held > REMEMBERED // 2:
+        if self.held > self.most:
             self.older, self.held = dict(self), 0
             self.clear()
         self._find({c for c in chunks if c not in self})
@@ -112,6 +113,14 @@ class Tokens(dict):
             self._keep(c, ids)
 
 
+def tokens(path: str, remembered: int) -> Tokens:
+    """The worker's own, kept from task to task."""
+    if (path, remembered) not in KEPT:
+        KEPT.clear()
+        KEPT[path, remembered] = Tokens(path, remembered)
+    return KEPT[path, remembered]
+
+
 def cuts(n: int, capacity: int, tail: int) -> Iterator[int]:
     """Lengths of a document's pieces: whole sequences, then powers of two, then what is left, under 2 * ``tail``.
 
@@ -130,9 +139,9 @@ def cuts(n: int, capacity: int, tail: int) -> Iterator[int]:
         yield last
 
 
-def _pack(path: str, capacity: int, tail: int):
+def _pack(path: str, capacity: int, tail: int, remembered: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, open_, out, made = Tokens(path), defaultdict(list), [], [0]
+        known, open_, out, made = tokens(path, remembered), defaultdict(list), [], [0]
         first = TaskContext.get().partitionId() << 36
 
         def close(pieces) -> None:
@@ -177,7 +186,7 @@ def _pack(path: str, capacity: int, tail: int):
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64, id: str = "doc_id", text: str = "text") -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64, id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), all long.
 
     A document is its text's ids and an end id, 1. Pieces of length n lie ``capacity // n`` to a sequence, in bins of
@@ -185,7 +194,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64
     (some 11,000 short pieces at most) and one batch of texts. Sequence ids are made of the partition and a counter,
     so a task that runs again gives the same ids; ``docs`` should be a table that is read, as its rows then have an
     order. Null texts are empty: one id. Repeated rows are packed once each. Other columns are left out.
-    ``tokenizer``: the file of a public tokenizer, at the same path on all machines; a task remembers some 80 MB of ids
-    by chunk of text, or none, with a file whose rules for cutting aren't known (see ``loaded``)."""
+    ``tokenizer``: the file of a public tokenizer, at the same path on all machines; a worker remembers some
+    ``remembered`` bytes of ids by chunk of text, or none, with a file whose rules for cutting aren't known (see ``loaded``)."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, capacity, tail), ", ".join(f"{n} long" for n in NAMES))
+    return rows.mapInArrow(_pack(tokenizer, capacity, tail, remembered), ", ".join(f"{n} long" for n in NAMES))
