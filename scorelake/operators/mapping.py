@@ -81,8 +81,9 @@ def with_overrides(table: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def symbols(table: DataFrame) -> DataFrame:
-    """Resolves every possible notehead once: ``(step, octave, family, open_, gm)``, 420 rows,
-    whatever the size of the scores, so it can be broadcast."""
+    """Resolves every possible notehead once: ``(step, octave, family, open_, gm)``, 504 rows,
+    whatever the size of the scores, so it can be broadcast. Keys have octaves 0 to 9; one octave more on either side
+    stands for all that lie beyond, whose nearest key is the outermost."""
     spark = table.sparkSession
     parts = F.split("key", ":")
     t = table.select(
@@ -90,9 +91,9 @@ def symbols(table: DataFrame) -> DataFrame:
         F.substr(parts[0], F.lit(2), F.lit(1)).cast("long").alias("toctave"),
         parts[1].alias("tfamily"), (F.size(parts) == 3).alias("topen"), "gm", "ord",
     )
-    places = spark.range(70).select(
+    places = spark.range(84).select(
         F.substr(F.lit(mu.STEPS), (F.col("id") % 7 + 1).cast("int"), F.lit(1)).alias("step"),
-        F.expr("id div 7").alias("octave"),
+        F.expr("id div 7 - 1").alias("octave"),
     )
     kinds = places.withColumn(
         "family", F.explode(F.array(F.lit("normal"), F.lit("x"), F.lit("circle-x")))
@@ -123,9 +124,13 @@ def symbols(table: DataFrame) -> DataFrame:
 def resolve(notes: DataFrame, table: DataFrame, head: str = "notehead", open_: str = "open_") -> DataFrame:
     """Adds ``gm`` to notes with ``step``, ``octave``, notehead and open mark."""
     keyed = notes.withColumn("_f", mu.head_family(F.col(head)))
-    s = symbols(table).withColumnsRenamed({"family": "_f", "open_": "_open"})
-    keyed = keyed.withColumn("_open", F.col(open_))
-    return keyed.join(F.broadcast(s), ["step", "octave", "_f", "_open"], "left").drop("_f", "_open")
+    s = symbols(table).withColumnsRenamed({"step": "_s", "octave": "_o", "family": "_f", "open_": "_open"})
+    octave = F.col("octave")
+    keyed = keyed.withColumns({
+        "_open": F.col(open_), "_o": F.when(octave < 0, -1).when(octave > 9, 10).otherwise(octave).cast("long"),
+        "_s": F.when(octave < 0, "B").when(octave > 9, "C").otherwise(F.col("step")),
+    })
+    return keyed.join(F.broadcast(s), ["_s", "_o", "_f", "_open"], "left").drop("_s", "_o", "_f", "_open")
 
 
 def usage(notes: DataFrame, table: DataFrame, piece: Sequence[str]) -> DataFrame:

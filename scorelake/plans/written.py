@@ -35,7 +35,7 @@ def resolve_sql(source: str, head: str = "notehead") -> tuple[str, ...]:
     """Symbols of ``source`` with their drum, as the sub-query ``res``."""
     here = "m.s = k.step and m.o = k.octave"
     gap = f"({PLACE.format('m.s', 'm.o')} - ({PLACE.format('k.step', 'k.octave')}))"
-    rank = f"abs({gap}) * 100000 + ({gap} + 200) * 100 + m.ord"
+    rank = f"abs({gap}) * 100000 + ({gap} + 400) * 100 + m.ord"
     return (
         MAP_SQL,
         f"""kinds as (select distinct step, octave, case when {head} in ('normal', 'hollow') then 'normal' else {head} end fam,
@@ -66,6 +66,15 @@ def _(spark, d):
     return mp.resolve(t.drum_notes(spark, d), own_table(spark)).select("note_id", "gm")
 
 
+@register(
+    "jn9_resolve_far_octaves",
+    sql("v_drum", "far as (select * replace (octave * 20 - 88 as octave) from v_drum)", *resolve_sql("far"), f"select note_id, gm from far v join res r on r.step = v.step and r.octave = v.octave and r.open_ = v.open_ and r.fam = {FAM.format('notehead')}"),
+)
+def _(spark, d):
+    far = t.drum_notes(spark, d).withColumn("octave", c("octave") * 20 - 88)
+    return mp.resolve(far, own_table(spark)).select("note_id", "gm")
+
+
 @register(
     "jn10_override_table",
     sql(
