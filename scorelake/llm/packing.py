@@ -7,6 +7,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of ids and chunks of text that a worker remembers, about.
-REMEMBERED = 192_000_000
+REMEMBERED = 256_000_000
 #: What an entry takes besides its text and ids.
 ENTRY = 160
 MARKS = b",.;:!?*&%$#|"
@@ -72,8 +73,12 @@ class Tokens(dict):
             self._keep(c, self.older[c])
         halves = {}
         for c in new:
-            if c not in self and (letters := c.rstrip(MARKS)) and self.only_letters(letters):
-                halves[c] = (letters.lower() if letters.isascii() else letters, c[len(letters) :])
+            if c not in self and (letters := c.rstrip(MARKS)):
+                if letters.isascii():
+                    if letters.isalpha():
+                        halves[c] = (letters.lower(), c[len(letters) :])
+                elif self.only_letters(letters):
+                    halves[c] = (letters, c[len(letters) :])
         self._learn({h for pair in halves.values() for h in pair if h not in self} | {c for c in new if c not in self and c not in halves})
         for c, (a, b) in halves.items():
             if b:
@@ -96,10 +101,15 @@ class Tokens(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def _learn(self, chunks: set[bytes]) -> None:
-        model = self.tokenizer.model
-        for c in chunks:  # words as they are after lower-casing: the model's own, nothing to split
-            if c.isalpha() and c.isascii() and c.islower():
-                self._keep(c, np.array([t.id for t in model.tokenize(c.decode())], "<u4").tobytes())
+        tokenize, held = self.tokenizer.model.tokenize, 0
+        plain = [c for c in chunks if c.isalpha() and c.isascii() and c.islower()]
+        for c in plain:  # words as they are after lower-casing: the model's own, nothing to split
+            found = [t.id for t in tokenize(c.decode())]
+            self[c] = pack(f"<{len(found)}I", *found)
+            held += len(c) + 4 * len(found)
+        self.held += held + ENTRY * len(plain)
+        if len(plain) == len(chunks):
+            return
         words = [c for c in chunks if c not in self and self.only_letters(c)]
         for at in range(0, len(words), 10_000):  # one call for many words is faster, if each is one word to the tokenizer
             part = words[at : at + 10_000]
@@ -140,7 +150,7 @@ def cuts(n: int, capacity: int, tail: int) -> Iterator[int]:
 
 
 def _pack(path: str, capacity: int, tail: int, remembered: int):
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, open_, out, made = tokens(path, remembered), defaultdict(list), [], [0]
         first = TaskContext.get().partitionId() << 36
 
@@ -180,7 +190,7 @@ def _pack(path: str, capacity: int, tail: int, remembered: int):
             close(bin_)
         yield flush()
 
-    return pack
+    return packed_pieces
 
 
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
