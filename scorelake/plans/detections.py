@@ -562,12 +562,13 @@ def _(spark, d):
 )
 def _(spark, d):
     b = t.boxes(spark, d)
-    dots = b.select("frame", F.expr("x1 % 400").alias("x")).distinct()
-    words = b.where("item % 4 = 0").select(
-        "frame", F.explode(F.expr("sequence(x0 - 9 - (x1 - x0) div 2, x0 + 9 + (x1 - x0) div 2)")).alias("x")
-    ).distinct()
+    at, cx, w = F.expr("x1 % 400"), F.col("x0"), F.col("x1") - F.col("x0")
+    word = F.when(F.col("frame").isNotNull() & F.expr("item % 4 = 0"), F.struct(cx.alias("cx"), w.alias("w")))
+    # a frame holds one image width of dots and of words a width; spreading words over pixels would be broadcast
+    frames = b.groupBy("frame").agg(F.collect_set(at).alias("dots"), F.collect_set(word).alias("words"))
+    taken = lambda x: F.exists("words", lambda o: F.abs(o["cx"] - x) <= 9 + F.floor(o["w"] / 2))
+    free = frames.select("frame", F.explode(F.filter("dots", lambda x: ~F.coalesce(taken(x), F.lit(False)))).alias("x"))
     beats = b.where("item % 4 <> 0").select("frame", F.col("x0").alias("bx")).distinct()
-    free = dots.join(words, ["frame", "x"], "left_anti")
     near = iv.within(free, beats, ["frame"], F.col("x") - 20, F.col("x") + 20, "bx", 41)
     return near.groupBy("frame", "x").agg(
         F.min_by("bx", F.struct(F.abs(F.col("bx") - F.col("x")), "bx")).alias("beat_x")
@@ -587,15 +588,17 @@ def _(spark, d):
 )
 def _(spark, d):
     b = t.boxes(spark, d)
-    rests = b.select("frame", F.expr("x1 % 400").alias("x"), F.expr("supp % 60").alias("y")).distinct()
-    rests = rests.where("not (y <= 5 or y + 12 >= 65)")
-    taken = b.select("frame", F.col("x0").alias("l")).distinct()
-    # greatest(x - (l + 10), l - (x + 8)) < 3 is x in (l - 11, l + 13)
-    hug = taken.select("frame", F.explode(F.expr("sequence(l - 10, l + 12)")).alias("x")).distinct()
-    ring = taken.select("frame", F.explode(F.expr("sequence(l, l + 6)")).alias("x"), F.lit(True).alias("c")).distinct()
-    return rests.join(hug, ["frame", "x"], "left_anti").join(ring, ["frame", "x"], "left").select(
-        "frame", "x", "y", F.coalesce("c", F.lit(False)).alias("circled")
+    rest = F.struct(F.expr("x1 % 400").alias("x"), F.expr("supp % 60").alias("y"))
+    # a frame holds one image width of numbers and of rests a height, so both meet in one row of it: nothing is spread
+    # over pixels and joined, which Spark would take for a small table and broadcast
+    frames = b.groupBy("frame").agg(
+        F.collect_set(F.when(F.expr("not (supp % 60 <= 5 or supp % 60 + 12 >= 65)"), rest)).alias("rests"),
+        F.collect_set(F.when(F.col("frame").isNotNull(), F.col("x0"))).alias("taken"),
     )
+    meets = lambda cond: F.coalesce(F.exists("taken", cond), F.lit(False))
+    kept = F.filter("rests", lambda r: ~meets(lambda l: F.greatest(r["x"] - (l + 10), l - (r["x"] + 8)) < 3))
+    circled = lambda r: meets(lambda l: (l <= r["x"]) & (l + 10 >= r["x"] + 4)).alias("circled")
+    return frames.select("frame", F.inline(F.transform(kept, lambda r: F.struct(r["x"].alias("x"), r["y"].alias("y"), circled(r)))))
 
 
 @register(

@@ -198,3 +198,11 @@ def test_beats_against_a_plain_loop(spark):
     df = spark.createDataFrame([("f", x) for x in xs], "frame string, x long")
     places = [r.places for r in clusters.beat_places(df, ["frame"], "x", 12).collect()]
     assert {p[0].x: sum(q.n for q in p) for p in places} == {g[0]: len(g) for g in groups}
+
+
+@pytest.mark.parametrize("name", ["jn21_dots_to_beats", "jn22_kept_rests"])
+def test_positions_spread_over_pixels_are_not_broadcast(spark, name):
+    """Each row spread over a band of pixels was estimated by the rows before, and sent whole through the driver."""
+    plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "sequence(" not in plan.replace("sequence(cast(FLOOR", "").replace("sequence(FLOOR", "")
+    assert "BroadcastExchange" not in plan or name != "jn22_kept_rests"
