@@ -206,3 +206,18 @@ def test_positions_spread_over_pixels_are_not_broadcast(spark, name):
     plan = entry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "sequence(" not in plan.replace("sequence(cast(FLOOR", "").replace("sequence(FLOOR", "")
     assert "BroadcastExchange" not in plan or name != "jn22_kept_rests"
+
+
+def test_a_stream_asks_its_store_by_cell_not_by_row(spark):
+    """Rows of a key at 200 times and in two batches: a few rows of state, one timer."""
+    folder = tempfile.mkdtemp(prefix="spark-")
+    rows = spark.range(200).select(F.lit(1).alias("k"), F.col("id").alias("t"), F.lit(0).alias("item"), (F.col("id") % 7 * 20.0).alias("value"), F.timestamp_millis("id").alias("ts"))
+    for part in (0, 1):
+        rows.where(f"t % 2 = {part}").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    source = streams.with_end(streams.table_stream(spark, f"{folder}/in"), "ts", 1000)
+    out = streams.stream_fold(source, "k", 1, ["t", "item", "value"], tracking.Segmenter, "a long, z long, n long")
+    query = out.writeStream.format("memory").queryName("few_calls").outputMode("append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    with streams.state_store(spark):
+        run = query.start()
+        run.awaitTermination()
+    assert 0 < max(o["numRowsTotal"] for p in run.recentProgress for o in p["stateOperators"]) <= 8
