@@ -37,8 +37,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and the sequences of 2048 tokens that they lie in. Workers have other stages' memory
-    to carry here, so they remember less than in a packing of its own."""
-    return packing.packed(docs, tokenizer_path(), remembered=32_000_000)
+    to carry here, so they remember less than in a packing of its own, and nothing after a task."""
+    return packing.packed(docs, tokenizer_path(), remembered=32_000_000, keep=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -117,13 +117,13 @@ def fitted(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     return Model(languages, code, weights.astype(np.float32), power, bias)
 
 
-def _predict(shared, margin: float):
+def _predict(shared, margin: float, at: int, first: int):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             n = batch.num_rows
             pred, score, doubt = ["und"] * n, [0.0] * n, [True] * n
-            for i, text in enumerate(batch.column(0)):
+            for i, text in enumerate(batch.column(at)):
                 text = text.as_py()
                 if not model.languages or text is None or not any(map(str.isalpha, text)):
                     continue
@@ -139,8 +139,8 @@ def _predict(shared, margin: float):
                 best = int(p.argmax())
                 pred[i], score[i] = model.languages[best], float(p[best])
                 doubt[i] = bool(len(p) > 1 and p[best] - np.partition(p, -2)[-2] < margin)
-            columns = batch.columns[1:] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(doubt)]
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[1:] + ["lang_pred", "score", "ambiguous"])
+            columns = batch.columns[first:] + [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(doubt)]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[first:] + ["lang_pred", "score", "ambiguous"])
 
     return predict
 
@@ -154,7 +154,9 @@ def identified(docs: DataFrame, model: Model, text: str = "text", margin: float
     docs = docs.drop("lang_pred", "score", "ambiguous")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.select(*docs.columns).schema.add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean")
-    return docs.select(F.col(text).alias("__text"), *docs.columns).mapInArrow(_predict(shared, margin), schema)
+    if text in docs.columns:  # one column of texts on the way, not two
+        return docs.mapInArrow(_predict(shared, margin, docs.columns.index(text), 0), schema)
+    return docs.select(F.col(text).alias("__text"), *docs.columns).mapInArrow(_predict(shared, margin, 0, 1), schema)
 
 
 def rejected() -> Column:

@@ -123,8 +123,11 @@ class Tokens(dict):
             self._keep(c, ids)
 
 
-def tokens(path: str, remembered: int) -> Tokens:
-    """The worker's own, kept from task to task."""
+def tokens(path: str, remembered: int, keep: bool = True) -> Tokens:
+    """The worker's own, kept from task to task, or the task's own, which is gone with it."""
+    if not keep:
+        KEPT.clear()
+        return Tokens(path, remembered)
     if (path, remembered) not in KEPT:
         KEPT.clear()
         KEPT[path, remembered] = Tokens(path, remembered)
@@ -149,9 +152,9 @@ def cuts(n: int, capacity: int, tail: int) -> Iterator[int]:
         yield last
 
 
-def _pack(path: str, capacity: int, tail: int, remembered: int):
+def _pack(path: str, capacity: int, tail: int, remembered: int, keep: bool):
     def packed_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, open_, out, made = tokens(path, remembered), defaultdict(list), [], [0]
+        known, open_, out, made = tokens(path, remembered, keep), defaultdict(list), [], [0]
         first = TaskContext.get().partitionId() << 36
 
         def close(pieces) -> None:
@@ -196,7 +199,7 @@ def _pack(path: str, capacity: int, tail: int, remembered: int):
 NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
 
-def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64, id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64, id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED, keep: bool = True) -> DataFrame:
     """One row per piece: (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), all long.
 
     A document is its text's ids and an end id, 1. Pieces of length n lie ``capacity // n`` to a sequence, in bins of
@@ -205,6 +208,7 @@ def packed(docs: DataFrame, tokenizer: str, capacity: int = 2048, tail: int = 64
     so a task that runs again gives the same ids; ``docs`` should be a table that is read, as its rows then have an
     order. Null texts are empty: one id. Repeated rows are packed once each. Other columns are left out.
     ``tokenizer``: the file of a public tokenizer, at the same path on all machines; a worker remembers some
-    ``remembered`` bytes of ids by chunk of text, or none, with a file whose rules for cutting aren't known (see ``loaded``)."""
+    ``remembered`` bytes of ids by chunk of text, or none, with a file whose rules for cutting aren't known (see ``loaded``).
+    Without ``keep`` it forgets them after each task, so that later stages find the memory free."""
     rows = docs.select(F.col(id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(_pack(tokenizer, capacity, tail, remembered), ", ".join(f"{n} long" for n in NAMES))
+    return rows.mapInArrow(_pack(tokenizer, capacity, tail, remembered, keep), ", ".join(f"{n} long" for n in NAMES))

@@ -330,3 +330,16 @@ def test_pipeline(spark, odd, none, tmp_path):
     taken = {r.doc_id: r["count"] for r in rows["mixing"].groupBy("doc_id").count().collect()}
     assert taken.keys() <= near and set(taken.values()) <= {1, 2}
     assert corpus_pipeline.run(spark, SMALL).count() == rows["packing"].count()
+
+
+def test_what_a_worker_of_the_pipeline_holds(spark, odd):
+    """Texts go to the classifier once, and the packing stage leaves no ids behind."""
+    from scorelake.llm.queries import tokenizer_path
+
+    model = language_id.fitted(odd)
+    plan = language_id.identified(odd, model)._jdf.queryExecution().executedPlan().toString()
+    assert "__text" not in plan
+    packing.tokens(tokenizer_path(), 1000)
+    assert packing.KEPT
+    packing.tokens(tokenizer_path(), 1000, keep=False).of(b"one two")
+    assert not packing.KEPT
