@@ -31,7 +31,7 @@ def grams(text: bytes) -> Iterator[np.ndarray]:
 
 def profile(text: bytes) -> np.ndarray:
     """Share of each trigram; trigrams of blanks alone don't count."""
-    n = sum(np.bincount(g, minlength=GRAMS) for g in grams(text))
+    n = sum((np.bincount(g, minlength=GRAMS) for g in grams(text)), np.zeros(GRAMS, np.int64))
     n[BLANK] = 0
     return n / max(1, n.sum())
 
