@@ -5,10 +5,10 @@ frame holds at most one image width of them however often a position repeats."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,7 +140,7 @@ def support(df: DataFrame, video: Sequence[str], frame: str, a: str, b: str) ->
     it; a detection is overlapped where the next span of its start begins at its end or before. Over all frames these
     are counted by pixels: each span adds one to the places from behind the span before it up to its own end. So a video
     is one table of at most as many counts as an image has places for starts and ends, summed up along both sides,
-    however many frames and detections there are."""
+    however many frames and detections there are. Videos travel as one row each, many to a batch."""
     keys = list(video)
     spans = merged(df, [*keys, frame], a, b).withColumnsRenamed({a: "_s", b: "_e"})
     w = Window.partitionBy(*keys, frame).orderBy("_s")
@@ -150,16 +150,29 @@ def support(df: DataFrame, video: Sequence[str], frame: str, a: str, b: str) ->
     steps = steps.groupBy(*keys, "_x", "_y").agg(F.sum("_by").alias("_by"))
     kinds = df.select(*keys, F.col(a).cast("long").alias("_x"), F.col(b).cast("long").alias("_y")).distinct().withColumn("_by", F.lit(None).cast("long"))
 
-    def counted(pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = pdf["_by"].isna()
-        steps, kinds = pdf[~asked], pdf[asked]
-        (xs, i), (ys, j) = (np.unique(steps[n], return_inverse=True) for n in ("_x", "_y"))
-        table = np.zeros((len(xs), len(ys)), np.int64)
-        np.add.at(table, (i, j), steps["_by"].to_numpy().astype(np.int64))
-        table = table.cumsum(0).cumsum(1)
-        at = (np.searchsorted(v, kinds[n], "right") - 1 for v, n in ((xs, "_x"), (ys, "_y")))
-        return kinds[[*keys, "_x", "_y"]].assign(frames=table[tuple(at)])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column("_rows")
+            ends = rows.offsets.to_numpy() - rows.offsets[0].as_py()
+            flat = rows.flatten()
+            x, y = (flat.field(n).to_numpy(zero_copy_only=False) for n in ("_x", "_y"))
+            by = flat.field("_by").fill_null(0).to_numpy(zero_copy_only=False)
+            asked = flat.field("_by").is_null().to_numpy(zero_copy_only=False)
+            frames = np.zeros(len(x), np.int64)
+            for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                kinds = np.flatnonzero(asked[lo:hi]) + lo
+                steps = np.flatnonzero(~asked[lo:hi]) + lo
+                (xs, i), (ys, j) = (np.unique(v[steps], return_inverse=True) for v in (x, y))
+                table = np.zeros((len(xs), len(ys)), np.int64)
+                np.add.at(table, (i, j), by[steps])
+                table = table.cumsum(0).cumsum(1)
+                at = (np.searchsorted(v, w[kinds], "right") - 1 for v, w in ((xs, x), (ys, y)))
+                frames[kinds] = table[tuple(at)]
+            video = pa.array(np.repeat(np.arange(len(rows)), np.diff(ends))[asked])
+            kept = [batch.column(k).take(video) for k in keys]
+            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v[asked]) for v in (x, y, frames))], names=[*keys, "_x", "_y", "frames"])
 
     names = [f"{f.name} {f.dataType.simpleString()}" for f in df.select(*keys).schema]
-    found = steps.select(*keys, "_x", "_y", "_by").union(kinds).groupBy(*keys).applyInPandas(counted, ", ".join([*names, "_x long", "_y long", "frames long"]))
+    tables = steps.select(*keys, "_x", "_y", "_by").union(kinds).groupBy(*keys).agg(F.collect_list(F.struct("_x", "_y", "_by")).alias("_rows"))
+    found = tables.mapInArrow(counted, ", ".join([*names, "_x long", "_y long", "frames long"]))
     return found.withColumnsRenamed({"_x": a, "_y": b})

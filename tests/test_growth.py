@@ -71,3 +71,28 @@ def test_the_step_of_an_onset_is_a_divisor_of_the_whole_note(spark):
     onsets = [0, 1, 5, 7, 12, 5040, 10080, 40320, 80640, 161280, 80639, 315]
     rows = spark.createDataFrame([(o,) for o in onsets], "o bigint").select("o", _step(F.col("o")).alias("s")).collect()
     assert all(r.s == math.gcd(r.o, timing.tk.TICKS) for r in rows)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_gaps_fold_the_voices_once(spark):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    plan = _plan(entry.queries()["win12_gap_rows"](spark, SMALL))
+    assert sum("aggregate(" in line for line in plan.splitlines()) == 1
+
+
+def test_videos_are_counted_many_to_a_batch(spark):
+    from scorelake.operators import intervals
+
+    rows = [(v, f, a, a + 3) for v in range(40) for f in range(5) for a in (f, 10 + v % 3, 30)]
+    df = spark.createDataFrame(rows, "v long, f long, a long, b long")
+    got = intervals.support(df, ["v"], "f", "a", "b")
+    assert "FlatMapGroups" not in _plan(got)
+    want = {
+        (v, a, b): len({f for w, f, x, y in rows if w == v and x <= b and a <= y}) for v, _, a, b in rows
+    }
+    assert {(r.v, r.a, r.b): r.frames for r in got.collect()} == want
