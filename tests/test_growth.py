@@ -96,3 +96,16 @@ def test_videos_are_counted_many_to_a_batch(spark):
         (v, a, b): len({f for w, f, x, y in rows if w == v and x <= b and a <= y}) for v, _, a, b in rows
     }
     assert {(r.v, r.a, r.b): r.frames for r in got.collect()} == want
+
+
+def test_cut_rows_are_dealt_by_their_number(spark, monkeypatch):
+    from scorelake.operators import ordered
+
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 8)
+    monkeypatch.setattr(ordered, "ROWS_PER_TASK", 16)
+    rows = spark.range(4000).selectExpr("id % 500 k", "id")
+    got = ordered.scan(rows, "k", ["id", "id"], {"n": ordered.row_number()}, keep=True)
+    tasks = got.schema[ordered.CHUNK].metadata["tasks"]
+    assert 100 < tasks < 500 and got.rdd.getNumPartitions() == tasks  # 250, give or take what marks tell
+    assert ordered.chunked(got, ["k"], ["id"]) is got  # an order column that is named twice counts once
+    assert {(r.k, r.id, r.n) for r in got.collect()} == {(i % 500, i, i // 500 + 1) for i in range(4000)}
