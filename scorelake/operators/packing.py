@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.operators.ordered import following, latest, previous, running_sum, scan, upcoming
+from scorelake.operators.ordered import CHUNK, by_rows, cut_columns, following, latest, previous, running_sum, scan, upcoming
 from scorelake.session import checkpoint_folder
 
 
@@ -132,17 +132,19 @@ def packed_pages(df: DataFrame, keys: Sequence[str], order: str, size: str, heig
     keys, stretch = list(keys), stretch or STRETCH
     checkpoint_folder(df.sparkSession)
     one = F.lit(1).cast("long")
-    placed = scan(df.select(*keys, order, F.col(size).cast("long").alias("_size")), keys, order, {"_n": running_sum(one, False), "_sum": running_sum(F.col("_size"), False)})
-    placed = placed.withColumn("_top", F.col("_sum") + F.col("_n") * gap)
+    sized = df.select(*cut_columns(df), *keys, order, F.col(size).cast("long").alias("_size"))
+    placed = scan(sized, keys, order, {"_n": running_sum(one, False), "_sum": running_sum(F.col("_size"), False)}, keep=True)
+    placed = placed.withColumn("_top", F.col("_sum") + F.col("_n") * gap).drop("_sum").checkpoint()  # read four times
     ends = placed.select(*keys, (F.col("_top") + F.col("_size")).alias("_v"), F.lit(0).alias("_limit"), "_n")
     limits = placed.select(*keys, (F.col("_top") + height).alias("_v"), F.lit(1).alias("_limit"), "_n")
-    after = scan(ends.union(limits), keys, ["_v", "_limit", "_n"], {"_to": upcoming(F.when(F.col("_limit") == 0, F.col("_n")))})
+    after = scan(ends.union(limits), keys, ["_v", "_limit", "_n"], {"_to": upcoming(F.when(F.col("_limit") == 0, F.col("_n")))}, keep=True)
     to = F.coalesce(F.greatest("_to", F.when(F.col("_to").isNotNull(), F.col("_n") + 1)), F.lit(NOWHERE))
-    links = after.where("_limit = 1").select(*keys, "_n", to.alias("_to"), F.floor(F.col("_n") / stretch).alias("_stretch")).checkpoint()
+    links = after.where("_limit = 1").select(*cut_columns(after), *keys, "_n", to.alias("_to"), F.floor(F.col("_n") / stretch).alias("_stretch")).checkpoint()
 
     key_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in links.select(*keys).schema)
     entered = links.where((F.col("_to") < NOWHERE) & (F.floor(F.col("_to") / stretch) > F.col("_stretch"))).select(*keys, F.col("_to").alias("_n")).distinct()
-    entries = links.join(entered.withColumn("_in", F.lit(True)), [*keys, "_n"], "left")
+    spread, links = by_rows(links, [*keys, "_n"]).drop(*cut_columns(links)), links.drop(*cut_columns(links))
+    entries = spread.join(entered.withColumn("_in", F.lit(True)), [*keys, "_n"], "left")
 
     def crossed(pdf: pd.DataFrame) -> pd.DataFrame:
         s = Stretches(pdf, keys)
@@ -167,7 +169,7 @@ def packed_pages(df: DataFrame, keys: Sequence[str], order: str, size: str, heig
         found, page = s.walked(at, s.rows["_page"].to_numpy()[at].astype(np.int64))
         return s.rows[[*keys, "_n"]].iloc[found].assign(_page=page)
 
-    starts = links.join(seen, [*keys, "_n"], "left").groupBy(calls).applyInPandas(walked, f"{key_types}, _n long, _page long")
-    opened = placed.join(starts, [*keys, "_n"], "left").withColumn("_first", F.when(F.col("_page").isNotNull(), F.struct("_page", "_top")))
-    out = scan(opened, keys, order, {"_on": latest(F.col("_first"))})
+    starts = spread.join(seen, [*keys, "_n"], "left").groupBy(calls).applyInPandas(walked, f"{key_types}, _n long, _page long")
+    opened = by_rows(placed, [*keys, "_n"]).join(starts, [*keys, "_n"], "left").withColumn("_first", F.when(F.col("_page").isNotNull(), F.struct("_page", "_top")))
+    out = scan(by_rows(opened, [*keys, CHUNK]), keys, order, {"_on": latest(F.col("_first"))})
     return out.select(*keys, order, F.col("_on._page").alias("page"), (F.col("_top") - F.col("_on._top")).alias("at"))

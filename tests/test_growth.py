@@ -109,3 +109,11 @@ def test_cut_rows_are_dealt_by_their_number(spark, monkeypatch):
     assert 100 < tasks < 500 and got.rdd.getNumPartitions() == tasks  # 250, give or take what marks tell
     assert ordered.chunked(got, ["k"], ["id"]) is got  # an order column that is named twice counts once
     assert {(r.k, r.id, r.n) for r in got.collect()} == {(i % 500, i, i // 500 + 1) for i in range(4000)}
+
+
+def test_placed_items_are_worked_out_once(spark):
+    from scorelake.operators import packing
+
+    df = spark.range(50).selectExpr("id % 5 k", "id", "id % 7 size")
+    plan = _plan(packing.packed_pages(df, ["k"], "id", "size", 20, 1))
+    assert "Range" not in plan and "LogicalRDD" in plan
