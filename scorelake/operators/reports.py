@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import ticks as tk
+from scorelake.operators.ordered import by_rows, cut_columns
 
 c = F.col
 
@@ -130,6 +131,20 @@ def matched(truth: DataFrame, found: DataFrame, key: Sequence[str]) -> DataFrame
     )
 
 
+def exact_groups(rows: DataFrame, group: Sequence[str], item: Sequence[str], truth: Column, found: Column) -> DataFrame:
+    """(group, e): whether the items of truth and those found are the same set. ``rows`` hold both sides, each row with
+    the struct of ``item`` as ``truth`` and as ``found``, null where a side lacks it: so rows are read once and nothing
+    is joined. An item with a null is equal to none."""
+    side = lambda s, g: F.when(s.isNotNull(), F.struct(s.alias("i"), F.lit(g).alias("g")))
+    both = rows.select(*cut_columns(rows), *group, F.explode(F.array_compact(F.array(side(truth, True), side(found, False)))).alias("x"))
+    both = by_rows(both, group).select(*group, *(c("x.i")[n].alias(n) for n in item), c("x.g").alias("_g"))
+    known = F.lit(True)
+    for n in item:
+        known = known & c(n).isNotNull()
+    items = both.groupBy(*group, *item).agg((F.bool_or("_g") & F.bool_or(~c("_g"))).alias("_both"))
+    return items.groupBy(*group).agg(F.bool_and(c("_both") & known).alias("e"))
+
+
 def multiset_intersection(a: DataFrame, b: DataFrame, group: Sequence[str], item: Sequence[str]) -> DataFrame:
     """Size of the multiset intersection of two row sets per group."""
     x = a.groupBy(*group, *item).agg(F.count("*").alias("_a"))

@@ -117,3 +117,17 @@ def test_placed_items_are_worked_out_once(spark):
     df = spark.range(50).selectExpr("id % 5 k", "id", "id % 7 size")
     plan = _plan(packing.packed_pages(df, ["k"], "id", "size", 20, 1))
     assert "Range" not in plan and "LogicalRDD" in plan
+
+
+def test_exact_groups_read_rows_once(spark):
+    from scorelake.operators import reports
+
+    rows = [(1, "a", "a"), (1, "b", "b"), (2, "a", "b"), (2, "b", "a"), (3, "a", None), (4, "a", "b"), (5, None, None)]
+    df = spark.createDataFrame(rows, "p long, x string, y string")
+    side = lambda n: F.when(F.col(n).isNotNull(), F.struct(F.col(n).alias("x")))
+    got = reports.exact_groups(df, ["p"], ["x"], side("x"), side("y"))
+    assert {(r.p, r.e) for r in got.collect()} == {(1, True), (2, True), (3, False), (4, False)}
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    assert "Join" not in _plan(entry.queries()["ev11_exact_measures"](spark, SMALL))
