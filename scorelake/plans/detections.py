@@ -11,6 +11,7 @@ from scorelake.operators import sampling, segments
 from scorelake.operators.ordered import previous, row_number, running_sum, scan
 from scorelake.plans.registry import register, sql
 from scorelake.plans.sequences import PERIODS_SQL, highlight_spans
+from scorelake.session import checkpoint_folder
 from scorelake.sources import tables as t
 
 
@@ -665,9 +666,10 @@ def _(spark, d):
 )
 def _(spark, d):
     n = t.notes(spark, d)
-    bars = n.select("piece", F.expr("fret * 4").alias("x")).distinct()
+    checkpoint_folder(spark)  # both are read several times, also by jobs that look for cut marks
+    bars = n.select("piece", F.expr("fret * 4").alias("x")).distinct().checkpoint()
     periods = segments.highlight_periods(highlight_spans(spark, d), ["piece"], "pos", "pos", "a", "b")
-    kinds = periods.select("piece", "x0", "x1").distinct()
+    kinds = periods.select("piece", "x0", "x1").distinct().checkpoint()
     lit = iv.snap(kinds, bars, ["piece"], 10).where("right_x - left_x >= 20").select(
         "piece", F.col("left_x").alias("a"), F.col("right_x").alias("b"), F.lit(True).alias("highlighted")
     ).distinct()

@@ -131,3 +131,10 @@ def test_exact_groups_read_rows_once(spark):
     from conftest import SMALL
 
     assert "Join" not in _plan(entry.queries()["ev11_exact_measures"](spark, SMALL))
+
+
+def test_periods_of_screens_are_worked_out_once(spark):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    assert "l_orderkey" not in _plan(entry.queries()["seq23_screen_measures"](spark, SMALL))
