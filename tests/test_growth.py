@@ -138,3 +138,26 @@ def test_periods_of_screens_are_worked_out_once(spark):
     from conftest import SMALL
 
     assert "l_orderkey" not in _plan(entry.queries()["seq23_screen_measures"](spark, SMALL))
+
+
+def test_pieces_of_one_shape_are_aligned_together():
+    import random
+
+    from scorelake.operators import alignment as al
+
+    dice = random.Random(5)
+    measure = lambda: [dice.choice("abcd") for _ in range(dice.randint(0, 4))]
+    pieces = [([measure() for _ in range(dice.randint(1, 4))], [measure() for _ in range(dice.randint(1, 4))]) for _ in range(300)]
+    kind = pa.list_(pa.list_(pa.string()))
+    gs, ps = (pa.array([x[k] for x in pieces], kind) for k in (0, 1))
+    got = {}
+    steps = 0
+    for at, g, r in al.solve_many(gs.slice(7), ps.slice(7)):  # slices, as their offsets don't begin at 0
+        steps += 1
+        for k, x, y in zip(at.tolist(), g.tolist(), r.tolist(), strict=True):
+            got.setdefault(k + 7, []).append((None if x < 0 else x, None if y < 0 else y))
+    for k, (a, b) in enumerate(pieces[7:], 7):
+        _, moves = al.solve_block(a, b, al._gaps(0, len(b)), al._gaps(0, len(a)))
+        out, i, j = al.walk_back(moves, len(a), len(b))
+        assert got[k] == out + [(x, None) for x in range(i - 1, -1, -1)] + [(None, x) for x in range(j - 1, -1, -1)]
+    assert steps <= 16 * 8  # not one for each piece
