@@ -172,11 +172,18 @@ def visible_tempo(df: DataFrame, piece: str, hidden: Column, value: str, order:
 
 
 
+def _read_measures(df: DataFrame, xml: str, schema: str) -> DataFrame:
+    """``df`` with the measure ``_m`` of each text that is one. The test is made inside the generator: as a filter behind
+    a projection it would move before it, and the text would be parsed once for each field that the test looks at."""
+    m = F.from_xml(xml, schema, {"columnNameOfCorruptRecord": "_bad", "rowTag": "measure"})
+    good = F.filter(F.array(m), lambda m: m["_bad"].isNull() & m["_number"].isNotNull())
+    return df.select("*", F.explode(good).alias("_m"))
+
+
 def parse_measures(df: DataFrame, xml: str) -> DataFrame:
     """Measures from XML text; text that does not parse is dropped."""
     schema = "struct<_number:bigint,note:array<struct<duration:bigint,pitch:struct<step:string,octave:bigint>>>,_bad:string>"
-    m = F.from_xml(xml, schema, {"columnNameOfCorruptRecord": "_bad", "rowTag": "measure"})
-    parsed = df.withColumn("_m", m).where(c("_m._bad").isNull() & c("_m._number").isNotNull())
+    parsed = _read_measures(df, xml, schema)
     keep = [x for x in df.columns if x != xml]
     return parsed.select(
         *keep, c("_m._number").alias("number"), F.size("_m.note").cast("bigint").alias("notes"),
@@ -202,7 +209,6 @@ def measures_in_force(df: DataFrame, piece: str, order: Sequence[str], xml: str)
     notes (chords and graces add none, other voices run beside the first) are parts of a quarter that ``divisions``
     in force tells, so ``ticks`` is null where they don't come out even; divisions that never were given are 1.
     Where a measure gives an attribute more than once, the last one counts; clefs are told apart by their number."""
-    m = F.from_xml(xml, MEASURE_XML, {"columnNameOfCorruptRecord": "_bad", "rowTag": "measure"})
     given = lambda get: F.try_element_at(F.filter(F.transform("_m.attributes", get), lambda v: v.isNotNull()), F.lit(-1))
     clefs = F.flatten(F.filter(F.transform("_m.attributes", lambda a: a["clef"]), lambda v: v.isNotNull()))
     clef = lambda k: F.try_element_at(F.transform(F.filter(clefs, lambda v: F.coalesce(v["_number"], F.lit(1)) == k), lambda v: F.concat(v["sign"], F.coalesce(v["line"].cast("string"), F.lit("")))), F.lit(-1))
@@ -212,8 +218,7 @@ def measures_in_force(df: DataFrame, piece: str, order: Sequence[str], xml: str)
     }
     sounding = F.filter("_m.note", lambda n: n["chord"].isNull() & n["grace"].isNull() & (F.coalesce(n["voice"], F.lit(1)) == 1))
     units = F.aggregate(F.coalesce(sounding, F.array()), F.lit(0).cast("long"), lambda a, n: a + F.coalesce(n["duration"], F.lit(0)))
-    rows = df.withColumn("_m", m).where(c("_m._bad").isNull() & c("_m._number").isNotNull())
-    rows = rows.select(piece, *order, *(v.alias(f"_{k}") for k, v in own.items()), F.coalesce(F.size("_m.note"), F.lit(0)).cast("long").alias("notes"), units.alias("_units"))
+    rows = _read_measures(df, xml, MEASURE_XML).select(piece, *order, *(v.alias(f"_{k}") for k, v in own.items()), F.coalesce(F.size("_m.note"), F.lit(0)).cast("long").alias("notes"), units.alias("_units"))
     outs = {"number": row_number()} | {k: latest(c(f"_{k}")) for k in IN_FORCE} | {f"_was_{k}": latest(c(f"_{k}"), False) for k in IN_FORCE}
     rows = scan(rows, piece, order, outs)
     changed = F.array_compact(F.array(*[F.when(c(f"_{k}").isNotNull() & ~c(f"_{k}").eqNullSafe(c(f"_was_{k}")), k) for k in IN_FORCE]))

@@ -161,3 +161,12 @@ def test_pieces_of_one_shape_are_aligned_together():
         out, i, j = al.walk_back(moves, len(a), len(b))
         assert got[k] == out + [(x, None) for x in range(i - 1, -1, -1)] + [(None, x) for x in range(j - 1, -1, -1)]
     assert steps <= 16 * 8  # not one for each piece
+
+
+def test_measures_are_parsed_once(spark):
+    from scorelake.sources import documents
+
+    df = spark.createDataFrame([(1, '<measure number="1"/>'), (2, "<measure")], "k long, x string")
+    for got in (documents.parse_measures(df, "x"), documents.measures_in_force(df, "k", ["k"], "x")):
+        assert _plan(got).lower().count("from_xml(") + _plan(got).lower().count("xmltostructs(") == 1
+        assert [r.number for r in got.collect()] == [1]
