@@ -21,9 +21,12 @@ BEND_UNIT = 50.0
 STACCATO = 1
 
 PROPERTY = "struct<_name:string,String:string,Fret:string,Float:string,Flags:string,HType:string,HFret:string,Number:string,Pitches:string,_VALUE:string>"
-DOCUMENT = f"""struct<
+TRACKS = f"""
     MasterTrack:struct<Automations:struct<Automation:array<struct<Type:string,Visible:string,Value:string>>>>,
-    Tracks:struct<Track:array<struct<Name:string,Properties:struct<Property:array<{PROPERTY}>>>>>,
+    Tracks:struct<Track:array<struct<Name:string,Properties:struct<Property:array<{PROPERTY}>>>>>"""
+# What tells of the tracks alone; the whole text must still be a document, but no element of the id tables is made.
+HEAD = f"struct<{TRACKS},MasterBars:struct<_id:string>,_bad:string>"
+DOCUMENT = f"""struct<{TRACKS},
     MasterBars:struct<MasterBar:array<struct<Time:string,Bars:string>>>,
     Bars:struct<Bar:array<struct<_id:string,Voices:string>>>,
     Voices:struct<Voice:array<struct<_id:string,Beats:string>>>,
@@ -49,13 +52,17 @@ def number(text: Column) -> Column:
     return F.coalesce(text.try_cast("double"), F.lit(0.0))
 
 
+def _read(df: DataFrame, text: str, schema: str) -> DataFrame:
+    doc = F.from_xml(text, schema, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"})
+    found = df.withColumn("doc", doc).withColumn("doc", F.when(c("doc._bad").isNull() & c("doc.MasterBars").isNotNull(), c("doc")))
+    return found.drop(text)
+
+
 def parsed(df: DataFrame, text: str) -> DataFrame:
     """``df`` with its XML ``text`` parsed once into ``doc``; documents that don't parse have a null. Kept as a
     checkpoint, as seven tables are made of it."""
     checkpoint_folder(df.sparkSession)
-    doc = F.from_xml(text, DOCUMENT, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "ignoreSurroundingSpaces": "true"})
-    found = df.withColumn("doc", doc).withColumn("doc", F.when(c("doc._bad").isNull() & c("doc.MasterBars").isNotNull(), c("doc")))
-    return found.drop(text).checkpoint()
+    return _read(df, text, DOCUMENT).checkpoint()
 
 
 def part(docs: DataFrame, key: Sequence[str], path: str, *columns: Column) -> DataFrame:
@@ -63,25 +70,45 @@ def part(docs: DataFrame, key: Sequence[str], path: str, *columns: Column) -> Da
     return docs.select(*key, F.posexplode(f"doc.{path}").alias("at", "e")).select(*key, c("at"), *columns)
 
 
-def tracks(docs: DataFrame, key: Sequence[str], name: str) -> DataFrame:
-    """(key, place, tuning, strings, tempo) of the first track of this name in each document that has one.
+def _place(name: str) -> Column:
+    return (F.array_position(F.transform("doc.Tracks.Track", lambda t: t["Name"]), name) - 1).cast("int")
 
-    The tempo is that of the first visible mark, else of the first mark."""
-    found = docs.withColumn("place", F.array_position(F.transform("doc.Tracks.Track", lambda t: t["Name"]), name) - 1).where("place >= 0")
+
+def _head(place: Column) -> dict[str, Column]:
     marks = F.filter("doc.MasterTrack.Automations.Automation", lambda a: a["Type"] == "Tempo")
     shown = F.filter(marks, lambda a: ~a["Visible"].eqNullSafe("false"))
     mark = F.get(F.when(F.size(shown) > 0, shown).otherwise(marks), F.lit(0))["Value"]
-    pitches = named(F.get("doc.Tracks.Track", c("place").cast("int"))["Properties"]["Property"], "Tuning")
+    pitches = named(F.get("doc.Tracks.Track", place)["Properties"]["Property"], "Tuning")
     tuning = F.transform(ids(pitches), lambda x: x.cast("bigint"))
     tempo = F.floor(number(F.get(F.split(mark, " "), F.lit(0))))
-    return found.select(*key, c("place").cast("int").alias("place"), tuning.alias("tuning"), F.size(tuning).cast("bigint").alias("strings"), F.when(mark.isNotNull(), tempo).alias("tempo"))
+    return {"tuning": tuning, "strings": F.size(tuning).cast("bigint"), "tempo": F.when(mark.isNotNull(), tempo)}
+
+
+def _lost(name: str) -> Column:
+    """Why a document has no such track; null where it has one."""
+    names = F.coalesce(F.transform("doc.Tracks.Track", lambda t: t["Name"]), F.array().cast("array<string>"))
+    lacks = F.concat(F.lit(f"no track {name!r} in "), F.array_join(names, ", "))
+    return F.when(c("doc").isNull(), "not a document").when(~F.coalesce(F.array_contains(names, name), F.lit(False)), lacks)
+
+
+def tracks(docs: DataFrame, key: Sequence[str], name: str) -> DataFrame:
+    """(key, place, tuning, strings, tempo) of the first track of this name in each document that has one.
+
+    The tempo is that of the first visible mark, else of the first mark."""
+    found = docs.withColumn("place", _place(name)).where("place >= 0")
+    return found.select(*key, "place", *(v.alias(k) for k, v in _head(c("place")).items()))
 
 
 def without_track(docs: DataFrame, key: Sequence[str], name: str) -> DataFrame:
     """(key, reason) of the documents that have no such track, or don't parse."""
-    names = F.coalesce(F.transform("doc.Tracks.Track", lambda t: t["Name"]), F.array().cast("array<string>"))
-    lost = docs.where(c("doc").isNull() | ~F.array_contains(names, name))
-    return lost.select(*key, F.when(c("doc").isNull(), "not a document").otherwise(F.concat(F.lit(f"no track {name!r} in "), F.array_join(names, ", "))).alias("reason"))
+    return docs.select(*key, _lost(name).alias("reason")).where(c("reason").isNotNull())
+
+
+def heads(df: DataFrame, key: Sequence[str], text: str, name: str) -> DataFrame:
+    """(key, tuning, strings, tempo, reason): ``tracks`` and ``without_track`` of XML texts as one row for each, in one pass
+    that makes no element of the id tables and keeps nothing."""
+    docs = _read(df, text, HEAD).withColumns({"place": _place(name), "reason": _lost(name)})
+    return docs.select(*key, *(F.when(c("place") >= 0, v).alias(k) for k, v in _head(c("place")).items()), "reason")
 
 
 def flag(value: Column, names: dict[int, str]) -> Column:

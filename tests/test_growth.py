@@ -170,3 +170,33 @@ def test_measures_are_parsed_once(spark):
     for got in (documents.parse_measures(df, "x"), documents.measures_in_force(df, "k", ["k"], "x")):
         assert _plan(got).lower().count("from_xml(") + _plan(got).lower().count("xmltostructs(") == 1
         assert [r.number for r in got.collect()] == [1]
+
+
+ODD_PARTS = (
+    "", "<MasterBars/>", "<MasterBars>text</MasterBars>", "<MasterBars><Other>1</Other></MasterBars>", "<MasterBars><MasterBar/></MasterBars><Notes>&bad;</Notes>",
+    "<MasterBars><MasterBar/></MasterBars><Notes><Note>", "<MasterBars><MasterBar/></MasterBars><Notes><Note><Tie>abc</Tie></Note></Notes>",
+)
+
+
+def test_heads_of_tracks_are_read_in_one_pass_without_the_id_tables(spark):
+    from scorelake.sources import linked
+
+    track = lambda n: f'<Tracks><Track><Name>{n}</Name><Properties><Property name="Tuning"><Pitches>40 45</Pitches></Property></Properties></Track></Tracks>'
+    texts = [None, "x", "<GPIF><Tracks><Track><Name>Solo</Name></Track><Track/></Tracks><MasterBars/></GPIF>", *(f"<GPIF>{track(n)}{x}</GPIF>" for n in ("Lead", "Solo") for x in ODD_PARTS)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, x string")
+    got = linked.heads(df, ["id"], "x", "Lead")
+    plan = _plan(got)
+    assert plan.lower().count("from_xml(") + plan.lower().count("xmltostructs(") == 1 and "Rhythm" not in plan
+    docs = linked.parsed(df, "x")
+    want = [(r.id, r.tuning, r.strings, r.tempo, None) for r in linked.tracks(docs, ["id"], "Lead").collect()]
+    want += [(r.id, None, None, None, r.reason) for r in linked.without_track(docs, ["id"], "Lead").collect()]
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_notes_of_a_piece_are_grouped_once_while_short(spark):
+    from conftest import SMALL
+
+    from scorelake.plans import inputs
+
+    for made in (inputs.linked_documents, inputs.song_documents):
+        assert sum(line.lstrip(" :+-").startswith("Aggregate [") and "collect_list" in line for line in _plan(made(spark, SMALL)).splitlines()) == 1
