@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.operators.ordered import CHUNK, LAST, WHOLE, chunked, spread_over
+from scorelake.operators.ordered import CHUNK, LAST, WHOLE, chunked, spread_over, tasks_of
 from scorelake.session import checkpoint_folder
 
 
@@ -72,22 +72,28 @@ def fold(
     make: Callable[[str | None], Fold],
     schema: str,
     rows: int | None = None,
+    keep: bool = False,
 ) -> DataFrame:
     """Folds the rows of each key in order; ``make(state)`` builds the fold, which gets the
-    values of ``cols`` and returns rows of ``schema`` (without the keys)."""
+    values of ``cols`` and returns rows of ``schema`` (without the keys). ``keep`` adds the number of the chunk
+    that gave a row."""
     keys, order, cols = list(keys), list(order), list(cols)
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     key_types = ", ".join(f"{k} {types[k]}" for k in keys)
     nkeys = len(keys)
-    names = [*keys, *[p.strip().split(" ")[0] for p in schema.split(",")]]
+    nhead = nkeys + keep
+    names = [*keys, *[CHUNK] * keep, *[p.strip().split(" ")[0] for p in schema.split(",")]]
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pending: list[tuple] = []
         for at, last, _used, f, out in _groups(batches, nkeys, make):
-            key = at[:nkeys]
+            key = at[:nhead]
             pending += [(*key, *o) for o in out]
-            if last:
-                pending += [(*key, *o) for o in f.end()]
+            for o in f.end() if last else ():
+                pending.append((*key, *o))
+                if len(pending) > 20_000:
+                    yield _frame(pending, names)
+                    pending = []
             if len(pending) > 20_000:
                 yield _frame(pending, names)
                 pending = []
@@ -102,17 +108,17 @@ def fold(
         yield _frame(done, [*keys, CHUNK, "_used", "_out"])
 
     cut = chunked(df, keys, order, rows)
-    whole = WHOLE in cut.columns
+    whole, tasks = WHOLE in cut.columns, tasks_of(cut)
     if whole:
         cut = cut.withColumns({CHUNK: F.lit(-1), LAST: F.lit(True)})
     fields = [*keys, CHUNK, LAST]
     base = cut.select(*fields, *dict.fromkeys([*order, *cols]))
 
-    def laid_out(d: DataFrame) -> DataFrame:
-        spread = spread_over(d, [*keys, CHUNK]).sortWithinPartitions(*keys, CHUNK, *order)
+    def laid_out(d: DataFrame, most: int = 0) -> DataFrame:
+        spread = spread_over(d, [*keys, CHUNK], most).sortWithinPartitions(*keys, CHUNK, *order)
         return spread.select(*fields, "_in", *[F.col(c).alias(f"_v{i}") for i, c in enumerate(cols)])
 
-    out_schema = f"{key_types}, {schema}"
+    out_schema = f"{key_types}, {CHUNK} int, {schema}" if keep else f"{key_types}, {schema}"
     no_state = F.lit(None).cast("string").alias("_in")
     if whole:
         return laid_out(base.select("*", no_state)).mapInPandas(emit, out_schema)
@@ -120,18 +126,19 @@ def fold(
     checkpoint_folder(df.sparkSession)
     end_schema = f"{key_types}, {CHUNK} int, _used string, _out string"
     split = base.where(F.col(CHUNK) >= 0)
-    ends = laid_out(split.select("*", no_state)).mapInPandas(finish, end_schema).checkpoint()
+    ends = laid_out(split.select("*", no_state), tasks).mapInPandas(finish, end_schema).checkpoint()
     over = Window.partitionBy(*keys).orderBy(CHUNK)
     while True:
         need = ends.select(*keys, CHUNK, "_used", F.lag("_out").over(over).alias("_in"))
         todo = need.where(~F.col("_in").eqNullSafe(F.col("_used"))).select(*keys, CHUNK, "_in")
         if todo.isEmpty():
             break
-        again = laid_out(split.join(F.broadcast(todo), [*keys, CHUNK])).mapInPandas(finish, end_schema)
+        again = laid_out(split.join(F.broadcast(todo), [*keys, CHUNK]), tasks).mapInPandas(finish, end_schema)
         ends = ends.join(todo, [*keys, CHUNK], "left_anti").unionByName(again).checkpoint()
     states = ends.select(*keys, CHUNK, F.col("_used").alias("_in"))
     ready = base.join(F.broadcast(states), [*keys, CHUNK], "left")
-    return laid_out(ready).mapInPandas(emit, out_schema)
+    out = laid_out(ready).mapInPandas(emit, out_schema)
+    return out.withMetadata(CHUNK, {"tasks": tasks}) if keep else out
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

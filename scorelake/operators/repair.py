@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
+from array import array
+from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.fold import Fold, fold
+from scorelake.operators.ordered import apart, backwards
 
 # Votes count in 2000ths, so that a vote against (half as heavy) is whole too.
 JUMP = 5000
@@ -64,20 +67,38 @@ class Backward(Fold):
         return [(i, i + self.s[0])]
 
 
+class Whole(Fold):
+    """Both ways over a key that was not cut: three whole numbers a place are kept in between."""
+
+    def __init__(self, state: str | None = None):
+        super().__init__(state)
+        self.ahead, self.kept = Forward(), array("q")
+
+    def row(self, i, vote, weight):
+        _, best, since = self.ahead.row(i, vote, weight)[0]
+        self.kept.extend((i, 1 if best is None else best, since))
+        return []
+
+    def end(self) -> Iterator[tuple]:
+        back = Backward()
+        for k in range(len(self.kept) - 3, -1, -3):
+            yield back.row(*self.kept[k : k + 3])[0]
+
+
 def repaired_numbers(df: DataFrame, keys: list[str], place: str, number: str, conf: str) -> DataFrame:
     """``(place, number)`` with numbers in step with the places. Readings below confidence 0.5 do
-    not vote; places count from 0. Both folds hand on little: offsets within the cost of a change of the best, and one
-    offset on the way back."""
+    not vote; places count from 0. Keys that were not cut are read once, both ways. For the others both folds hand on
+    little: offsets within the cost of a change of the best, and one offset on the way back."""
     sure = F.col(conf) >= 0.5
     votes = df.withColumns({
         "_vote": F.when(sure, F.col(number)),
         "_w": F.bround(F.col(conf) * 1000, 0).cast("long") * 2,
     })
-    ahead = fold(
-        votes, keys, [place], [place, "_vote", "_w"], Forward,
-        f"{place} bigint, best bigint, since bigint",
-    )
-    back = ahead.withColumn("_rev", -F.col(place))
-    return fold(
-        back, keys, ["_rev"], [place, "best", "since"], Backward, f"{place} bigint, number bigint"
-    )
+    short, long = apart(votes, keys, place)
+    numbers, seen = f"{place} bigint, number bigint", [place, "_vote", "_w"]
+    done = fold(short, keys, [place], seen, Whole, numbers)
+    if long is None:
+        return done
+    ahead = fold(long, keys, [place], seen, Forward, f"{place} bigint, best bigint, since bigint", keep=True)
+    back = backwards(ahead.withColumn("_rev", -F.col(place)), keys, ["_rev"])
+    return done.unionByName(fold(back, keys, ["_rev"], [place, "best", "since"], Backward, numbers))

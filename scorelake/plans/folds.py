@@ -169,14 +169,15 @@ def _(spark, d):
 
 
 def sightings(spark, d):
-    n = t.notes(spark, d).select(
-        "piece", "pos", F.expr("pos div 3").alias("screen"), F.expr("string_ * 60").alias("x0"),
+    notes = t.notes(spark, d)
+    n = notes.select(
+        *ordered.relabelled(notes, "piece", "pos"), "piece", "pos", F.expr("pos div 3").alias("screen"), F.expr("string_ * 60").alias("x0"),
         F.expr("string_ * 60 + 20 + fret * 2").alias("x1"), (c("pos") * 2.0).alias("start"),
         F.expr("cast(pos * 2 + 0.5 + qty / 20.0 as double)").alias("end"), F.expr("partkey % 3 <> 0").alias("complete"),
         F.expr("qty % 3 > 0").alias("lit"), F.expr("shiftleft(255L, cast(partkey % 3 * 8 as int)) | shiftleft(1L, cast(suppkey % 60 as int))").alias("sig"),
     )
     spans = n.select(F.expr("piece div 50").alias("job"), (c("end") - c("start")).alias("len"))
-    typical = ordered.median(spans, ["job"], "len", "typical")
+    typical = ordered.median(spans, ["job"], "len", "typical").checkpoint()
     return n.withColumn("job", F.expr("piece div 50")).join(typical, "job")
 
 
@@ -241,8 +242,9 @@ def _(spark, d):
     ).replace("with ", "with recursive ", 1),
 )
 def _(spark, d):
-    n = t.notes(spark, d).select(
-        "piece", (c("pos") - 1).alias("place"),
+    notes = t.notes(spark, d)
+    n = notes.select(
+        *ordered.relabelled(notes, "piece", "place"), "piece", (c("pos") - 1).alias("place"),
         F.expr("case when partkey % 4 <> 0 then pos + 10 + case when suppkey % 7 = 0 then suppkey % 5 else 0 end end").alias("number"),
         (c("conf") * 10).alias("conf"),
     )

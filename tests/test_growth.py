@@ -200,3 +200,26 @@ def test_notes_of_a_piece_are_grouped_once_while_short(spark):
 
     for made in (inputs.linked_documents, inputs.song_documents):
         assert sum(line.lstrip(" :+-").startswith("Aggregate [") and "collect_list" in line for line in _plan(made(spark, SMALL)).splitlines()) == 1
+
+
+def test_keys_that_were_not_cut_are_repaired_in_one_pass(spark, monkeypatch):
+    import random
+
+    from scorelake.operators import ordered, repair
+
+    dice = random.Random(3)
+    rows = [(k, i, dice.choice([None, i + 5, i + 5, i + 9, i - 2]), dice.random()) for k in range(30) for i in range(40 if k % 3 else 2)]
+    df = spark.createDataFrame(rows, "k long, i long, n long, conf double")
+    want = sorted(map(tuple, repair.repaired_numbers(df, ["k"], "i", "n", "conf").collect()))
+    assert want[0][:2] == (0, 0) and len(want) == len(rows)
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 9)
+    got = repair.repaired_numbers(df, ["k"], "i", "n", "conf")
+    assert sorted(map(tuple, got.collect())) == want
+    for made in (ordered.apart(df, "k", "i")):  # the cut is used again, also on the way back
+        assert ordered.chunked(made, "k", "i") is made
+    turned = ordered.backwards(ordered.chunked(df, "k", "i").where("_chunk >= 0").selectExpr("k", "i", "_chunk", "-i r"), "k", "r")
+    assert ordered.chunked(turned, "k", "r") is turned
+    assert turned.groupBy("k").agg(F.max_by("_last", "r").alias("l"), F.max("_chunk").alias("m"), F.max_by("_chunk", "r").alias("n")).where("not l or m <> n").count() == 0
+    monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 1 << 20)
+    plain = repair.repaired_numbers(df, ["k"], "i", "n", "conf")
+    assert sum("MapInPandas" in line for line in _plan(plain).splitlines()) == 1
