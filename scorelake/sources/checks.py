@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 c = F.col
 Rule = Callable[[Column, Column], Column]
 
+# Types that any value of a kind can be read as, and none of another kind.
+SHALLOW = {"OBJECT": "struct<_:variant>", "ARRAY": "array<struct<_:variant>>"}
+
 
 def kind_of(v: Column) -> Column:
     return F.schema_of_variant(v)
@@ -23,10 +26,11 @@ def fault(path: Column, reason: str) -> Column:
 
 
 def is_kind(v: Column, *kinds: str) -> Column:
-    """Whether a value that is there is of one of the kinds; false for a missing one."""
+    """Whether a value that is there is of one of the kinds; false for a missing one. Objects and lists are told without
+    a look inside: the schema of one is that of all it holds, and would be made again for each level of a document."""
     known = F.lit(False)
     for k in kinds:
-        known = known | F.startswith(kind_of(v), F.lit(k))
+        known = known | (F.try_variant_get(v, "$", SHALLOW[k]).isNotNull() if k in SHALLOW else F.startswith(kind_of(v), F.lit(k)))
     return v.isNotNull() & F.coalesce(known, F.lit(False))
 
 

@@ -223,3 +223,15 @@ def test_keys_that_were_not_cut_are_repaired_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", 1 << 20)
     plain = repair.repaired_numbers(df, ["k"], "i", "n", "conf")
     assert sum("MapInPandas" in line for line in _plan(plain).splitlines()) == 1
+
+
+def test_kinds_of_objects_and_lists_are_told_without_a_look_inside(spark):
+    from scorelake.sources import checks
+
+    texts = ['{}', '{"a": 1}', '{"_": [1]}', '{"_": {"_": null}}', "[]", "[1]", '[{}, 1, null, "a", [2]]', "null", "1", "1.5", "1e300", "true", '"a"', '"{}"', '""', None]
+    df = spark.createDataFrame([(x,) for x in texts], "x string").withColumn("v", F.parse_json("x"))
+    kinds = ("OBJECT", "ARRAY", "BIGINT", "STRING", "VOID", "BOOLEAN")
+    plain = lambda k: F.coalesce(F.startswith(checks.kind_of(F.col("v")), F.lit(k)), F.lit(False))
+    rows = df.select("x", *(checks.is_kind(F.col("v"), k).alias(f"is_{k}") for k in kinds), *(plain(k).alias(f"was_{k}") for k in kinds)).collect()
+    assert all(r[f"is_{k}"] == r[f"was_{k}"] for r in rows for k in kinds)
+    assert "schema_of_variant" not in _plan(df.select(checks.is_kind(F.col("v"), "OBJECT", "ARRAY"))).lower().replace("schemaofvariant", "schema_of_variant")
