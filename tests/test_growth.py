@@ -235,3 +235,16 @@ def test_kinds_of_objects_and_lists_are_told_without_a_look_inside(spark):
     rows = df.select("x", *(checks.is_kind(F.col("v"), k).alias(f"is_{k}") for k in kinds), *(plain(k).alias(f"was_{k}") for k in kinds)).collect()
     assert all(r[f"is_{k}"] == r[f"was_{k}"] for r in rows for k in kinds)
     assert "schema_of_variant" not in _plan(df.select(checks.is_kind(F.col("v"), "OBJECT", "ARRAY"))).lower().replace("schemaofvariant", "schema_of_variant")
+
+
+def test_sightings_keep_their_cut_and_medians_their_counts(spark, tiny_chunks):
+    from conftest import SMALL
+
+    from scorelake.operators import ordered
+    from scorelake.plans import folds
+
+    seen = folds.sightings(spark, SMALL)
+    assert ordered.CHUNK in seen.columns and ordered.chunked(seen, ["piece"], ["pos"]) is seen
+    df = spark.range(60).selectExpr("id % 3 k", "cast(id % 7 as double) v")
+    got = ordered.median(df, ["k"], "v", "m")
+    assert "Range" not in _plan(got) and {r.k: r.m for r in got.collect()} == {k: sorted(float(i % 7) for i in range(60) if i % 3 == k)[9:11][0] / 2 + sorted(float(i % 7) for i in range(60) if i % 3 == k)[9:11][1] / 2 for k in range(3)}
