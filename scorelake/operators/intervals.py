@@ -133,6 +133,28 @@ def merged(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     )
 
 
+def hits(frame: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each detection ``[a, b]`` of one video the frames in which some detection overlaps it. Detections are sorted
+    by frame and start; see ``support`` for the table they are counted in."""
+    off = (frame - frame[0]) * (int(b.max()) - int(a.min()) + 2)  # ends of one frame lie before those of the next
+    far = np.maximum.accumulate(b + off)
+    at = np.flatnonzero(np.concatenate([[True], (a + off)[1:] > far[:-1]]))
+    start, end = a[at], far[np.append(at[1:] - 1, len(a) - 1)] - off[at]
+    first = np.concatenate([[True], frame[at][1:] != frame[at][:-1]])
+    begin = np.where(first, min(int(a.min()), int(b.min())), np.concatenate([[0], end[:-1] + 1]))
+    return _counted(np.concatenate([begin, end + 1]), np.tile(start, 2), np.repeat([1, -1], len(at)), a, b)
+
+
+def _counted(x: np.ndarray, y: np.ndarray, by: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the steps ``by`` at places up to ``(a, b)``."""
+    (xs, i), (ys, j) = (np.unique(v, return_inverse=True) for v in (x, y))
+    table = np.zeros((len(xs), len(ys)), np.int64)
+    np.add.at(table, (i, j), by)
+    table = table.cumsum(0).cumsum(1)
+    i, j = (np.searchsorted(v, w, "right") - 1 for v, w in ((xs, a), (ys, b)))
+    return np.where((i >= 0) & (j >= 0), table[i, j], 0)
+
+
 def support(df: DataFrame, video: Sequence[str], frame: str, a: str, b: str) -> DataFrame:
     """In how many frames of its video some detection overlaps each distinct detection.
 
@@ -162,12 +184,7 @@ def support(df: DataFrame, video: Sequence[str], frame: str, a: str, b: str) ->
             for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 kinds = np.flatnonzero(asked[lo:hi]) + lo
                 steps = np.flatnonzero(~asked[lo:hi]) + lo
-                (xs, i), (ys, j) = (np.unique(v[steps], return_inverse=True) for v in (x, y))
-                table = np.zeros((len(xs), len(ys)), np.int64)
-                np.add.at(table, (i, j), by[steps])
-                table = table.cumsum(0).cumsum(1)
-                at = (np.searchsorted(v, w[kinds], "right") - 1 for v, w in ((xs, x), (ys, y)))
-                frames[kinds] = table[tuple(at)]
+                frames[kinds] = _counted(x[steps], y[steps], by[steps], x[kinds], y[kinds])
             video = pa.array(np.repeat(np.arange(len(rows)), np.diff(ends))[asked])
             kept = [batch.column(k).take(video) for k in keys]
             yield pa.RecordBatch.from_arrays([*kept, *(pa.array(v[asked]) for v in (x, y, frames))], names=[*keys, "_x", "_y", "frames"])

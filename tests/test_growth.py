@@ -248,3 +248,33 @@ def test_sightings_keep_their_cut_and_medians_their_counts(spark, tiny_chunks):
     df = spark.range(60).selectExpr("id % 3 k", "cast(id % 7 as double) v")
     got = ordered.median(df, ["k"], "v", "m")
     assert "Range" not in _plan(got) and {r.k: r.m for r in got.collect()} == {k: sorted(float(i % 7) for i in range(60) if i % 3 == k)[9:11][0] / 2 + sorted(float(i % 7) for i in range(60) if i % 3 == k)[9:11][1] / 2 for k in range(3)}
+
+
+def _exchanges(df):
+    """Shuffles of rows in the plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rows_of_a_video_meet_once_and_long_videos_give_the_same_regions(spark, monkeypatch):
+    import random
+
+    import __spark_entry__ as entry
+    from conftest import SMALL
+    from scorelake.operators import ordered, regions
+
+    assert _exchanges(entry.queries()["agg1_region_consensus"](spark, SMALL)) <= 1
+    rng = random.Random(4)
+    odd = lambda v: None if rng.random() < 0.03 else v
+    rows = [
+        (odd(v), odd(f), odd(top), odd(top + rng.randint(0, 30)), odd(rng.randint(1, 4)), odd(rng.randint(0, 50)), odd(rng.randint(300, 350)), odd(rng.randint(1, 3)), i)
+        for v in range(40) for f in range(rng.randint(1, 9)) for top in rng.sample(range(120), rng.randint(1, 6)) for i in range(rng.randint(1, 3))
+    ]
+    rows += [(99, 5, 10, 20, 2, None, 310, None, 0), (98, 1, None, None, 2, 1, 310, 1, 0)]
+    df = spark.createDataFrame(rows, "vid long, frame long, top long, bottom long, lines long, x0 long, x1 long, s long, rid long").cache()
+    for frames in (None, df.select("vid", "frame").union(spark.createDataFrame([(1, 70), (1, 71), (97, 1)], "vid long, frame long"))):
+        made = []
+        for rows_per_chunk in (1 << 20, 1):  # with 1 each row is a mark, so that all videos are long
+            monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", rows_per_chunk)
+            made.append({r.vid: tuple(r) for r in regions.region_consensus(df, frames, "vid", "frame", 360, 450, 64, order=["rid"]).collect()})
+        assert made[0] == made[1] and len(made[0]) == (43 if frames is None else 44)
+        assert made[0][99][1:] == (0, 0, 360, 450, 1.0) and made[0][98][1:] == (0, 300, 360, 150, 0.0) and made[0][None][-1] == 0
