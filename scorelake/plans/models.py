@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import ticks as tk
 from scorelake.operators import alignment, glyphs, timing, voices
 from scorelake.plans.registry import register, sql
-from scorelake.plans.score import options
+from scorelake.plans.score import options_of
 from scorelake.sources import tables as t
 
 c = F.col
@@ -57,7 +57,10 @@ def _(spark, d):
 
 @register("udf5_two_voice_timing")
 def _(spark, d):
-    o = options(spark, d)
+    return t.by_notes(spark, d, lambda notes: _two_voices(options_of(notes)))
+
+
+def _two_voices(o):
     liked = timing.dotted_rest_preference(c("options"), c("rest_kind"), c("dot"))
     events = o.select(
         "piece", "measure", "pos", F.expr("1 + pos % 2").alias("voice"),

@@ -278,3 +278,26 @@ def test_rows_of_a_video_meet_once_and_long_videos_give_the_same_regions(spark,
             made.append({r.vid: tuple(r) for r in regions.region_consensus(df, frames, "vid", "frame", 360, 450, 64, order=["rid"]).collect()})
         assert made[0] == made[1] and len(made[0]) == (43 if frames is None else 44)
         assert made[0][99][1:] == (0, 0, 360, 450, 1.0) and made[0][98][1:] == (0, 300, 360, 150, 0.0) and made[0][None][-1] == 0
+
+
+def _cut_or_not(spark, monkeypatch, query):
+    """Rows of a query, and the same with pieces that are cut for the most part."""
+    import __spark_entry__ as entry
+    from conftest import SMALL
+    from scorelake.operators import ordered
+
+    made = []
+    for rows_per_chunk in (1 << 20, 16):
+        monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", rows_per_chunk)
+        df = entry.queries()[query](spark, SMALL)
+        made.append(sorted(repr(tuple(r)) for r in df.collect()))
+    return made
+
+
+def test_two_voices_of_a_measure_are_solved_where_their_piece_is(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    assert _exchanges(entry.queries()["udf5_two_voice_timing"](spark, SMALL)) <= 2  # by piece, and behind the solver
+    whole, cut = _cut_or_not(spark, monkeypatch, "udf5_two_voice_timing")
+    assert len(whole) > 5000 and whole == cut
