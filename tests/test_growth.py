@@ -301,3 +301,12 @@ def test_two_voices_of_a_measure_are_solved_where_their_piece_is(spark, monkeypa
     assert _exchanges(entry.queries()["udf5_two_voice_timing"](spark, SMALL)) <= 2  # by piece, and behind the solver
     whole, cut = _cut_or_not(spark, monkeypatch, "udf5_two_voice_timing")
     assert len(whole) > 5000 and whole == cut
+
+
+def test_notation_is_written_where_a_piece_is(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from conftest import SMALL
+
+    assert _exchanges(entry.queries()["snk2_notation_rows"](spark, SMALL)) <= 2  # by piece, and the small table of symbols
+    whole, cut = _cut_or_not(spark, monkeypatch, "snk2_notation_rows")
+    assert len(whole) > 1500 and whole == cut
