@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.functions import ticks as tk
-from scorelake.operators.ordered import row_number, scan
+from scorelake.operators.ordered import CHUNK, by_rows, chunked, cut_columns, following, latest, running_sum, scan, tasks_of, upcoming
 from scorelake.sources.checks import is_kind
 
 c = F.col
@@ -97,25 +97,41 @@ def change_beats(beats: DataFrame, edits: DataFrame, target: Sequence[str]) -> D
 def insert_and_delete(beats: DataFrame, edits: DataFrame, measure: Sequence[str]) -> DataFrame:
     """Rests put in ``before`` or ``after`` a beat with its duration, beats taken out by
     ``delete``; a measure left without beats becomes a whole rest. Positions are those before
-    all edits; beats are numbered anew."""
-    put = edits.where(c("op").isin("before", "after")).join(
-        beats.select(*measure, "pos", "duration"), [*measure, "pos"]
+    all edits; beats are numbered anew.
+
+    Beats and edits meet once, in the order of the result, the deletions of a beat right before it. A measure's beats are few by meaning and its edits may be many, so measures are cut among edits."""
+    kinds = dict(beats.dtypes)
+    long = lambda v: F.lit(v).cast("long")
+    side = F.when(c("op") == "before", -1).when(c("op") == "after", 1).otherwise(0).cast("long")
+    log = edits.where(c("op").isin("before", "after", "delete")).select(
+        *measure, (c("pos") * 2 + side).cast("long").alias("_at"), F.when(side == 0, 0).otherwise(1).cast("long").alias("_turn"),
+        c("seq").cast("long").alias("_seq"), c("pos").cast("long").alias("pos"), side.alias("_side"),
+    )
+    own = beats.select(*measure, (c("pos") * 2).cast("long").alias("_at"), long(2).alias("_turn"), long(-1).alias("_seq"), c("pos").cast("long").alias("pos"), long(0).alias("_side"), "duration", "rest")
+    order = ["_at", "_turn", "_seq"]
+    rows = chunked(own.unionByName(log, allowMissingColumns=True), measure, order, among=log, more=tasks_of(beats))
+    is_beat = c("_turn") == 2
+    at = F.when(is_beat, F.struct("pos", "duration"))
+    seen = scan(by_rows(rows, [*measure, *(x for x in rows.columns if x == CHUNK)]), measure, order, {
+        "_gone": latest(F.when(c("_turn") == 0, c("pos"))), "_before": latest(at), "_next": upcoming(at),
+    }, keep=True)
+    here = F.when(c("_side") < 0, c("_next")).when(c("_side") > 0, c("_before"))
+    stays = F.when(is_beat, ~c("_gone").eqNullSafe(c("pos"))).otherwise(F.coalesce(here["pos"] == c("pos"), F.lit(False)))
+    seen = seen.select(
+        *cut_columns(seen), *measure, *order, F.when(is_beat, c("duration")).otherwise(here["duration"]).alias("duration"),
+        F.when(is_beat, c("rest")).otherwise(True).alias("rest"), stays.alias("_stays"),
     )
-    side = F.when(c("op") == "before", -1).otherwise(1)
-    rests = put.select(
-        *measure, (c("pos") * 2 + side).alias("_at"), c("seq").alias("_seq"), "duration", F.lit(True).alias("rest")
+    count = lambda flag: running_sum(flag.cast("long"))
+    out = scan(seen, measure, order, {
+        "number": count(c("_stays")), "_beats": count(is_beat), "_after": following(F.lit(True)),
+    })
+    # the last row of a measure without any that stays tells of the whole rest
+    alone = c("_after").isNull() & (c("number") == 0) & (c("_beats") > 0)
+    whole = F.lit(1).cast(kinds["duration"])
+    return out.where(c("_stays") | alone).select(
+        *measure, F.when(c("_stays"), c("duration")).otherwise(whole).alias("duration"),
+        F.when(c("_stays"), c("rest")).otherwise(True).alias("rest"), F.when(c("_stays"), c("number")).otherwise(1).alias("number"),
     )
-    gone = edits.where(c("op") == "delete").select(*measure, "pos").distinct()
-    kept = beats.join(gone, [*measure, "pos"], "left_anti").select(
-        *measure, (c("pos") * 2).alias("_at"), F.lit(-1).cast("long").alias("_seq"), "duration", "rest"
-    )
-    rows = kept.unionByName(rests)
-    empty = beats.select(*measure).distinct().join(rows.select(*measure).distinct(), [*measure], "left_anti").select(
-        *measure, F.lit(0).cast("long").alias("_at"), F.lit(-1).cast("long").alias("_seq"),
-        F.lit(1).cast("long").alias("duration"), F.lit(True).alias("rest"),
-    )
-    out = scan(rows.unionByName(empty), measure, ["_at", "_seq"], {"number": row_number()})
-    return out.drop("_at", "_seq")
 
 
 def confirm(beats: DataFrame, edits: DataFrame, measure: Sequence[str], room: Column) -> DataFrame:

@@ -214,7 +214,7 @@ def _(spark, d):
 )
 def _(spark, d):
     e = renamed(log(spark, d), F="before", O="after", P="delete").withColumn("measure", F.lit(1).cast("long"))
-    n = t.notes(spark, d).select("piece", "measure", "pos", "duration", F.expr("partkey % 6 = 0").alias("rest"))
+    n = t.by_notes(spark, d, lambda n: n.select("piece", "measure", "pos", "duration", F.expr("partkey % 6 = 0").alias("rest")))
     return ed.insert_and_delete(n, e, ["piece", "measure"])
 
 

@@ -310,3 +310,31 @@ def test_notation_is_written_where_a_piece_is(spark, monkeypatch):
     assert _exchanges(entry.queries()["snk2_notation_rows"](spark, SMALL)) <= 2  # by piece, and the small table of symbols
     whole, cut = _cut_or_not(spark, monkeypatch, "snk2_notation_rows")
     assert len(whole) > 1500 and whole == cut
+
+
+def test_beats_and_edits_meet_once(spark, monkeypatch):
+    import random
+
+    import __spark_entry__ as entry
+    from conftest import SMALL
+    from scorelake.operators import edits, ordered
+
+    assert _exchanges(entry.queries()["ed6_insert_and_delete"](spark, SMALL)) <= 2  # by piece, and with the edits by measure
+    rng = random.Random(7)
+    beats = [(k, pos, rng.choice((1, 2, 4)), rng.random() < 0.3) for k in range(60) for pos in range(1, rng.randint(2, 6))]
+    log = [(rng.randint(0, 62), rng.randint(0, 7), rng.choice(("before", "after", "delete", "other", None)), seq) for seq in range(400)]
+    want = []
+    for k in range(60):
+        own = {pos: (d, rest) for m, pos, d, rest in beats if m == k}
+        gone = {pos for m, pos, op, _ in log if m == k and op == "delete"}
+        rows = [(2 * pos, -1, *x) for pos, x in own.items() if pos not in gone]
+        rows += [(2 * pos + (1 if op == "after" else -1), seq, own[pos][0], True) for m, pos, op, seq in log if m == k and pos in own and op in ("before", "after")]
+        want += [(k, d, rest, i) for i, (_, _, d, rest) in enumerate(sorted(rows) or [(0, 0, 1, True)], 1)]
+    b = spark.createDataFrame(beats, "m long, pos long, duration long, rest boolean")
+    e = spark.createDataFrame(log, "m long, pos long, op string, seq long")
+    for rows_per_chunk in (1 << 20, 2):
+        monkeypatch.setattr(ordered, "ROWS_PER_CHUNK", rows_per_chunk)
+        got = edits.insert_and_delete(b, e, ["m"])
+        assert sorted((r.m, r.duration, r.rest, r.number) for r in got.collect()) == sorted(want)
+    whole, cut = _cut_or_not(spark, monkeypatch, "ed6_insert_and_delete")
+    assert len(whole) > 6000 and whole == cut
